@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontamination, html_main, pieces, secrets, sharding, simhash, substrings, topk
+from palimpsest.llm import decontamination, html_main, pieces, pii, secrets, sharding, simhash, substrings, topk
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), "doc_id", "text")
