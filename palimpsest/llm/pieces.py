@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import map_batches
 
@@ -194,23 +195,22 @@ def load(path: str) -> Pieces:
         return Pieces(f.read())
 
 
-def encode(df: DataFrame, text: str, model: str, keep: list[str]) -> DataFrame:
-    """The keep columns with ids (array), ends (the source byte where each piece ends) and decoded."""
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+def encode(df: DataFrame, text: str, model: str, keep: list[str], ends: bool = True) -> DataFrame:
+    """The keep columns with ids (array), ends (the source byte where each piece ends, unless not asked for) and decoded."""
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("ends", T.ArrayType(T.LongType()))] * ends, T.StructField("decoded", T.StringType())]
+    schema = T.StructType([*(df.schema[c] for c in keep), *more])
 
     def make():
         pieces = load(model)
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             done = list(pieces.encode([x or "" for x in b.column(len(keep)).to_pylist()]))
-            return pa.RecordBatch.from_arrays(
-                [*b.columns[: len(keep)], pa.array([x[0] for x in done], pa.list_(pa.int32())), pa.array([x[1] for x in done], pa.list_(pa.int64())), pa.array([x[2] for x in done], pa.string())],
-                names=[*keep, "ids", "ends", "decoded"],
-            )
+            columns = [pa.array([x[0] for x in done], pa.list_(pa.int32())), *[pa.array([x[1] for x in done], pa.list_(pa.int64()))] * ends, pa.array([x[2] for x in done], pa.string())]
+            return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *columns], names=schema.names)
 
         return run
 
-    return map_batches(df.select(*keep, text), f"{schema}{', ' if keep else ''}ids array<int>, ends array<long>, decoded string", make)
+    return map_batches(df.select(*(df[c] for c in keep), df[text].alias("_text")), schema, make)
 
 
 def digests(df: DataFrame, doc_id: str, text: str, model: str) -> DataFrame:

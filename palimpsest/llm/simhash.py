@@ -225,11 +225,38 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     return small.unionByName(linked)
 
 
-def near_duplicates(df: DataFrame, doc_id: str, text: str, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: the smallest doc_id among those it reaches by links."""
+def _resolved(df: DataFrame, doc_id: str, text: str, distance: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint."""
     marked = cut(with_fingerprint(df, doc_id, text, shingle, seed))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     of = components(links(nodes.select("fp"), distance))
     rooted = nodes.join(of, nodes.fp == of.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked, rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, doc_id: str, text: str, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id) of each row: the smallest doc_id among those it reaches by links."""
+    marked, named = _resolved(df, doc_id, text, distance, shingle, seed)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, doc_id: str, text: str, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """df, all columns, with one row of each component: that of the smallest doc_id (any one, if several have it)."""
+    marked, named = _resolved(df, doc_id, text, distance, shingle, seed)
+    n = marked.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if n.rows == n.ids:  # ids name rows
+        kept = marked.join(named, "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
+        return df.join(kept, df[doc_id].cast("long") == F.col("_kept"), "left_semi")
+    columns = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField("_fp", T.LongType())])
+    at = columns.index(text)
+
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(fingerprints(texts(b.column(at)), shingle, seed))], names=schema.names)
+
+        return run
+
+    rows = map_batches(df, schema, make).join(named.withColumnRenamed("fp", "_fp").withColumnsRenamed({"root": "_root", "component_id": "_least"}), "_fp")
+    return rows.where(F.col(doc_id).cast("long").eqNullSafe(F.col("_least"))).dropDuplicates(["_root"]).select(*columns)
