@@ -1,6 +1,6 @@
 """All queries of the library and the SQL of those that SQL can express."""
 
-from palimpsest.plans import corpus
+from palimpsest.plans import changes, corpus
 
-QUERIES = {**corpus.QUERIES}
-ORACLE = {**corpus.ORACLE}
+QUERIES = {**corpus.QUERIES, **changes.QUERIES}
+ORACLE = {**corpus.ORACLE, **changes.ORACLE}

@@ -313,7 +313,7 @@ def reason_shares(spark, d):
 
 
 @query("""
-with s as (select l_orderkey, string_agg(cast(cast(l_quantity as integer) as varchar), ';' order by l_linenumber) as cell from lineitem group by 1),
+with s as (select l_orderkey, string_agg(cast(cast(l_quantity as integer) as varchar), ';' order by l_linenumber, cast(cast(l_quantity as integer) as varchar)) as cell from lineitem group by 1),
 a as (select l_orderkey, cell, list_transform(string_split(cell, ';'), lambda x: cast(x as double)) as v from s)
 select l_orderkey, cell, cast(len(v) as integer) as repeats, round(list_sum(v) / len(v), 6) as mean, round(list_median(v), 6) as median from a""")
 def repeat_cells(spark, d):
