@@ -425,3 +425,39 @@ def point_in_range(spark, d):
     o = table(spark, d, "orders").select("o_custkey", F.unix_date(F.to_date("o_orderdate")).cast("long").alias("start")).distinct().withColumn("stop", F.col("start") + 200)
     q = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 1000 + 9131).alias("day"))
     return P.last_at_or_before(q, o, ["o_custkey"], "day", "start", "stop").na.fill(-1, ["start", "stop"])
+
+
+# ---- streams, as tables
+
+
+@query("""
+select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2""")
+def hourly_event_counts(spark, d):
+    from palimpsest.streaming.ingest import running_counts
+
+    counted = running_counts(table(spark, d, "events"), "ts", "event_type")
+    return counted.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# ---- reports
+
+
+@query("""
+with c as (select p_brand as language, p_type as kind, count(*) as total from part group by 1, 2),
+r as (select *, row_number() over (partition by language order by total desc, kind) as rank from c)
+select '| language | rank | kind | total |' || chr(10) || '|---|---|---|---|' || chr(10) ||
+  string_agg('| ' || language || ' | ' || rank || ' | `' || kind || '` | ' || total || ' |', chr(10) order by language, rank) as report from r where rank <= 2""")
+def top_kinds_report(spark, d):
+    from palimpsest.operators import reports
+
+    ranked = top_kinds_by_language(spark, d).where("rank <= 2").withColumn("kind", T.code_span(F.col("kind")))
+    return reports.markdown_table(ranked, ["language", "rank", "kind", "total"], [F.col("language"), F.col("rank")])
+
+
+@query("""
+select '\\newcommand{\\Files}{' || count(*) || '}' || chr(10) || '\\newcommand{\\Languages}{' || count(distinct lang) || '}' as report from documents""")
+def tex_variables(spark, d):
+    from palimpsest.operators import reports
+
+    row = table(spark, d, "documents").agg(F.count("*").alias("files"), F.countDistinct("lang").alias("languages"))
+    return reports.tex_macros(row, {"files": "Files", "languages": "Languages"})
