@@ -199,3 +199,83 @@ def text_diff_classes(spark, d):
     x = ranges.diffs(doc_pairs(spark, d), matching.Config(max_nodes=10**9))
     kind = F.when(F.col("summary").isin("NoChanges", "WhitespaceOnly", "NewFile", "DeletedFile"), F.col("summary"))
     return x.select("pair_id", "fallback", kind.alias("summary"), F.size("before_ops").cast("long").alias("rows_before"), F.size("after_ops").cast("long").alias("rows_after"))
+
+
+# ---- assignments and questions about mappings
+
+
+@query()
+def greedy_line_assignment(spark, d):
+    """Lines of each pair assigned one to one by likeness of their words, the most alike first."""
+    from palimpsest.operators import assignment
+    from palimpsest.operators.pairs import line_rows
+
+    pairs = doc_pairs(spark, d)
+    words = lambda side, name: line_rows(pairs, "pair_id", side).select("pair_id", F.col("row").alias(name), F.explode(F.array_distinct(F.split(F.trim("line"), r"\s+"))).alias("word")).where("word <> ''")
+    like = assignment.similar_sets(words("before", "b_row"), words("after", "a_row"), ["pair_id"], "word", 0.5, ("b_row", "a_row"))
+    return assignment.greedy(like.withColumn("cost", F.round(1 - F.col("jaccard"), 9)).drop("jaccard"), ["pair_id", "b_row"], ["pair_id", "a_row"], "cost", 0.5)
+
+
+def _mapped_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    b, a = _sides(spark, d)
+    return b, a, matching.mappings(page_pairs(spark, d)).select("pair_id", "b_pre", "a_pre", "op")
+
+
+@query()
+def topmost_changes(spark, d):
+    from palimpsest.operators import mapping
+
+    b, a, m = _mapped_pages(spark, d)
+    return mapping.coarse(m, b, a)
+
+
+@query()
+def coarse_costs(spark, d):
+    from palimpsest.operators import mapping
+
+    b, a, m = _mapped_pages(spark, d)
+    return mapping.coarse_cost(mapping.coarse(m, b, a))
+
+
+@query()
+def containment(spark, d):
+    from palimpsest.operators import mapping
+
+    return mapping.shared_descendants(*_mapped_pages(spark, d))
+
+
+@query()
+def quiet_subtrees(spark, d):
+    from palimpsest.operators import mapping
+
+    b, _, m = _mapped_pages(spark, d)
+    return mapping.quiet_subtrees(b, m, 3)
+
+
+@query()
+def residual_router(spark, d):
+    from palimpsest.operators import mapping
+
+    return mapping.router(_mapped_pages(spark, d)[2])
+
+
+@query()
+def wide_residuals(spark, d):
+    from palimpsest.operators import mapping
+
+    b, _, m = _mapped_pages(spark, d)
+    return mapping.wide_unmapped(b, m, "b", 5)
+
+
+@query()
+def declared_names(spark, d):
+    from palimpsest.operators import mapping
+
+    return mapping.statement_identities(_sides(spark, d)[0])
+
+
+@query()
+def tree_dumps(spark, d):
+    from palimpsest.operators import reports
+
+    return reports.tree_dump(page_nodes(spark, d))
