@@ -75,6 +75,23 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLE["op8_decontamination"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+t as (select item_id, w, least(len(w), 13) as n, unnest(generate_series(1, greatest(len(w) - 12, 1))) as i from b where len(w) > 0),
+p as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as phrase from t),
+l as (select distinct n from p),
+x as (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, l where len(w) >= n),
+h as (select x.doc_id, x.i, x.n, p.item_id from x join p on p.n = x.n and p.phrase = array_to_string(x.w[x.i : x.i + x.n - 1], ' ')),
+c as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as j from h) group by 1),
+m as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as items from h group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
+from d left join c using (doc_id) left join m using (doc_id)
+"""
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -96,6 +113,22 @@ def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+ORACLE["op5_repeats"] = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+s as (select doc_id, i, substr(h, 2 * i + 1, 200) as x from (select doc_id, h, unnest(generate_series(0, len(h) // 2 - 100)) as i from d where len(h) >= 200)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by x order by doc_id, i) as k from s) where k > 1),
+g as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i), -1000) + 100 as new from r),
+n as (select doc_id, i, sum(cast(new as integer)) over (partition by doc_id order by i) as run from g),
+u as (select doc_id, run, min(i) as a, max(i) + 100 as z from n group by 1, 2),
+k as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as before from u),
+o as (select doc_id, sum(z - a) as n_removed, count(*) as n_spans, max(z) as last from k group by 1),
+e as (select k.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as kept from k join d using (doc_id) group by 1)
+select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when o.doc_id is null then h else kept || substr(h, 2 * last + 1) end)) as kept_sha256
+from d left join o using (doc_id) left join e using (doc_id)
+"""
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
