@@ -15,10 +15,14 @@ anchor, and only segments of equal anchors can share a window:
 3. Those segments' bytes are fetched from their documents and sent to the anchor's partition, where their
    windows are sorted as suffixes of bounded depth. Previous and next smaller positions in that
    order give the longest previous factor of each window, LPF; windows with LPF >= length are removed.
-   An anchor with more than CROWD different segments is never gathered: its windows are sent on as segments of their own, each
-   to the partition of its own hash, and step 2's rule decides.
+   An anchor with more than CROWD different segments is not sorted in one place: its windows are sent on as segments of their own,
+   each to the partition of its own hash, and step 2's rule decides.
 4. Removed runs meet their document again; what is left is hashed or returned.
 
+Anchors of passages that stand in a large part of all documents are told beforehand from a sample of SAMPLE documents (hot_anchors()):
+their segments, once equal ones of a chunk are dropped, leave step 1 as windows at once, so that no anchor gathers more than a
+small share of the input. Which anchors are taken so changes the cost, never the result.
+
 Packed arrays make a hot anchor one row for each task, whatever the copies; the number of partitions follows the bytes of the input
 (PART_BYTES each), so that no task's memory grows with it.
 Segments are compared by two 64-bit hashes; windows that are looked at in full are compared byte by byte.
@@ -47,6 +51,10 @@ HELD = 600_000
 PART_BYTES = 64 << 20
 #: Different segments of an anchor that are sorted together.
 CROWD = 4000
+#: Documents looked at for hot anchors, about; the share of them that makes an anchor hot; and how many are told to all tasks.
+SAMPLE = 20_000
+HOT_SHARE = 0.005
+HOT_ANCHORS = 20_000
 #: Windows sorted at once, unless one anchor has more.
 SORTED = 60_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -103,8 +111,8 @@ def segment_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, length: int)
         return mix(out + (end - start).astype(np.uint64))
 
 
-def segments(texts: list[bytes], length: int) -> Arrays:
-    """Segments of texts: doc (place in the list), start, len, key (of the anchor) and hash."""
+def segments(texts: list[bytes], length: int) -> tuple[Arrays, np.ndarray]:
+    """Segments of texts: doc (place in the list), start, len, key (of the anchor), hash and place (start in all texts); and hashes of blocks."""
     gram = min(GRAM, block(length) // 2)
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -122,7 +130,31 @@ def segments(texts: list[bytes], length: int) -> Arrays:
     start = np.flatnonzero(new[:-1] & valid)
     end = np.flatnonzero(new[1:] & valid) + length
     of = doc[start]
-    return {"doc": of, "start": start - (ends - sizes)[of], "len": end - start, "key": key[anchor[start]], "hash": segment_hash(h[block(length)], start, end, length)}
+    a = {"doc": of, "start": start - (ends - sizes)[of], "len": end - start, "key": key[anchor[start]], "hash": segment_hash(h[block(length)], start, end, length), "place": start}
+    return a, h[block(length)]
+
+
+def as_windows(a: Arrays, h: np.ndarray, length: int) -> Arrays:
+    """Each window of segments as a segment of its own; places in h, the hashes of blocks."""
+    n = a["len"] - length + 1
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    key, hash_ = window_hashes(h, np.repeat(a["place"], n) + offset, length)
+    return {"id": np.repeat(a["id"], n), "sub": np.repeat(a["sub"], n), "start": np.repeat(a["start"], n) + offset, "len": np.full(len(offset), length, np.int64), "key": key, "hash": hash_}
+
+
+def window_hashes(h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key and hash of the windows that start at places of h."""
+    first, last = h[at], h[at + length - block(length)]
+    with np.errstate(over="ignore"):
+        return mix(mix(first) * MULTIPLIER + last), mix(last * MULTIPLIER + mix(first) + np.uint64(1))
+
+
+def among(key: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether each key is one of the sorted hot ones."""
+    if not len(hot):
+        return np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+    return hot[at] == key
 
 
 def pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -207,27 +239,35 @@ def _runs(a: Arrays, parts: int) -> Iterator[pa.RecordBatch]:
         yield from rows(RUNS, a, doc_part(a["id"], a["sub"], parts))
 
 
-def _sent(kind: int, held: list[Arrays], parts: int) -> Iterator[pa.RecordBatch]:
+def _sent(kind: int, held: list[Arrays], parts: int, removed: list[Arrays] = ()) -> Iterator[pa.RecordBatch]:
     first, other = firsts(joined(held))
     yield from rows(kind, first, key_part(first["key"], parts))
-    yield from _runs(other, parts)
+    yield from _runs(joined([other, *removed]), parts)
 
 
-def _cut_up(parts: int, length: int) -> Callable:
-    """Step 1: (id, sub, text) to segments, first ones only, and runs of the others."""
+def _cut_up(parts: int, length: int, hot) -> Callable:
+    """Step 1: (id, sub, text) to segments, first ones only, and runs of the others. hot.value: sorted keys of hot anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Arrays] = []
+        removed: list[Arrays] = []
         n = size = 0
         some: list[tuple[int, int, int, bytes]] = []
 
         def flush() -> None:
             nonlocal n
-            a = segments([s[3] for s in some], length)
+            a, h = segments([s[3] for s in some], length)
             of = a.pop("doc")
             ids, subs, at = (np.array([s[i] for s in some], t) for i, t in ((0, np.int64), (1, np.int32), (2, np.int64)))
-            held.append(a | {"id": ids[of], "sub": subs[of], "start": a["start"] + at[of]})
-            n += len(of)
+            a |= {"id": ids[of], "sub": subs[of], "start": a["start"] + at[of]}
+            if (is_hot := among(a["key"], hot.value)).any():
+                first, other = firsts(taken(a, is_hot))
+                removed.append(other)
+                held.append(as_windows(first, h, length))
+                n += len(held[-1]["id"])
+                a = taken(a, ~is_hot)
+            held.append(a)
+            n += len(a["id"])
             some.clear()
 
         for b in batches:
@@ -240,13 +280,15 @@ def _cut_up(parts: int, length: int) -> Callable:
                     if size >= CHUNK:
                         flush()
                         size = 0
-            if n >= HELD:
-                yield from _sent(SEGMENTS, held, parts)
-                held, n = [], 0
+                if n >= HELD:
+                    yield from _sent(SEGMENTS, held, parts, removed)
+                    held.clear()
+                    removed.clear()
+                    n = 0
         if some:
             flush()
         if held:
-            yield from _sent(SEGMENTS, held, parts)
+            yield from _sent(SEGMENTS, held, parts, removed)
 
     return run
 
@@ -333,10 +375,8 @@ def _fetch(parts: int, length: int, unpack) -> Callable:
 
 def _windows(text: bytes, length: int) -> Arrays:
     b = block(length)
-    h = hashes(np.frombuffer(text, np.uint8), {b})[b]
-    at = np.arange(len(text) - length + 1)
-    with np.errstate(over="ignore"):
-        return {"key": mix(mix(h[at]) * MULTIPLIER + h[at + length - b]), "hash": mix(h[at + length - b] * MULTIPLIER + mix(h[at]) + np.uint64(1))}
+    key, hash_ = window_hashes(hashes(np.frombuffer(text, np.uint8), {b})[b], np.arange(len(text) - length + 1), length)
+    return {"key": key, "hash": hash_}
 
 
 def longest_previous(sorted_position: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -428,6 +468,36 @@ def _factor(parts: int, length: int) -> Callable:
     return run
 
 
+def _counted(length: int) -> Callable:
+    """Of sampled texts: (key, n), how many different segments of a batch an anchor has, where there are several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[np.ndarray] = []
+            some: list[bytes] = []
+            whole = (t for t in b.column(0).to_pylist() if t and len(t) >= length)
+            for piece in (*(p for t in whole for _, p in pieces(t, length)), None):
+                if some and (piece is None or sum(map(len, some)) > CHUNK):
+                    a, _ = segments(some, length)
+                    found.append(np.stack([a["key"], a["hash"]], 1))
+                    some = []
+                if piece is not None:
+                    some.append(piece)
+            if found:
+                key, n = np.unique(np.unique(np.concatenate(found), axis=0)[:, 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+
+    return run
+
+
+def hot_anchors(texts: DataFrame, rows_: int, length: int) -> np.ndarray:
+    """Sorted keys of at most HOT_ANCHORS anchors that have the most different segments in a sample of about SAMPLE documents."""
+    share = min(1.0, SAMPLE / max(1, rows_))
+    counted = texts.sample(False, share, 7).select("text").mapInArrow(_counted(length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= max(100, int(HOT_SHARE * min(SAMPLE, rows_)))).orderBy(F.desc("n"), "key").limit(HOT_ANCHORS).collect()
+    return np.sort(np.array([r.key for r in found], np.int64).view(np.uint64))
+
+
 def packer():
     import zstandard
 
@@ -517,11 +587,13 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = LENGTH,
         source = source.withColumn("sub", F.lit(0))
     source = source.select("id", "sub", "text", "none")
     no_id = source.where("none").count() if df.schema[doc_id].nullable else 0
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    whole = source.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n")).first()
+    size = whole["size"] or 0
     parts = max(partitions(spark), size // PART_BYTES)
     texts = source.select("id", "sub", "text")
     deal = lambda d: d.repartitionById(parts, F.col("part"))
-    sifted = cut(deal(texts.mapInArrow(_cut_up(parts, length), ROW)).mapInArrow(_sift(parts), ROW))
+    hot = spark.sparkContext.broadcast(hot_anchors(texts, whole["n"], length))
+    sifted = cut(deal(texts.mapInArrow(_cut_up(parts, length, hot), ROW)).mapInArrow(_sift(parts), ROW))
     documents = texts.mapInArrow(_documents(parts), ROW)
     wanted = sifted.where(F.col("kind").isin(NEEDED, CROWDED))
     fetched = deal(wanted.unionByName(documents)).sortWithinPartitions("kind").mapInArrow(_fetch(parts, length, unpack), ROW)

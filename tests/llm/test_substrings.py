@@ -65,7 +65,13 @@ def test_against_brute_force(spark, seed):
     assert sum(x[2] for x in check(spark, made(seed))) > 1000
 
 
-def test_small_chunks_long_texts_and_crowds(spark, monkeypatch):
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("share", [0, 3, 1])
+def test_small_chunks_long_texts_crowds_and_hot_anchors(monkeypatch, share):
     for name, value in (("CHUNK", 300), ("HELD", 50), ("CROWD", 2), ("SORTED", 10)):
         monkeypatch.setattr(S, name, value)
     # workers are forked with the patched module only if functions carry the values, so run the steps in this process
@@ -81,8 +87,10 @@ def test_small_chunks_long_texts_and_crowds(spark, monkeypatch):
         return [sorted(by.get(p, []), key=lambda b: b.column(1)[0].as_py()) for p in range(parts)]
 
     source = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array([0] * len(docs), pa.int32()), pa.array(docs, pa.binary())], names=["id", "sub", "text"])
-    sifted = [b for p in deal(S._cut_up(parts, 100)([source])) for b in S._sift(parts)(p)]
-    assert {b.column(1)[0].as_py() for b in sifted} == {S.RUNS, S.NEEDED, S.CROWDED}
+    keys = np.unique(S.segments([d for d in docs if len(d) >= 100], 100)[0]["key"])
+    hot = Held(keys[::share] if share else keys[:0])
+    sifted = [b for p in deal(S._cut_up(parts, 100, hot)([source])) for b in S._sift(parts)(p)]
+    assert {b.column(1)[0].as_py() for b in sifted} == ({S.RUNS, S.NEEDED, S.CROWDED} if share != 1 else {S.RUNS})
     documents = list(S._documents(parts)([source]))
     fetched = [b for p in deal([b for b in sifted if b.column(1)[0].as_py() != S.RUNS] + documents) for b in S._fetch(parts, 100, S.unpack)(p)]
     factored = [b for p in deal(fetched) for b in S._factor(parts, 100)(p)]
@@ -96,6 +104,15 @@ def test_small_chunks_long_texts_and_crowds(spark, monkeypatch):
     assert got == {i: (int(h.sum()), hashlib.sha256(np.frombuffer(d, np.uint8)[~h].tobytes()).hexdigest()) for i, (d, h) in enumerate(zip(docs, hits))}
 
 
+def test_hot_anchors_are_found(spark):
+    r = random.Random(8)
+    passage = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(40))
+    docs = [f"{r.getrandbits(200):x} {passage} {r.getrandbits(200):x}".encode() for _ in range(400)]
+    texts = spark.createDataFrame([(d,) for d in docs], "text binary")
+    assert len(S.hot_anchors(texts, 400, 100)) > 0
+    check(spark, docs)
+
+
 def test_nulls_ties_and_empty(spark):
     text = (b"the quick brown fox jumps over the lazy dog " * 4)[:150]
     other = bytes(range(97, 123)) * 6
