@@ -65,7 +65,9 @@ def with_statistics(df: DataFrame, text: Column, into: str = "_stats") -> DataFr
         F.array_remove(F.split(t, "\n"), "").alias("_lines"),
     )
     found = statistics(F.col("_t"))
-    return split.select(*(F.col("_row")[c].alias(c) for c in columns), F.array(*(found[n] for n in NAMES)).alias(into))
+    # A generator of one row: the optimiser moves no filter and no projection across it, which would work a statistic out once for each rule.
+    once = split.select("_row", F.explode(F.array(F.array(*(found[n] for n in NAMES)))).alias("_found"))
+    return once.select(*(F.col("_row")[c].alias(c) for c in columns), F.col("_found").alias(into))
 
 
 @dataclass(frozen=True)
