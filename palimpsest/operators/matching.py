@@ -51,6 +51,19 @@ class Config:
     max_nodes: int = 16_000
 
 
+#: What a pair of partners weighs against unmatched pairs in a slot, and the size from which a slot's subtrees must share a node.
+SLOT_ANCHOR = 10_000.0
+LARGE_SLOT = 20
+
+
+def alike(x: str, y: str, least: float = 0.6) -> bool:
+    """Whether two leaves are equal or share enough pairs of neighbouring characters."""
+    if x == y:
+        return True
+    p, q = {x[k : k + 2] for k in range(len(x) - 1)}, {y[k : k + 2] for k in range(len(y) - 1)}
+    return bool(p and q) and 2 * len(p & q) / (len(p) + len(q)) >= least
+
+
 @dataclass
 class Match:
     reason: str
@@ -310,6 +323,39 @@ class Matching:
             if j is not None:
                 self.lockstep(i, j, "MovedSubtree", (b.full, a.full))
 
+    def phase_context(self) -> None:
+        """Leaves that edit distance put together although their texts differ need matched parents, or texts that are alike."""
+        for (i, j), why in list(self.why.items()):
+            if why.reason != "EditDistance" or not (self.b.leaf(i) and self.a.leaf(j)):
+                continue
+            x, y = self.b.text(i), self.a.text(j)
+            if x != y and self.to_a.get(self.b.parent[i]) != self.a.parent[j] and not alike(x, y):
+                del self.to_a[i], self.to_b[j], self.why[i, j]
+
+    def phase_slots(self) -> None:
+        """Children of partners that stand in the same place between partners, and are of one kind, match; no partners are crossed for it."""
+        b, a = self.b, self.a
+        todo = sorted(self.to_a.items())
+        while todo:
+            i, j = todo.pop(0)
+            cb, ca = b.children[i], a.children[j]
+            if not any(c not in self.to_a for c in cb) or not any(c not in self.to_b for c in ca) or len(cb) * len(ca) > CELLS:
+                continue
+
+            def weight(x: int, y: int) -> float:
+                p, q = cb[x], ca[y]  # noqa: B023
+                if self.to_a.get(p) == q:
+                    return SLOT_ANCHOR
+                if p in self.to_a or q in self.to_b or b.kind[p] != a.kind[q] or b.leaf(p) != a.leaf(q) or b.kind[p] in L.GENERIC:
+                    return 0.0
+                if max(b.size[p], a.size[q]) > LARGE_SLOT and not set(b.full[p : p + b.size[p]]) & set(a.full[q : q + a.size[q]]):
+                    return 0.0
+                return 2.0 if not b.leaf(p) or alike(b.text(p), a.text(q)) else 1.0
+
+            for x, y in weighted_subsequence(len(cb), len(ca), weight):
+                if cb[x] not in self.to_a and ca[y] not in self.to_b and self.add(cb[x], ca[y], "Slot"):
+                    todo.append((cb[x], ca[y]))
+
     def run(self) -> Matching:
         c = self.config
         self.phase_hashes()
@@ -327,9 +373,12 @@ class Matching:
             self.add(0, 0, "Root")
         self.phase_flat()
         self.phase_residual()
+        self.phase_context()
         self.phase_comments()
         if c.moved_subtrees:
             self.phase_moves()
+        if c.exact:
+            self.phase_slots()
         return self
 
     # ---- the mapping

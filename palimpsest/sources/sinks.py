@@ -57,3 +57,42 @@ def distinct_names(pairs: DataFrame, name: str, before: str, after: str) -> Data
     content = F.md5(F.concat_ws("\0", before, after))
     ranked = pairs.withColumn("_k", F.dense_rank().over(Window.partitionBy(name).orderBy(content)))
     return ranked.withColumn("target", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat_ws("-", name, F.col("_k").cast("string")))).drop("_k")
+
+
+#: Tables of file statistics, and the keys their rows are replaced by.
+STATISTICS = {"files": ["path"], "node_kind_counts": ["path", "kind"], "node_kind_subtree_size_histogram": ["path", "kind", "size_bucket"]}
+
+
+def statistics_tables(units: DataFrame) -> dict[str, DataFrame]:
+    """The tables of STATISTICS for units (path, language, category, bytes, valid, contents, last_updated): files, and nodes by kind and by size."""
+    from palimpsest.operators.trees import flatten
+    from palimpsest.streaming.ingest import file_statistics
+
+    files = file_statistics(units)
+    counted = units.join(files.where("counted and not automatically_generated").select("path"), "path", "left_semi")
+    kinds = flatten(counted, "path", "contents", "language").groupBy(F.col("unit_id").alias("path"), "kind", (F.length(F.bin("size")) - 1).cast("int").alias("size_bucket")).agg(F.count("*").alias("n"))
+    stamped = kinds.join(units.select("path", "last_updated"), "path")
+    by_kind = stamped.groupBy("path", "kind", "last_updated").agg(F.sum("n").alias("n"))
+    nodes = kinds.groupBy("path").agg(F.sum("n").alias("ast_nodes"))
+    return {
+        "files": files.join(nodes, "path", "left").na.fill(0, ["ast_nodes"]),
+        "node_kind_counts": by_kind.select("path", "kind", "n", "last_updated"),
+        "node_kind_subtree_size_histogram": stamped.select("path", "kind", "size_bucket", "n", "last_updated"),
+    }
+
+
+def write_statistics(units: DataFrame, target: str) -> None:
+    """Merge the tables into folders below target; a file that is measured again loses the kinds it no longer has."""
+    spark = units.sparkSession
+    for name, rows in statistics_tables(units).items():
+        path = f"{target}/{name}"
+        if name != "files" and _exists(spark, path):
+            rest = spark.read.parquet(path).join(units.select("path"), "path", "left_anti")
+            rows = rest.unionByName(rows)
+            rows.write.mode("overwrite").parquet(f"{path}.next")
+            fs_path = spark._jvm.org.apache.hadoop.fs.Path
+            fs = fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+            fs.delete(fs_path(path), True)
+            fs.rename(fs_path(f"{path}.next"), fs_path(path))
+        else:
+            merge(rows, path, STATISTICS[name], ["last_updated"])

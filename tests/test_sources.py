@@ -97,6 +97,22 @@ def test_merge_and_csv(spark, tmp_path):
     assert sorted(r.target for r in named.collect()) in (["n", "n", "n-2"], ["n", "n-2", "n-2"])
 
 
+def test_statistics_tables(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    f = tmp_path / "s" / "a.py"
+    f.write_text("x = 1\ndef g():\n    pass\n")
+    (tmp_path / "s" / "gen.py").write_text("# do not edit\nx = 1\n")
+    target = str(tmp_path / "out")
+    kinds = lambda: {r.kind: r.n for r in spark.read.parquet(f"{target}/node_kind_counts").collect()}
+    sinks.write_statistics(files.scan(spark, str(tmp_path / "s")), target)
+    assert kinds()["FunctionDef"] == 1 and kinds()["Module"] == 1
+    rows = {r.path.rpartition("/")[2]: r for r in spark.read.parquet(f"{target}/files").collect()}
+    assert rows["a.py"].ast_nodes == sum(kinds().values()) and rows["gen.py"].ast_nodes == 0 and rows["gen.py"].automatically_generated
+    f.write_text("x = 1\n")
+    sinks.write_statistics(files.scan(spark, str(tmp_path / "s")), target)
+    assert "FunctionDef" not in kinds() and spark.read.parquet(f"{target}/node_kind_subtree_size_histogram").agg(F.sum("n")).first()[0] == sum(kinds().values())
+
+
 def test_streamed_files(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
