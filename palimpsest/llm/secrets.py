@@ -60,8 +60,7 @@ listener manager factory builder service controller model view helper util test
 start end begin finish create update delete remove insert append copy move parse format render encode decode encrypt decrypt compress hash check
 validate verify match search replace split join merge sort filter reduce transform convert compute calculate estimate schedule execute process
 thread queue stack buffer cache stream channel socket network protocol version number string integer float double boolean date time zone year
-month day hour minute second the and that with this have for not are but what all were when your can said there use each which she how their
-will other about out many then them these some her would make like him into has look more write see way could people than water been call who
+month day hour minute second the and that with this have for not are but what all were when your can there use each which how their other about
 international communication responsibility understanding administration transformation environment independent characteristics infrastructure
 """.split()
 
