@@ -6,6 +6,12 @@ format: same length, same separators, same classes of characters, check digits t
 the format's values, chosen by the key: equal values get equal pseudonyms in all documents, different
 ones different, and with the key the original comes back (reveal=True). What fails its validation stays.
 
+A span that fails as a whole is scanned: at each start, in the order of the kinds, the ends that leave a whole word are tried, the
+longest first (an IBAN's first at its country's length), and the scan goes on behind the first valid value, or at the next start.
+A pseudonym may by chance make such a failed neighbour valid, so that a second scan finds other values; then the values between
+two SEPARATORs are moved on together until the scan finds them in the same places. Their pseudonyms differ from the usual ones there
+(about one in ten of the cards that digits follow or precede); all others do not depend on what stands around them.
+
 Two kinds of network, both of ROUNDS rounds keyed by SHA-256:
 - mixed(a, b): numbers in [0, a * b) as a pair of residues, each in turn shifted by a keyed function of the other;
   for values whose format is a range: dates (days of a 200-year cycle), North American telephone numbers, IP addresses, social security numbers.
@@ -24,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.spans import matches, rewritten
+from palimpsest.llm.spans import gaps, matches, rewritten
 
 ROUNDS = 8
 KEY = "palimpsest"
@@ -41,6 +47,18 @@ PATTERNS = {
 WORD = "[A-Za-z0-9_]"
 #: A match starts at no word character's right side and ends at no word character's left side.
 ANY = f"(?<!{WORD})(?:" + "|".join(PATTERNS.values()) + f")(?!{WORD})"
+#: What no match contains: characters of no pattern, and spaces beside a small letter.
+SEPARATOR = "[^A-Za-z0-9 ()./+@%_-]+|(?<=[a-z]) | (?=[a-z])"
+#: Kinds whose matches may be followed by what looks like more of them.
+LONG = ("iban", "phone", "card")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+#: How often values are moved on, at most, to keep their places.
+WALK = 64
 #: What every match has, to pass over texts at once.
 HINT = r"[0-9]{2}[ ()./+A-Z-]*[0-9]|@"
 #: First day and length of a cycle of dates: 250 * 292 days from 1900-01-01.
@@ -241,30 +259,136 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, key: str = KEY, reveal: bool = False) -> Column:
-    """A match's pseudonym, or the match where it is of no kind."""
-    kind = kind_of(m)
+def moved_to(kind: Column, m: Column, key: str = KEY, reveal: bool = False) -> Column:
+    """The pseudonym of a value of a kind, or the value where the kind is null."""
     out = None
     for k, f in MADE.items():
         out = F.when(kind == k, f(m, key, reveal)) if out is None else out.when(kind == k, f(m, key, reveal))
     return F.coalesce(out, m)
 
 
+def pseudonym(m: Column, key: str = KEY, reveal: bool = False) -> Column:
+    """A match's pseudonym, or the match where it is of no kind."""
+    return with_(kind_of(m), lambda kind: moved_to(kind, m, key, reveal))
+
+
+def with_(value: Column, to) -> Column:
+    """to(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), to), 1)
+
+
+def usual_length(iban: Column) -> Column:
+    """Whether an IBAN has its country's length, or its country is not listed."""
+    country = F.substring(iban, 1, 2)
+    length = F.length(F.regexp_replace(iban, " ", ""))
+    out = F.lit(True)
+    for n, countries in IBAN_LENGTHS.items():
+        out = F.when(country.isin(*countries.split()), length == n).otherwise(out)
+    return out
+
+
+def settled(text: Column) -> Column:
+    """Whether each match of ANY is a value as it stands, so that there is nothing to scan for."""
+    return F.forall(matches(text, ANY), lambda m: with_(kind_of(m), lambda kind: F.when(kind == "iban", usual_length(m)).otherwise(kind.isNotNull())))
+
+
+def longest_valid(kind: str, longest: Column) -> Column:
+    """The value at the start of a match of a kind's pattern, or null."""
+    if kind not in LONG:
+        return F.when((longest != "") & valid(kind, longest), longest)
+    whole = f"^(?:{PATTERNS[kind]})$"
+    ends = F.filter(F.sequence(F.length(longest), F.lit(1), F.lit(-1)), lambda k: ~F.substring(longest, k + 1, F.lit(1)).rlike(WORD) & F.substring(longest, F.lit(1), k).rlike(whole))
+    words = F.filter(F.transform(ends, lambda k: F.substring(longest, F.lit(1), k)), lambda w: valid(kind, w))
+    if kind == "iban":
+        words = with_(words, lambda ws: F.concat(F.filter(ws, usual_length), ws))
+    return F.when(longest != "", F.get(words, F.lit(0)))
+
+
+def first_value(tail: Column) -> Column:
+    """struct<kind, word> of the value at the start of tail, or null."""
+
+    def value(kind: str, pattern: str) -> Column:
+        word = with_(F.regexp_extract(tail, f"^(?:{pattern})(?!{WORD})", 0), lambda longest: longest_valid(kind, longest))
+        return with_(word, lambda w: F.when(w.isNotNull(), F.struct(F.lit(kind).alias("kind"), w.alias("word"))))
+
+    return F.coalesce(*(value(k, p) for k, p in PATTERNS.items()))
+
+
+def scanned(text: Column) -> Column:
+    """array<struct<at, kind, word>> of the values of a text, at counted from 1: leftmost first, then as first_value has it."""
+    # a line break in front, as an empty match at the start of a text parts nothing
+    pieces = F.split(F.concat(F.lit("\n"), text), f"(?<!{WORD})(?=(?:{'|'.join(PATTERNS.values())})(?!{WORD}))", -1)
+
+    def step(s: Column, piece: Column) -> Column:
+        def found(x: Column) -> Column:
+            return F.struct(
+                (s["at"] + F.length(piece)).alias("at"),
+                F.when(x.isNull(), s["end"]).otherwise(s["at"] + F.length(x["word"])).alias("end"),
+                F.when(x.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), x["kind"].alias("kind"), x["word"].alias("word"))))).alias("out"),
+            )
+
+        return with_(F.when(s["at"] >= s["end"], first_value(F.substring(text, s["at"], F.length(text)))), found)
+
+    start = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), F.lit(1).alias("end"), F.expr("cast(array() as array<struct<at:int,kind:string,word:string>>)").alias("out"))
+    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda s: s["out"])
+
+
+def placed(text: Column, found: Column, words: Column) -> Column:
+    """text with words in the places of found."""
+    return F.aggregate(
+        F.zip_with(found, words, lambda x, w: F.struct(x["at"].alias("at"), F.length(x["word"]).alias("n"), w.alias("w"))),
+        F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
+        lambda s, x: F.struct((x["at"] + x["n"]).alias("at"), F.concat(s["out"], F.substring(text, s["at"], x["at"] - s["at"]), x["w"]).alias("out")),
+        lambda s: F.concat(s["out"], F.substring(text, s["at"], F.length(text))),
+    )
+
+
+def walked(text: Column, found: Column, key: str, reveal: bool) -> Column:
+    """text with its values moved until a scan finds as many of the same kinds in the same places."""
+
+    def step(s: Column, _: Column) -> Column:
+        def tried(words: Column) -> Column:
+            again = with_(scanned(placed(text, found, words)), lambda xs: (F.transform(xs, lambda x: x["word"]) == words) & (F.transform(xs, lambda x: x["kind"]) == F.transform(found, lambda x: x["kind"])))
+            return F.struct(words.alias("words"), again.alias("done"))
+
+        return F.when(s["done"], s).otherwise(with_(F.zip_with(found, s["words"], lambda x, w: moved_to(x["kind"], w, key, reveal)), tried))
+
+    start = F.struct(F.transform(found, lambda x: x["word"]).alias("words"), F.lit(False).alias("done"))
+    return placed(text, found, F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda s: s["words"]))
+
+
+def by_part(text: Column, key: str, reveal: bool) -> Column:
+    """Pseudonyms for a text with spans that are not settled, between separators each for itself."""
+
+    def part(p: Column) -> Column:
+        scan = with_(scanned(p), lambda found: F.when(F.size(found) > 0, walked(p, found, key, reveal)).otherwise(p))
+        return F.when(p.rlike(HINT) & p.rlike(ANY), scan).otherwise(p)
+
+    parts = F.transform(gaps(text, SEPARATOR), part)
+    return F.array_join(F.zip_with(parts, matches(text, SEPARATOR), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+
+
+def rewritten_by(text: Column, key: str, reveal: bool = False) -> Column:
+    return F.when(settled(text), rewritten(text, ANY, lambda m: pseudonym(m, key, reveal))).otherwise(by_part(text, key, reveal))
+
+
 def pseudonymised(df: DataFrame, text: str, key: str = KEY, reveal: bool = False, into: str | None = None) -> DataFrame:
     """df with the text column (or a further column `into`) in pseudonyms; with reveal, from pseudonyms to originals."""
     t = df[text]
-    return df.withColumn(into or text, F.when(t.rlike(HINT) & t.rlike(ANY), rewritten(t, ANY, lambda m: pseudonym(m, key, reveal))).otherwise(t))
+    return df.withColumn(into or text, F.when(t.rlike(HINT) & t.rlike(ANY), rewritten_by(t, key, reveal)).otherwise(t))
 
 
 def counted(text: Column) -> Column:
-    """The kind of each valid match of a text."""
-    return F.when(text.rlike(HINT), F.filter(F.transform(matches(text, ANY), kind_of), lambda k: k.isNotNull())).otherwise(F.expr("cast(array() as array<string>)"))
+    """The kind of each value of a text."""
+    part = lambda p: F.when(p.rlike(HINT) & p.rlike(ANY), F.transform(scanned(p), lambda x: x["kind"])).otherwise(F.expr("cast(array() as array<string>)"))
+    found = F.when(settled(text), F.transform(matches(text, ANY), kind_of)).otherwise(F.flatten(F.transform(gaps(text, SEPARATOR), part)))
+    return F.when(text.rlike(HINT), found).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def pseudonyms(df: DataFrame, doc_id: str, text: str, key: str = KEY) -> DataFrame:
     """(doc_id, text in pseudonyms, and the number of each kind replaced)."""
     rows = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("_original"), F.coalesce(counted(df[text]), F.expr("cast(array() as array<string>)")).alias("_kinds"))
-    made = rows.withColumn("text", F.when(F.size("_kinds") > 0, rewritten(F.col("_original"), ANY, lambda m: pseudonym(m, key))).otherwise(F.col("_original")))
+    made = rows.withColumn("text", F.when(F.size("_kinds") > 0, rewritten_by(F.col("_original"), key)).otherwise(F.col("_original")))
     return made.select("doc_id", "text", *(F.size(F.filter("_kinds", _is(k))).cast("long").alias(f"n_{k}") for k in PATTERNS))
 
 

@@ -231,6 +231,24 @@ def test_pseudonyms(spark):
     assert other != a
 
 
+def test_pseudonyms_of_values_beside_digits_and_capitals(spark):
+    card, code, bank = "4111 1111 1111 1111", "ES9121000418450200051332", "BE68 5390 0754 7034"
+    texts = [card, code, bank, f"card {card} 12/25", f"card {card} 123", f"no. 12 {card}", f"{bank} BIC", f"{code} BIC KREDBEBB", f"{card} 12@mail.example.com", f"999.52.139.117.25, {card}"]
+    texts += [f"card {n:04d} 1111 1111 {k:03d}{c} {k % 97:02d}" for n in (4000, 4001) for k in range(40) for c in range(10) if luhn(f"{n:04d}11111111{k:03d}{c}")]
+    made = pii.pseudonymised(frame(spark, texts), "text", into="made")
+    rows = sorted(pii.pseudonymised(made, "made", reveal=True, into="back").collect(), key=lambda x: x.doc_id)
+    assert [x.back for x in rows] == texts
+    got = [x.made for x in rows]
+    assert all(x != y for x, y in zip(got, texts, strict=True))
+    assert got[3].endswith(" 12/25") and got[4].endswith(" 123") and got[5].startswith("no. 12 ")
+    assert got[6] == f"{got[2]} BIC" and got[7] == f"{got[1]} BIC KREDBEBB" and got[9].endswith(got[0])  # linked across texts
+    assert all(luhn(re.sub(r"\D", "", x)[:16]) for x in got[10:])
+    counts = {x.doc_id: x for x in pii.pseudonyms(frame(spark, texts), "doc_id", "text").collect()}
+    assert {i: x.text for i, x in counts.items()} == dict(enumerate(got))
+    assert all(x.n_card == 1 for i, x in counts.items() if i in (0, 3, 4, 5, 8, 9) or i >= 10) and all(counts[i].n_iban == 1 for i in (1, 2, 6, 7))
+    assert counts[8].n_email == 1 and counts[9].n_ip == 1
+
+
 def test_mixed_network_is_a_permutation(spark):
     df = spark.range(35).select("id", pii.mixed(F.col("id"), 5, 7, "k", "t").alias("y"))
     df = df.select("id", "y", pii.mixed(F.col("y"), 5, 7, "k", "t", True).alias("back"))
