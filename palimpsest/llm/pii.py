@@ -59,8 +59,8 @@ IBAN_LENGTHS = {
 }
 #: How often values are moved on, at most, to keep their places.
 WALK = 64
-#: What every match has, to pass over texts at once.
-HINT = r"[0-9]{2}[ ()./+A-Z-]*[0-9]|@"
+#: What every match has, to pass over texts at once: an address two digits with at most a point between them, a card with at most a space or hyphen.
+HINT = r"[0-9][ .-]?[0-9]|@"
 #: First day and length of a cycle of dates: 250 * 292 days from 1900-01-01.
 CYCLE_START, CYCLE_A, CYCLE_B = "1900-01-01", 250, 292
 

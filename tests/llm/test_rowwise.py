@@ -249,6 +249,16 @@ def test_pseudonyms_of_values_beside_digits_and_capitals(spark):
     assert counts[8].n_email == 1 and counts[9].n_ip == 1
 
 
+def test_every_personal_value_passes_the_hint(spark):
+    samples = {"email": "a@b.cc", "iban": "NO9386011117947", "date": "01.02.2003", "ip": "8.8.8.8", "ssn": "123-45-6789", "phone": "+1 (2) 34 567 890", "card": "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"}
+    assert set(samples) == set(pii.PATTERNS)
+    for kind, x in samples.items():
+        assert re.fullmatch(pii.PATTERNS[kind], x) and re.search(pii.HINT, x)
+    assert re.search(pii.HINT, "1.1.1.1")
+    alone, dated = sorted(pii.pseudonyms(frame(spark, ["8.8.8.8", "in 2003: 8.8.8.8"]), "doc_id", "text").collect(), key=lambda r: r.doc_id)
+    assert alone.n_ip == 1 and alone.text != "8.8.8.8" and dated.text == f"in 2003: {alone.text}"
+
+
 def test_mixed_network_is_a_permutation(spark):
     df = spark.range(35).select("id", pii.mixed(F.col("id"), 5, 7, "k", "t").alias("y"))
     df = df.select("id", "y", pii.mixed(F.col("y"), 5, 7, "k", "t", True).alias("back"))
