@@ -211,6 +211,12 @@ def test_mapping_frames(spark):
 # ---- ranges
 
 
+def test_a_pair_with_many_nodes_is_compared_by_trees():
+    text = "x = 1\n" * 4 + "y = 2\n"
+    d = ranges.diff_pair(text, text.replace("y = 2", "y = 3"), "Python", matching.Config(max_nodes=3))
+    assert not d["fallback"] and d["updated"] == 1
+
+
 def test_diff_pairs(spark):
     rows = [
         (1, BEFORE, AFTER, "Python"), (2, "x = 1\n", "x = 1\n", "Python"), (3, "x=1\n", "x = 1\n", "Python"), (4, "", "x = 1\n", "Python"), (5, "x = 1\n", None, "Python"),
