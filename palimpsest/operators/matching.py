@@ -139,7 +139,9 @@ class Matching:
         """What children without an equal one on the other side weigh, as a share of both subtrees."""
         b, a = self.b, self.a
         cb, ca = b.children[i], a.children[j]
-        if len(cb) * len(ca) > CELLS:
+        if {b.full[c] for c in cb}.isdisjoint(a.full[c] for c in ca) and len(cb) * len(ca) <= CELLS:
+            pairs = []
+        elif len(cb) * len(ca) > CELLS:
             pairs = common_subsequence([b.value[c] for c in cb], [a.value[c] for c in ca], TREE_EDITS) or []
         else:
             pairs = weighted_subsequence(len(cb), len(ca), lambda x, y: float(b.size[cb[x]]) if b.full[cb[x]] == a.full[ca[y]] else 0.0)
@@ -185,7 +187,7 @@ class Matching:
             for i in range(t.n):
                 if t.name[i] and i not in mapped:
                     groups[t.kind[i], self.qualified(t, i)][side].append(i)
-        pairs = [((self.child_cost(i, j) if len(x) * len(y) > 1 else 0.0), i, j) for x, y in groups.values() if len(x) * len(y) <= 10_000 for i in x for j in y]
+        pairs = [((self.child_cost(i, j) if len(x) * len(y) > 1 else 0.0), i, j) for x, y in groups.values() for i in x for j in y]
         self.greedy(pairs, float("inf"), lambda i, j: self.add(i, j, "QualifiedName"))
 
     def phase_imports(self) -> None:
@@ -215,7 +217,7 @@ class Matching:
                     up, way = self.nearest(t, mapped, i)
                     if up is not None:
                         groups[self.to_a[up] if side == 0 else up, way, t.kind[i]][side].append(i)
-        pairs = [(self.child_cost(i, j), i, j) for x, y in groups.values() if len(x) * len(y) <= 10_000 for i in x for j in y]
+        pairs = [(self.child_cost(i, j), i, j) for x, y in groups.values() for i in x for j in y]
         self.greedy(pairs, self.config.block_cost_ratio, lambda i, j: self.add(i, j, "AnchorBlock"))
 
     def phase_flow(self) -> None:

@@ -217,6 +217,13 @@ def test_a_pair_with_many_nodes_is_compared_by_trees():
     assert not d["fallback"] and d["updated"] == 1
 
 
+def test_large_groups_of_one_name_match():
+    page = lambda word: "<html><body><article>" + "".join(f"<p><b>k{i}</b><i>{word}{i}</i></p>" for i in range(101)) + "</article></body></html>"
+    m = matching.Matching(trees.build(page("old"), "HTML"), trees.build(page("new"), "HTML"), matching.Config())
+    m.phase_names()
+    assert sum(w.reason == "QualifiedName" and m.b.kind[i] == m.a.kind[j] for (i, j), w in m.why.items()) >= 101
+
+
 def test_diff_pairs(spark):
     rows = [
         (1, BEFORE, AFTER, "Python"), (2, "x = 1\n", "x = 1\n", "Python"), (3, "x=1\n", "x = 1\n", "Python"), (4, "", "x = 1\n", "Python"), (5, "x = 1\n", None, "Python"),
