@@ -36,9 +36,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns of the documents with ids (of pieces) and decoded (the text that the ids stand for)."""
+    """All columns of the documents with ids (of pieces), ends (the source byte where each piece ends) and decoded (the text that the ids stand for)."""
     arrow_batches(spark)
-    return pieces.encode(docs, "text", MODEL, docs.columns, ends=False)
+    return pieces.encode(docs, "text", MODEL, docs.columns)
 
 
 STAGES = [

@@ -48,3 +48,8 @@ def test_stages(spark):
     for i, r in tables[5].items():
         assert r.ids == lib.encode(tables[4][i].text) and r.decoded == lib.decode(r.ids)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, d).select("doc_id").collect()) == sorted(tables[5])
+
+
+def test_last_stage_gives_the_source_bytes_of_pieces(spark):
+    r = corpus_pipeline.tokens(spark, spark.createDataFrame([(1, "Häuser am See")], "doc_id long, text string"), "").first()
+    assert len(r.ends) == len(r.ids) and r.ends == sorted(r.ends) and r.ends[-1] == len(r.text.encode())
