@@ -6,11 +6,11 @@ format: same length, same separators, same classes of characters, check digits t
 the format's values, chosen by the key: equal values get equal pseudonyms in all documents, different
 ones different, and with the key the original comes back (reveal=True). What fails its validation stays.
 
-A span that fails as a whole is scanned: at each start, in the order of the kinds, the ends that leave a whole word are tried, the
-longest first (an IBAN's first at its country's length), and the scan goes on behind the first valid value, or at the next start.
-A pseudonym may by chance make such a failed neighbour valid, so that a second scan finds other values; then the values between
-two SEPARATORs are moved on together until the scan finds them in the same places. Their pseudonyms differ from the usual ones there
-(about one in ten of the cards that digits follow or precede); all others do not depend on what stands around them.
+Finding: wherever a pattern begins, the kinds are tried in order, and of a kind whose end is open (cards, IBANs, telephone numbers) each end
+that leaves a whole word: cards of usual lengths first, IBANs of their country's length first, then the longest. The leftmost valid values
+win; what they cover is not looked at again. So a value is found whatever digits or capitals follow it, and its pseudonym depends on nothing but itself.
+A pseudonym may by chance turn its neighbours into a valid value (a number before a card, once in ten); a second scan, as reveal=True makes it, then
+finds another value there, and that one original does not come back.
 
 Two kinds of network, both of ROUNDS rounds keyed by SHA-256:
 - mixed(a, b): numbers in [0, a * b) as a pair of residues, each in turn shifted by a keyed function of the other;
@@ -18,11 +18,12 @@ Two kinds of network, both of ROUNDS rounds keyed by SHA-256:
 - classes: strings as two halves, each character in turn shifted within its class (digits, small or capital letters)
   by a keyed function of the other half; for card numbers, IBANs, other telephone numbers and e-mail addresses.
 
-All of it is column expressions: no row leaves the JVM. A date is the same day whatever its notation, and keeps its notation.
+All of it is column expressions: no row leaves the JVM. No pattern repeats a group without bound and each value is at most HEAD long (but for an address's
+domain), so the cost follows the length of a text. A date is the same day whatever its notation, and keeps its notation.
 
-Defined results: a null text stays null, and an empty one empty; a text without personal data is unchanged; matches do not
-overlap, the leftmost and then the first listed kind wins. A pseudonym may by chance equal its original (a fixed point of
-the permutation), once in as many values as the format has.
+Defined results: a null text stays null, and an empty one empty; a text without personal data is unchanged; rows are independent, so repeated rows give
+repeated results; other columns stay as they are, whatever their names, but that `into` takes the place of a column of its name. A pseudonym may by chance
+equal its original (a fixed point of the permutation), once in as many values as the format has.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.spans import gaps, matches, rewritten
+from palimpsest.llm.spans import folded, gaps, matches
 
 ROUNDS = 8
 KEY = "palimpsest"
-#: What is looked for, in this order; each as a whole word. Fixed formats.
+#: What is looked for, in this order; each as a whole word. Fixed formats; an address's local part has at most 64 characters, a label 63.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?=\.)[A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
@@ -45,26 +46,33 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9]){11,18}",
 }
 WORD = "[A-Za-z0-9_]"
-#: A match starts at no word character's right side and ends at no word character's left side.
-ANY = f"(?<!{WORD})(?:" + "|".join(PATTERNS.values()) + f")(?!{WORD})"
-#: What no match contains: characters of no pattern, and spaces beside a small letter.
-SEPARATOR = "[^A-Za-z0-9 ()./+@%_-]+|(?<=[a-z]) | (?=[a-z])"
-#: Kinds whose matches may be followed by what looks like more of them.
-LONG = ("iban", "phone", "card")
+#: What follows a value: no word character, or behind a date the time of day.
+ENDS = dict.fromkeys(PATTERNS, f"(?!{WORD})") | {"date": f"(?:(?!{WORD})|(?=T[0-9]{{2}}:?[0-9]{{2}}))"}
+#: Where a value may begin, and from there what its kind and end are told from: at most HEAD characters, or a whole address.
+HEAD = 50
+BEGIN = f"(?<!{WORD})(?=" + "|".join(f"(?:{p}){ENDS[k]}" for k, p in PATTERNS.items()) + ")"
+BEGUN = f"{BEGIN}(?=({PATTERNS['email']}{ENDS['email']}|[\\s\\S]{{1,{HEAD}}}))"
+#: Kinds whose matches may be followed by what looks like more of them, beside cards.
+LONG = ("iban", "phone")
+#: Digits of a card, the more usual first.
+CARD_LENGTHS = (16, 15, 14, 13, 19, 18, 17, 12)
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
     23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
     29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
 }
-#: How often values are moved on, at most, to keep their places.
-WALK = 64
 #: What every match has, to pass over texts at once: an address two digits with at most a point between them, a card with at most a space or hyphen.
 HINT = r"[0-9][ .-]?[0-9]|@"
 #: First day and length of a cycle of dates: 250 * 292 days from 1900-01-01.
 CYCLE_START, CYCLE_A, CYCLE_B = "1900-01-01", 250, 292
 
 
+def with_(value: Column, to) -> Column:
+    """to(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), to), 1)
+
+
 def keyed(key: str, *parts: Column) -> Column:
     """A number below 16**15 from the key and parts."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") for p in parts)), 256), 1, 15), 16, 10).cast("long")
@@ -93,17 +101,15 @@ def mixed(value: Column, a: int, b: int, key: str, tweak: str, reveal: bool = Fa
 def shifted(text: Column, by: Column, sign: int, key: str, tweak: str) -> Column:
     """Each digit or letter of text moved within its class by a keyed function of `by` and its place."""
 
-    def one(i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
+    def one(c: Column, i: Column) -> Column:
         n = F.ascii(c)
-        move = keyed(key, F.lit(tweak), by, i)
 
         def within(first: int, size: int) -> Column:
-            return F.char(F.lit(first) + F.pmod(n - first + sign * (move % size).cast("int"), F.lit(size)))
+            return F.char(F.lit(first) + F.pmod(n - first + sign * (keyed(key, F.lit(tweak), by, i + 1) % size).cast("int"), F.lit(size)))
 
-        return F.when(c.rlike("[0-9]"), within(48, 10)).when(c.rlike("[a-z]"), within(97, 26)).when(c.rlike("[A-Z]"), within(65, 26)).otherwise(c)
+        return F.when(n.between(48, 57), within(48, 10)).when(n.between(97, 122), within(97, 26)).when(n.between(65, 90), within(65, 26)).otherwise(c)
 
-    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), "")).otherwise(F.lit(""))
+    return F.array_join(F.transform(chars(text), one), "")
 
 
 def classes(text: Column, key: str, tweak: str, reveal: bool = False) -> Column:
@@ -125,34 +131,36 @@ def digits(text: Column) -> Column:
 
 
 def chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.regexp_extract_all(text, F.lit("[\\s\\S]"), F.lit(0))
 
 
 def dressed(format_: Column, bare: Column, kept: str) -> Column:
     """bare's characters put in the places of format_ that match the class `kept`; all others of format_ stay."""
-    return F.aggregate(
-        chars(format_),
-        F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
-        lambda s, c: F.struct(
-            (s["at"] + F.when(c.rlike(kept), 1).otherwise(0)).alias("at"),
-            F.concat(s["out"], F.when(c.rlike(kept), F.substring(bare, s["at"], F.lit(1))).otherwise(c)).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
+
+    def of(new: Column) -> Column:
+        return F.aggregate(
+            chars(format_),
+            F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
+            lambda s, c: F.when(c.rlike(kept), F.struct((s["at"] + 1).alias("at"), F.concat(s["out"], F.substring(new, s["at"], F.lit(1))).alias("out"))).otherwise(
+                F.struct(s["at"].alias("at"), F.concat(s["out"], c).alias("out"))
+            ),
+            lambda s: s["out"],
+        )
+
+    return with_(bare, of)
+
+
+def luhn_sum(bare: Column) -> Column:
+    """The sum of a number's digits, each second one from the right doubled and reduced to one digit."""
+    back = F.reverse(bare)
+    as_is = F.regexp_replace(back, "(.)(.?)", "$1")
+    doubled = F.translate(F.regexp_replace(back, "(.)(.?)", "$2"), "0123456789", "0246813579")
+    return F.aggregate(F.regexp_extract_all(F.concat(as_is, doubled), F.lit("."), F.lit(0)), F.lit(0), lambda s, c: s + c.cast("int"))
 
 
 def luhn(payload: Column) -> Column:
     """The check digit of a card number without its last digit."""
-    total = F.aggregate(
-        F.reverse(chars(payload)),
-        F.struct(F.lit(True).alias("double"), F.lit(0).alias("sum")),
-        lambda s, c: F.struct(
-            (~s["double"]).alias("double"),
-            (s["sum"] + F.when(s["double"], F.floor(2 * c.cast("int") / 10).cast("int") + (2 * c.cast("int")) % 10).otherwise(c.cast("int"))).alias("sum"),
-        ),
-        lambda s: s["sum"],
-    )
-    return F.pmod(-total, F.lit(10)).cast("string")
+    return F.pmod(-luhn_sum(F.concat(payload, F.lit("0"))), F.lit(10)).cast("string")
 
 
 def mod97(text: Column) -> Column:
@@ -173,11 +181,11 @@ def day(text: Column) -> Column:
 def _date(m: Column, key: str, reveal: bool) -> Column:
     days = F.datediff(day(m), F.lit(CYCLE_START).cast("date"))
     cycle = CYCLE_A * CYCLE_B
-    moved = F.floor(days / cycle) * cycle + mixed(F.pmod(days, F.lit(cycle)), CYCLE_A, CYCLE_B, key, "date", reveal)
-    to = F.date_add(F.lit(CYCLE_START).cast("date"), moved.cast("int"))
-    return F.when(m.rlike("^[0-9]{4}-"), F.date_format(to, "yyyy-MM-dd")).otherwise(
+    moved = with_(days, lambda n: F.floor(n / cycle) * cycle + mixed(F.pmod(n, F.lit(cycle)), CYCLE_A, CYCLE_B, key, "date", reveal))
+    shown = lambda to: F.when(m.rlike("^[0-9]{4}-"), F.date_format(to, "yyyy-MM-dd")).otherwise(
         F.concat(F.date_format(to, "dd"), F.substring(m, 3, 1), F.date_format(to, "MM"), F.substring(m, 6, 1), F.date_format(to, "yyyy"))
     )
+    return with_(F.date_add(F.lit(CYCLE_START).cast("date"), moved.cast("int")), shown)
 
 
 def _phone(m: Column, key: str, reveal: bool) -> Column:
@@ -186,52 +194,50 @@ def _phone(m: Column, key: str, reveal: bool) -> Column:
     bare = digits(rest)
     north = bare.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") & (code.isin("+1", ""))
     number = (F.substring(bare, 1, 3).cast("long") - 200) * 8_000_000 + F.substring(bare, 4, 7).cast("long") - 2_000_000
-    moved = mixed(number, 800, 8_000_000, key, "phone", reveal)
-    to = F.concat((F.floor(moved / 8_000_000) + 200).cast("string"), (moved % 8_000_000 + 2_000_000).cast("string"))
+    to = with_(mixed(number, 800, 8_000_000, key, "phone", reveal), lambda x: F.concat((F.floor(x / 8_000_000) + 200).cast("string"), (x % 8_000_000 + 2_000_000).cast("string")))
     return F.concat(code, dressed(rest, F.when(north, to).otherwise(classes(bare, key, "phone", reveal)), "[0-9]"))
 
 
 def _card(m: Column, key: str, reveal: bool) -> Column:
-    payload = F.substring(digits(m), F.lit(1), F.length(digits(m)) - 1)
-    moved = classes(payload, key, "card", reveal)
-    return dressed(m, F.concat(moved, luhn(moved)), "[0-9]")
+    payload = with_(digits(m), lambda d: F.substring(d, F.lit(1), F.length(d) - 1))
+    return dressed(m, with_(classes(payload, key, "card", reveal), lambda x: F.concat(x, luhn(x))), "[0-9]")
 
 
 def _ssn(m: Column, key: str, reveal: bool) -> Column:
     area = F.substring(m, 1, 3).cast("long")
     value = (F.when(area > 666, area - 2).otherwise(area - 1)) * (99 * 9999) + (F.substring(m, 5, 2).cast("long") - 1) * 9999 + F.substring(m, 8, 4).cast("long") - 1
-    moved = mixed(value, 898, 99 * 9999, key, "ssn", reveal)
-    a = F.floor(moved / (99 * 9999)).cast("long")
-    return F.format_string("%03d-%02d-%04d", F.when(a >= 665, a + 2).otherwise(a + 1), F.floor(moved % (99 * 9999) / 9999).cast("long") + 1, moved % 9999 + 1)
+
+    def shown(x: Column) -> Column:
+        a = F.floor(x / (99 * 9999)).cast("long")
+        return F.format_string("%03d-%02d-%04d", F.when(a >= 665, a + 2).otherwise(a + 1), F.floor(x % (99 * 9999) / 9999).cast("long") + 1, x % 9999 + 1)
+
+    return with_(mixed(value, 898, 99 * 9999, key, "ssn", reveal), shown)
 
 
 def _ip(m: Column, key: str, reveal: bool) -> Column:
     value = F.aggregate(F.split(m, r"\."), F.lit(0).cast("long"), lambda s, x: s * 256 + x.cast("long"))
-    moved = mixed(value, 65536, 65536, key, "ip", reveal)
-    return F.concat_ws(".", *((F.floor(moved / 256**k) % 256).cast("string") for k in (3, 2, 1, 0)))
+    return with_(mixed(value, 65536, 65536, key, "ip", reveal), lambda x: F.concat_ws(".", *((F.floor(x / 256**k) % 256).cast("string") for k in (3, 2, 1, 0))))
 
 
 def _iban(m: Column, key: str, reveal: bool) -> Column:
     bare = F.regexp_replace(m, " ", "")
     country, account = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
-    moved = classes(account, key, "iban", reveal)
-    check = F.lpad((98 - mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
-    return dressed(m, F.concat(country, check, moved), "[A-Z0-9]")
+    check = lambda x: F.lpad((98 - mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0")
+    return dressed(m, with_(classes(account, key, "iban", reveal), lambda x: F.concat(country, check(x), x)), "[A-Z0-9]")
 
 
 def _email(m: Column, key: str, reveal: bool) -> Column:
     """Both the local part and the first label of the domain; its other labels stay."""
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     label = F.substring_index(domain, ".", 1)
-    moved = classes(F.concat(local, label), key, "email", reveal)
-    return F.concat(F.substring(moved, F.lit(1), F.length(local)), F.lit("@"), F.substring(moved, F.length(local) + 1, F.length(moved)), F.substring(domain, F.length(label) + 1, F.length(domain)))
+    shown = lambda x: F.concat(F.substring(x, F.lit(1), F.length(local)), F.lit("@"), F.substring(x, F.length(local) + 1, F.length(x)), F.substring(domain, F.length(label) + 1, F.length(domain)))
+    return with_(classes(F.concat(local, label), key, "email", reveal), shown)
 
 
 def valid(kind: str, m: Column) -> Column:
     """Whether a match of a kind's pattern is one of its values."""
     if kind == "card":
-        n = F.length(digits(m))
-        return n.between(12, 19) & (F.substring(digits(m), -1, 1) == luhn(F.substring(digits(m), F.lit(1), n - 1)))
+        return luhn_sum(digits(m)) % 10 == 0
     if kind == "iban":
         bare = F.regexp_replace(m, " ", "")
         # IBANs whose check digits exceed 98 or fall below 2 are not issued; as the remainder tells them apart from none, they do not pass
@@ -250,31 +256,12 @@ def valid(kind: str, m: Column) -> Column:
 MADE = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def kind_of(m: Column) -> Column:
-    """The first kind whose pattern and validation the whole match passes, or null."""
-    out = None
-    for kind, pattern in PATTERNS.items():
-        is_kind = m.rlike(f"^(?:{pattern})$") & valid(kind, m)
-        out = F.when(is_kind, F.lit(kind)) if out is None else out.when(is_kind, F.lit(kind))
-    return out
-
-
 def moved_to(kind: Column, m: Column, key: str = KEY, reveal: bool = False) -> Column:
-    """The pseudonym of a value of a kind, or the value where the kind is null."""
-    out = None
+    """The pseudonym of a value of a kind; null where the kind is null."""
+    out = F
     for k, f in MADE.items():
-        out = F.when(kind == k, f(m, key, reveal)) if out is None else out.when(kind == k, f(m, key, reveal))
-    return F.coalesce(out, m)
-
-
-def pseudonym(m: Column, key: str = KEY, reveal: bool = False) -> Column:
-    """A match's pseudonym, or the match where it is of no kind."""
-    return with_(kind_of(m), lambda kind: moved_to(kind, m, key, reveal))
-
-
-def with_(value: Column, to) -> Column:
-    """to(value), with value worked out once."""
-    return F.element_at(F.transform(F.array(value), to), 1)
+        out = out.when(kind == k, f(m, key, reveal))
+    return out
 
 
 def usual_length(iban: Column) -> Column:
@@ -287,110 +274,81 @@ def usual_length(iban: Column) -> Column:
     return out
 
 
-def settled(text: Column) -> Column:
-    """Whether each match of ANY is a value as it stands, so that there is nothing to scan for."""
-    return F.forall(matches(text, ANY), lambda m: with_(kind_of(m), lambda kind: F.when(kind == "iban", usual_length(m)).otherwise(kind.isNotNull())))
-
-
-def longest_valid(kind: str, longest: Column) -> Column:
-    """The value at the start of a match of a kind's pattern, or null."""
+def best_valid(kind: str, longest: Column) -> Column:
+    """The value at the start of the longest match of a kind's pattern, or null."""
+    if kind == "email":  # a domain has no empty label
+        return with_(F.regexp_replace(longest, r"\.\.[\s\S]*", ""), lambda m: F.when(m.rlike(f"^(?:{PATTERNS['email']})$"), m))
+    if kind == "card":
+        words = F.array(*(F.regexp_extract(longest, f"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?!{WORD})", 0) for n in CARD_LENGTHS))
+        return F.get(F.filter(words, lambda w: (w != "") & valid(kind, w)), F.lit(0))
     if kind not in LONG:
-        return F.when((longest != "") & valid(kind, longest), longest)
+        return F.when(valid(kind, longest), longest)
     whole = f"^(?:{PATTERNS[kind]})$"
     ends = F.filter(F.sequence(F.length(longest), F.lit(1), F.lit(-1)), lambda k: ~F.substring(longest, k + 1, F.lit(1)).rlike(WORD) & F.substring(longest, F.lit(1), k).rlike(whole))
     words = F.filter(F.transform(ends, lambda k: F.substring(longest, F.lit(1), k)), lambda w: valid(kind, w))
     if kind == "iban":
         words = with_(words, lambda ws: F.concat(F.filter(ws, usual_length), ws))
-    return F.when(longest != "", F.get(words, F.lit(0)))
+    return F.get(words, F.lit(0))
 
 
-def first_value(tail: Column) -> Column:
-    """struct<kind, word> of the value at the start of tail, or null."""
+def first_value(head: Column) -> Column:
+    """struct<kind, word> of the value at the start of a string, or null."""
 
     def value(kind: str, pattern: str) -> Column:
-        word = with_(F.regexp_extract(tail, f"^(?:{pattern})(?!{WORD})", 0), lambda longest: longest_valid(kind, longest))
+        longest = F.regexp_extract(head, f"^(?:{pattern}){ENDS[kind]}", 0)
+        word = with_(longest, lambda x: F.when(x != "", best_valid(kind, x)))
         return with_(word, lambda w: F.when(w.isNotNull(), F.struct(F.lit(kind).alias("kind"), w.alias("word"))))
 
     return F.coalesce(*(value(k, p) for k, p in PATTERNS.items()))
 
 
-def scanned(text: Column) -> Column:
-    """array<struct<at, kind, word>> of the values of a text, at counted from 1: leftmost first, then as first_value has it."""
-    # a line break in front, as an empty match at the start of a text parts nothing
-    pieces = F.split(F.concat(F.lit("\n"), text), f"(?<!{WORD})(?=(?:{'|'.join(PATTERNS.values())})(?!{WORD}))", -1)
-
-    def step(s: Column, piece: Column) -> Column:
-        def found(x: Column) -> Column:
-            return F.struct(
-                (s["at"] + F.length(piece)).alias("at"),
-                F.when(x.isNull(), s["end"]).otherwise(s["at"] + F.length(x["word"])).alias("end"),
-                F.when(x.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), x["kind"].alias("kind"), x["word"].alias("word"))))).alias("out"),
-            )
-
-        return with_(F.when(s["at"] >= s["end"], first_value(F.substring(text, s["at"], F.length(text)))), found)
+def spans(text: Column) -> Column:
+    """struct<before, found: array<struct<kind, word, rest>>>: the text as what lies before the first place where a value may begin and, for each such
+    place, the value there (null if none, or if an earlier one covers the place) and what follows up to the next place."""
 
-    start = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), F.lit(1).alias("end"), F.expr("cast(array() as array<struct<at:int,kind:string,word:string>>)").alias("out"))
-    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda s: s["out"])
+    def step(s: Column, x: Column) -> Column:
+        taken = (s["state"] == 0) & x["value"].isNotNull()
+        covered = F.when(taken, F.length(x["value"]["word"])).otherwise(s["state"])
+        n = F.length(x["piece"])
+        item = F.struct(F.when(taken, x["value"]["kind"]).alias("kind"), F.when(taken, x["value"]["word"]).alias("word"), F.substring(x["piece"], covered + 1, n).alias("rest"))
+        return F.struct(F.greatest(covered - n, F.lit(0)).alias("state"), F.concat(s["out"], F.array(item)).alias("out"))
 
+    def of(pieces: Column) -> Column:
+        places = F.zip_with(F.slice(pieces, F.lit(2), F.size(pieces)), matches(text, BEGUN, 1), lambda p, h: F.struct(p.alias("piece"), first_value(h).alias("value")))
+        found = folded(places, F.lit(0), step, "array<struct<kind:string,word:string,rest:string>>")
+        return F.struct(F.substring(pieces[0], F.lit(2), F.length(pieces[0])).alias("before"), found.alias("found"))
 
-def placed(text: Column, found: Column, words: Column) -> Column:
-    """text with words in the places of found."""
-    return F.aggregate(
-        F.zip_with(found, words, lambda x, w: F.struct(x["at"].alias("at"), F.length(x["word"]).alias("n"), w.alias("w"))),
-        F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct((x["at"] + x["n"]).alias("at"), F.concat(s["out"], F.substring(text, s["at"], x["at"] - s["at"]), x["w"]).alias("out")),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"], F.length(text))),
-    )
-
-
-def walked(text: Column, found: Column, key: str, reveal: bool) -> Column:
-    """text with its values moved until a scan finds as many of the same kinds in the same places."""
-
-    def step(s: Column, _: Column) -> Column:
-        def tried(words: Column) -> Column:
-            again = with_(scanned(placed(text, found, words)), lambda xs: (F.transform(xs, lambda x: x["word"]) == words) & (F.transform(xs, lambda x: x["kind"]) == F.transform(found, lambda x: x["kind"])))
-            return F.struct(words.alias("words"), again.alias("done"))
-
-        return F.when(s["done"], s).otherwise(with_(F.zip_with(found, s["words"], lambda x, w: moved_to(x["kind"], w, key, reveal)), tried))
-
-    start = F.struct(F.transform(found, lambda x: x["word"]).alias("words"), F.lit(False).alias("done"))
-    return placed(text, found, F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda s: s["words"]))
-
-
-def by_part(text: Column, key: str, reveal: bool) -> Column:
-    """Pseudonyms for a text with spans that are not settled, between separators each for itself."""
+    # a line break in front, as an empty match at the start of a text parts nothing
+    return with_(gaps(F.concat(F.lit("\n"), text), BEGIN), of)
 
-    def part(p: Column) -> Column:
-        scan = with_(scanned(p), lambda found: F.when(F.size(found) > 0, walked(p, found, key, reveal)).otherwise(p))
-        return F.when(p.rlike(HINT) & p.rlike(ANY), scan).otherwise(p)
 
-    parts = F.transform(gaps(text, SEPARATOR), part)
-    return F.array_join(F.zip_with(parts, matches(text, SEPARATOR), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+def rewritten(found: Column, key: str, reveal: bool = False) -> Column:
+    """The text that spans() took apart, with pseudonyms for its values."""
+    made = F.transform(found["found"], lambda x: F.concat(F.coalesce(moved_to(x["kind"], x["word"], key, reveal), F.lit("")), x["rest"]))
+    return F.concat(found["before"], F.array_join(made, ""))
 
 
-def rewritten_by(text: Column, key: str, reveal: bool = False) -> Column:
-    return F.when(settled(text), rewritten(text, ANY, lambda m: pseudonym(m, key, reveal))).otherwise(by_part(text, key, reveal))
+def with_spans(df: DataFrame, text: str) -> DataFrame:
+    """(_row: a struct of df's columns, _text, _spans: null where there is nothing to look for); one projection, so that spans are found once."""
+    t = df[text]
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), t.alias("_text"), F.when(t.rlike(HINT), spans(t)).alias("_spans"))
 
 
 def pseudonymised(df: DataFrame, text: str, key: str = KEY, reveal: bool = False, into: str | None = None) -> DataFrame:
     """df with the text column (or a further column `into`) in pseudonyms; with reveal, from pseudonyms to originals."""
-    t = df[text]
-    return df.withColumn(into or text, F.when(t.rlike(HINT) & t.rlike(ANY), rewritten_by(t, key, reveal)).otherwise(t))
-
-
-def counted(text: Column) -> Column:
-    """The kind of each value of a text."""
-    part = lambda p: F.when(p.rlike(HINT) & p.rlike(ANY), F.transform(scanned(p), lambda x: x["kind"])).otherwise(F.expr("cast(array() as array<string>)"))
-    found = F.when(settled(text), F.transform(matches(text, ANY), kind_of)).otherwise(F.flatten(F.transform(gaps(text, SEPARATOR), part)))
-    return F.when(text.rlike(HINT), found).otherwise(F.expr("cast(array() as array<string>)"))
+    into = into or text
+    made = F.when(F.size("_spans.found") > 0, rewritten(F.col("_spans"), key, reveal)).otherwise(F.col("_text"))
+    columns = [*df.columns, *[into] * (into not in df.columns)]
+    return with_spans(df, text).select(*(made.alias(c) if c == into else F.col("_row")[c].alias(c) for c in columns))
 
 
 def pseudonyms(df: DataFrame, doc_id: str, text: str, key: str = KEY) -> DataFrame:
     """(doc_id, text in pseudonyms, and the number of each kind replaced)."""
-    rows = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("_original"), F.coalesce(counted(df[text]), F.expr("cast(array() as array<string>)")).alias("_kinds"))
-    made = rows.withColumn("text", F.when(F.size("_kinds") > 0, rewritten_by(F.col("_original"), key)).otherwise(F.col("_original")))
-    return made.select("doc_id", "text", *(F.size(F.filter("_kinds", _is(k))).cast("long").alias(f"n_{k}") for k in PATTERNS))
+    rows = with_spans(df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text")), "text")
+    made = F.when(F.size("_spans.found") > 0, rewritten(F.col("_spans"), key)).otherwise(F.col("_text"))
+    number = lambda k: F.coalesce(F.size(F.filter("_spans.found", _is(k))), F.lit(0)).cast("long")
+    return rows.select(F.col("_row.doc_id").alias("doc_id"), made.alias("text"), *(number(k).alias(f"n_{k}") for k in PATTERNS))
 
 
 def _is(kind: str):
-    return lambda k: k == kind
+    return lambda x: x["kind"] == kind

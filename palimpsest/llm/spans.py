@@ -16,25 +16,34 @@ def gaps(text: Column, pattern: str) -> Column:
     return F.split(text, pattern, -1)
 
 
+def folded(items: Column, start: Column, step, kind: str, block: int = 256) -> Column:
+    """The array `out` of step(struct<state, out>, item) over all items, where each step appends to `out`, of type `kind`.
+
+    Appending copies, so a block of items is folded on its own before its part is appended: the cost of long arrays does not grow with their square.
+    """
+    none = F.expr(f"cast(array() as {kind})")
+
+    def of(xs: Column) -> Column:
+        def one(s: Column, b: Column) -> Column:
+            part = F.aggregate(F.slice(xs, b * block + 1, F.lit(block)), F.struct(s["state"].alias("state"), none.alias("out")), step)
+            return F.element_at(F.transform(F.array(part), lambda p: F.struct(p["state"].alias("state"), F.concat(s["out"], p["out"]).alias("out"))), 1)
+
+        blocks = F.sequence(F.lit(0), F.floor(F.size(xs) / block).cast("int"))
+        return F.aggregate(blocks, F.struct(start.alias("state"), none.alias("out")), one, lambda s: s["out"])
+
+    return F.element_at(F.transform(F.array(items), of), 1)
+
+
 def places(text: Column, pattern: str) -> Column:
     """array<struct<first, last, word>> of the matches, in code points, last exclusive."""
     found, rest = matches(text, pattern), gaps(text, pattern)
-    spans = F.aggregate(
-        F.zip_with(found, F.slice(rest, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<first:int,last:int,word:string>>)").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["g"] + x["n"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("first"), (s["at"] + x["g"] + x["n"]).alias("last"), x["m"].alias("word")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return spans
-
-
-def rewritten(text: Column, pattern: str, to) -> Column:
-    """text with each match replaced by to(match)."""
-    found, rest = matches(text, pattern), gaps(text, pattern)
-    return F.concat(
-        F.array_join(F.zip_with(F.slice(rest, 1, F.size(found)), found, lambda g, m: F.concat(g, to(m))), ""),
-        F.element_at(rest, -1),
-    )
+
+    def step(s: Column, x: Column) -> Column:
+        first = s["state"] + x["g"]
+        return F.struct(
+            (first + x["n"]).alias("state"),
+            F.concat(s["out"], F.array(F.struct(first.alias("first"), (first + x["n"]).alias("last"), x["m"].alias("word")))).alias("out"),
+        )
+
+    items = F.zip_with(found, F.slice(rest, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
+    return folded(items, F.lit(0), step, "array<struct<first:int,last:int,word:string>>")
