@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -122,6 +123,45 @@ def test_proximity():
     assert not list(decontamination.hits([b"alpha x beta gamma"], phrases))[0][1].size
 
 
+def plain_near(docs, phrase, slop):
+    """Hit words of each document: a phrase has a place where each of its words stands at most slop words from there, all in the document."""
+    out = []
+    for d in docs:
+        hit = set()
+        for p in range(len(d) - len(phrase) + 1):
+            if all(any(d[q] == w for q in range(max(0, p + k - slop), min(len(d), p + k + slop + 1))) for k, w in enumerate(phrase)):
+                hit |= set(range(p, p + len(phrase)))
+        out.append(hit)
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_is_the_same_in_all_partitionings(spark, slop):
+    import itertools
+
+    vocab = ["alpha", "beta", "gamma", "x"]
+    docs = [list(d) for n in (3, 4, 5) for d in itertools.product(vocab, repeat=n)] + [[], ["alpha"]]
+    phrase = ["alpha", "beta", "gamma"]
+    want = plain_near(docs, phrase, slop)
+    tests = spark.createDataFrame([("it-7", " ".join(phrase))], "item_id string, text string")
+    for n in (1, 3, 17):
+        df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(n)
+        got = {r.id: r for r in decontamination.search(decontamination.index(df, "doc_id", "text"), tests, "item_id", "text", slop=slop).collect()}
+        assert len(got) == len(docs)
+        for i, hit in enumerate(want):
+            assert {w for run in got[i].runs for w in range(run.first, run.last)} == hit and got[i]["items"] == ["it-7"] * bool(hit) and got[i].n_words == len(docs[i])
+
+
+def test_long_test_items_are_cut_without_loss(spark):
+    r = random.Random(2)
+    words = [f"w{r.randrange(400)}" for _ in range(3000)]
+    (piece,) = decontamination._pieces(13, 500)(iter([pa.RecordBatch.from_pydict({"i": ["a", "b"], "t": [" ".join(words).encode(), b"short one"]})])),
+    rows = [x for b in piece for x in b.to_pylist()]
+    windows = lambda w: {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+    assert max(len(x["t"]) for x in rows) < 600 and sum(x["i"] == "b" for x in rows) == 1
+    assert set().union(*(windows(x["t"].decode().split()) for x in rows if x["i"] == "a")) == windows(words)
+
+
 # ---- main text
 
 
@@ -249,6 +289,155 @@ def test_pseudonyms_of_values_beside_digits_and_capitals(spark):
     assert counts[8].n_email == 1 and counts[9].n_ip == 1
 
 
+def plain_pseudonyms(text, key=pii.KEY):
+    """(text in pseudonyms, kinds found), in plain Python."""
+    import datetime
+
+    keyed = lambda *p: int(hashlib.sha256("|".join([key, *map(str, p)]).encode()).hexdigest()[:15], 16)
+
+    def mixed(v, a, b, tweak):
+        left, right = divmod(v, b)
+        for i in range(8):
+            if i % 2 == 0:
+                left = (left + keyed(tweak, i, right) % a) % a
+            else:
+                right = (right + keyed(tweak, i, left) % b) % b
+        return left * b + right
+
+    def moved(t, by, tweak):
+        out = ""
+        for i, c in enumerate(t):
+            first, size = (48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26)
+            out += chr(first + (ord(c) - first + keyed(tweak, by, i + 1) % size) % size) if re.match("[0-9a-zA-Z]", c) else c
+        return out
+
+    def classes(t, tweak):
+        half = len(t) // 2
+        left, right = t[:half], t[half:]
+        for i in range(8):
+            if i % 2 == 0:
+                left = moved(left, f"{i}:{right}", tweak)
+            else:
+                right = moved(right, f"{i}:{left}", tweak)
+        return left + right
+
+    def dressed(shape, bare, kept):
+        it = iter(bare)
+        return "".join(next(it) if re.match(kept, c) else c for c in shape)
+
+    mod97 = lambda b: int("".join(str(int(c, 36)) for c in b)) % 97
+    bare_of = lambda m: re.sub("[^0-9]", "", m)
+
+    def day(m):
+        y, mo, d = (m[:4], m[5:7], m[8:]) if re.match("[0-9]{4}-", m) else (m[6:], m[3:5], m[:2])
+        try:
+            return datetime.date(int(y), int(mo), int(d))
+        except ValueError:
+            return None
+
+    def valid(kind, m):
+        if kind == "card":
+            return luhn(bare_of(m))
+        if kind == "iban":
+            b = m.replace(" ", "")
+            return 15 <= len(b) <= 34 and "02" <= b[2:4] <= "98" and mod97(b[4:] + b[:4]) == 1
+        if kind == "date":
+            return day(m) is not None
+        if kind == "ip":
+            return all(int(x) < 256 and (x == "0" or x[0] != "0") for x in m.split("."))
+        if kind == "ssn":
+            return not re.search("^(000|666|9)|-00-|-0000$", m)
+        return kind != "phone" or 8 <= len(bare_of(m)) <= 15
+
+    def usual(m):
+        named = [n for n, c in pii.IBAN_LENGTHS.items() if m[:2] in c.split()]
+        return not named or len(m.replace(" ", "")) == named[0]
+
+    def value(kind, m):
+        whole = re.compile(pii.PATTERNS[kind])
+        ends = [k for k in range(len(m), 0, -1) if not re.match("[A-Za-z0-9_]", m[k : k + 1]) and whole.fullmatch(m[:k])]
+        if kind == "email":
+            m = m.partition("..")[0]
+            return m if whole.fullmatch(m) else None
+        if kind not in ("card", "iban", "phone"):
+            return m if valid(kind, m) else None
+        ok = [m[:k] for k in ends if valid(kind, m[:k])]
+        if kind == "card":
+            ok.sort(key=lambda w: pii.CARD_LENGTHS.index(len(bare_of(w))))
+        if kind == "iban":
+            ok.sort(key=lambda w: not usual(w))
+        return ok[0] if ok else None
+
+    def to(kind, m):
+        bare = bare_of(m)
+        if kind == "card":
+            x = classes(bare[:-1], "card")
+            return dressed(m, next(x + c for c in "0123456789" if luhn(x + c)), "[0-9]")
+        if kind == "iban":
+            b = m.replace(" ", "")
+            x = classes(b[4:], "iban")
+            return dressed(m, f"{b[:2]}{98 - mod97(x + b[:2] + '00'):02}{x}", "[A-Z0-9]")
+        if kind == "ip":
+            x = mixed(int.from_bytes(bytes(map(int, m.split("."))), "big"), 65536, 65536, "ip")
+            return ".".join(map(str, x.to_bytes(4, "big")))
+        if kind == "ssn":
+            area = int(m[:3])
+            x = mixed((area - 1 - (area > 666)) * 99 * 9999 + (int(m[4:6]) - 1) * 9999 + int(m[7:]) - 1, 898, 99 * 9999, "ssn")
+            area = x // (99 * 9999)
+            return f"{area + 1 + (area >= 665):03}-{x % (99 * 9999) // 9999 + 1:02}-{x % 9999 + 1:04}"
+        if kind == "date":
+            n, size = (day(m) - datetime.date(1900, 1, 1)).days, 250 * 292
+            new = datetime.date(1900, 1, 1) + datetime.timedelta(n // size * size + mixed(n % size, 250, 292, "date"))
+            y, mo, d = f"{new.year:04}", f"{new.month:02}", f"{new.day:02}"
+            return f"{y}-{mo}-{d}" if m[4] == "-" else f"{d}{m[2]}{mo}{m[5]}{y}"
+        if kind == "email":
+            local, _, domain = m.partition("@")
+            label, dot, rest = domain.partition(".")
+            x = classes(local + label, "email")
+            return f"{x[: len(local)]}@{x[len(local) :]}{dot}{rest}"
+        code = (re.match(r"\+[0-9]{1,3}(?=[^0-9])|\+[0-9]", m) or [""])[0]
+        bare = bare_of(m[len(code) :])
+        if re.fullmatch("[2-9][0-9]{2}[2-9][0-9]{6}", bare) and code in ("+1", ""):
+            x = mixed((int(bare[:3]) - 200) * 8_000_000 + int(bare[3:]) - 2_000_000, 800, 8_000_000, "phone")
+            return code + dressed(m[len(code) :], f"{x // 8_000_000 + 200}{x % 8_000_000 + 2_000_000}", "[0-9]")
+        return code + dressed(m[len(code) :], classes(bare, "phone"), "[0-9]")
+
+    out, at, kinds = "", 0, []
+    for begin in re.finditer(pii.BEGIN, text):
+        a = begin.start()
+        if a < at:
+            continue
+        for kind, pattern in pii.PATTERNS.items():
+            m = re.compile(f"(?:{pattern}){pii.ENDS[kind]}").match(text, a)
+            word = m and value(kind, m[0])
+            if word:
+                out += text[at:a] + to(kind, word)
+                at = a + len(word)
+                kinds.append(kind)
+                break
+    return out + text[at:], kinds
+
+
+def test_pseudonyms_against_plain(spark):
+    r = random.Random(12)
+    some = [
+        "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "5500000000000004", "6304000000000000", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034", "2024-05-06", "31.12.1999", "30/02/2001",
+        "2024-05-06T10:00:00Z", "8.8.8.8", "192.168.0.1", "256.1.1.1", "123-45-6789", "666-12-3456", "+49 30 1234567", "+1 (366) 555-9807", "(212) 555-0123", "212-555-0123", "a.b+c@mail3.example.com", "x@y..zz", "q@w.ee..rr",
+        "12/25", "123", "BIC", "AB12", " ", " ", " ", ",", "\n", "é", "x", "_", ".", "-", "T10:00", "7", "😀",
+    ]
+    texts = ["".join(r.choices(some, k=r.randint(1, 9))) for _ in range(600)] + ["card 4111 1111 1111 1111 05/27", "8.8.8.8", "AB12 4111 1111 1111 1111", "T2024-05-06T10:00:00Z", "at 2024-05-06T10:00:00Z"]
+    for x in pii.pseudonyms(frame(spark, texts), "doc_id", "text").collect():
+        text, kinds = plain_pseudonyms(texts[x.doc_id])
+        assert x.text == text and {k: x[f"n_{k}"] for k in pii.PATTERNS} == {k: kinds.count(k) for k in pii.PATTERNS}, texts[x.doc_id]
+
+
+def test_pseudonyms_of_very_long_texts(spark):
+    texts = ["a@b" + ".c" * 500_000 + ".com", "a.b." * 250_000, "é" * 500_000 + " 4111 1111 1111 1111", "4111 1111 1111 1111 " * 1000, "a@b@" * 100_000, "AA11 AAAA " * 1000]
+    rows = {x.doc_id: x for x in pii.pseudonyms(frame(spark, texts), "doc_id", "text").collect()}
+    assert [len(rows[i].text) for i in range(len(texts))] == [len(t) for t in texts]
+    assert [rows[i].n_email for i in range(3)] == [1, 0, 0] and rows[2].n_card == 1 and rows[3].n_card == 1000
+
+
 def test_every_personal_value_passes_the_hint(spark):
     samples = {"email": "a@b.cc", "iban": "NO9386011117947", "date": "01.02.2003", "ip": "8.8.8.8", "ssn": "123-45-6789", "phone": "+1 (2) 34 567 890", "card": "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"}
     assert set(samples) == set(pii.PATTERNS)
