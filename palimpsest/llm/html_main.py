@@ -10,7 +10,8 @@ Text of the region: character references decoded, white space within a block as
 trimmed and joined by one newline in page order; nothing is shortened. A line break is white space.
 
 Defined results: a null or empty page, and one without words, has an empty text; of equal regions the
-first wins; unclosed tags, comments and quotes end where browsers would end them or at the end of the page.
+first wins; unclosed tags, comments and quotes end where browsers would end them or at the end of the page. Pages are read each for
+itself, so repeated rows have equal texts; other columns have no part in it, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import map_batches
 
@@ -272,18 +275,16 @@ def default_weights() -> Weights:
 
 
 def main_text(df: DataFrame, page: str, keep: list[str], weights: Weights | None = None) -> DataFrame:
-    """The keep columns with text (the main text) and n_chars (its code points)."""
-    from pyspark.sql import types as T
-
+    """The keep columns with text (the main text) and n_chars (its code points), in place of columns of these names."""
+    keep = [c for c in keep if c not in ("text", "n_chars")]
     weights = weights or default_weights()
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    n = len(keep)
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = [extract(x, weights) if x else "" for x in b.column(n).to_pylist()]
-            return pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=schema.names)
+            found = [extract(x, weights) if x else "" for x in b.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([*b.column(0).flatten(), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=schema.names)
 
         return run
 
-    return map_batches(df.select(*(df[c] for c in keep), df[page].alias("_page")), schema, make)
+    return map_batches(df.select(F.struct(*(df[c] for c in keep)).alias("row"), df[page].alias("page")), schema, make)

@@ -8,7 +8,8 @@ byte-fallback piece spans its own byte where the character map leaves the charac
 Where the model has no character map, normalising only adds space marks, and the projection is a running sum of
 the pieces' lengths; a text that holds a space mark itself, and any other model, takes the general way.
 
-Defined results: a null text is an empty one; an empty text has no pieces and decodes to itself.
+Defined results: a null text is an empty one; an empty text has no pieces and decodes to itself. Rows are encoded each for itself,
+so repeated rows have equal pieces; other columns stay as they are, but that those named ids, ends and decoded give way to the results.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import map_batches
@@ -196,7 +198,8 @@ def load(path: str) -> Pieces:
 
 
 def encode(df: DataFrame, text: str, model: str, keep: list[str], ends: bool = True) -> DataFrame:
-    """The keep columns with ids (array), ends (the source byte where each piece ends, unless not asked for) and decoded."""
+    """The keep columns with ids (array), ends (the source byte where each piece ends, unless not asked for) and decoded, in place of columns of these names."""
+    keep = [c for c in keep if c not in ("ids", "decoded", *["ends"] * ends)]
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("ends", T.ArrayType(T.LongType()))] * ends, T.StructField("decoded", T.StringType())]
     schema = T.StructType([*(df.schema[c] for c in keep), *more])
 
@@ -204,13 +207,13 @@ def encode(df: DataFrame, text: str, model: str, keep: list[str], ends: bool = T
         pieces = load(model)
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            done = list(pieces.encode([x or "" for x in b.column(len(keep)).to_pylist()]))
+            done = list(pieces.encode([x or "" for x in b.column(1).to_pylist()]))
             columns = [pa.array([x[0] for x in done], pa.list_(pa.int32())), *[pa.array([x[1] for x in done], pa.list_(pa.int64()))] * ends, pa.array([x[2] for x in done], pa.string())]
-            return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *columns], names=schema.names)
+            return pa.RecordBatch.from_arrays([*b.column(0).flatten(), *columns], names=schema.names)
 
         return run
 
-    return map_batches(df.select(*(df[c] for c in keep), df[text].alias("_text")), schema, make)
+    return map_batches(df.select(F.struct(*(df[c] for c in keep)).alias("row"), df[text].alias("text")), schema, make)
 
 
 def digests(df: DataFrame, doc_id: str, text: str, model: str) -> DataFrame:

@@ -9,7 +9,8 @@ The model is fitted on at most SAMPLE labelled rows, chosen by hash of their ids
 corpus; that bound is a parameter. Only the text is looked at, whole.
 
 Defined results: a null text is an empty one; an empty text has all statistics zero and a score like any other; labels other
-than 0 and 1 and null ids are no labels; without labels every score is 0.5, and with one class alone its smoothed share.
+than 0 and 1 and null ids are no labels; without labels every score is 0.5, and with one class alone its smoothed share. Rows are scored
+each for itself, so repeated rows score alike; a repeated id's texts all take its label. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,20 +55,18 @@ def statistics(text: Column) -> dict[str, Column]:
 NAMES = ["capitals", "symbols", "marks", "digits", "word_length", "distinct_words", "log_words", "distinct_lines", "line_words", "compact"]
 
 
-def with_statistics(df: DataFrame, text: Column, into: str = "_stats") -> DataFrame:
-    """df with an array column of the statistics, in the order of NAMES."""
-    columns = df.columns
-    t = F.coalesce(text, F.lit(""))
+def with_statistics(df: DataFrame, text: str) -> DataFrame:
+    """(row: a struct of df's columns, stats: an array of the statistics, in the order of NAMES)."""
+    t = F.coalesce(df[text], F.lit(""))
     split = df.select(
-        F.struct(*(df[c] for c in columns)).alias("_row"),
+        F.struct(*(df[c] for c in df.columns)).alias("row"),
         t.alias("_t"),
         F.array_remove(F.split(F.translate(t, "\n\t\r", "   "), " "), "").alias("_words"),
         F.array_remove(F.split(t, "\n"), "").alias("_lines"),
     )
     found = statistics(F.col("_t"))
     # A generator of one row: the optimiser moves no filter and no projection across it, which would work a statistic out once for each rule.
-    once = split.select("_row", F.explode(F.array(F.array(*(found[n] for n in NAMES)))).alias("_found"))
-    return once.select(*(F.col("_row")[c].alias(c) for c in columns), F.col("_found").alias(into))
+    return split.select("row", F.explode(F.array(F.array(*(found[n] for n in NAMES)))).alias("stats"))
 
 
 @dataclass(frozen=True)
@@ -196,15 +195,15 @@ def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id:
         .limit(sample)
     )
     met = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = with_statistics(met, F.col("_text")).select("_id", "_y", "_stats").orderBy(F.xxhash64("_id"), "_id", "_y", "_stats").limit(sample).collect()
-    return fit(np.array([r["_stats"] for r in rows]).reshape(len(rows), len(NAMES)), np.array([r["_y"] for r in rows], float))
+    rows = with_statistics(met, "_text").select("row._id", "row._y", "stats").orderBy(F.xxhash64("_id"), "_id", "_y", "stats").limit(sample).collect()
+    return fit(np.array([r["stats"] for r in rows]).reshape(len(rows), len(NAMES)), np.array([r["_y"] for r in rows], float))
 
 
 def scored(docs: DataFrame, text: str, model: Model, into: str = "score") -> DataFrame:
-    """docs with its score."""
-    columns = docs.columns
-    found = with_statistics(docs, docs[text])
-    return found.select(*columns, probability(model, F.col("_stats")).alias(into))
+    """docs with its score, in place of a column of that name."""
+    columns = [c for c in docs.columns if c != into]
+    found = with_statistics(docs, text)
+    return found.select(*(F.col("row")[c].alias(c) for c in columns), probability(model, F.col("stats")).alias(into))
 
 
 def digests(docs: DataFrame, doc_id: str, text: str, model: Model, least: float = 0.3) -> DataFrame:
@@ -216,6 +215,5 @@ def digests(docs: DataFrame, doc_id: str, text: str, model: Model, least: float
 
 def accepted(docs: DataFrame, text: str, model: Model, least: float = 0.3) -> DataFrame:
     """docs, all columns, without rows that score below `least`."""
-    columns = docs.columns
-    found = with_statistics(docs, docs[text])
-    return found.where(probability(model, F.col("_stats")) >= least).select(*columns)
+    found = with_statistics(docs, text)
+    return found.where(probability(model, F.col("stats")) >= least).select(*(F.col("row")[c].alias(c) for c in docs.columns))

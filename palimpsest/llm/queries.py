@@ -33,10 +33,14 @@ with v as (
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), t as (
   select vec_id, unnest(e) as w, generate_subscripts(e, 1) as term from v
-), s as (
-  select q.vec_id as query_id, c.vec_id, cast(sum(q.w * c.w) as bigint) as score
+), m as (
+  select q.vec_id as query_id, c.vec_id, sum(q.w * c.w) as score
   from t q join t c on q.term = c.term and q.vec_id <> c.vec_id
   where q.vec_id % 50 = 0 group by 1, 2
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(coalesce(m.score, 0) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id left join m on m.query_id = q.vec_id and m.vec_id = c.vec_id
+  where q.vec_id % 50 = 0
 )
 select query_id, cast(rank as integer) as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s

@@ -7,7 +7,8 @@ A run whose log-likelihood ratio is THRESHOLD or more, that has a digit and a le
 span of its own, of kind "model". All of it is column expressions: no row leaves the JVM.
 
 Places are in code points, last exclusive. Defined results: a null text is an empty one, which has no
-spans; matches that fail a length are dropped, and what they covered is not searched again.
+spans; matches that fail a length are dropped, and what they covered is not searched again. Rows are searched each for itself, so repeated rows have
+equal spans; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.spans import places
+from palimpsest.llm.spans import folded, places
 
 #: Patterns, least lengths and what the length is taken of; letters of the assignment's name in either case.
 ASSIGN = (
@@ -132,8 +133,8 @@ def _kind(name: str, found: Column, order: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["first"].alias("first"), F.lit(order).alias("order"), x["last"].alias("last"), F.lit(name).alias("kind")))
 
 
-def with_secrets(df: DataFrame, text: str, into: str = "secrets", model: Iterable[float] | None = None) -> DataFrame:
-    """df with a column of array<struct<first, order, last, kind>>: all spans by place, then by kind as listed above."""
+def with_rows(df: DataFrame, text: str, model: Iterable[float] | None = None) -> DataFrame:
+    """(row: a struct of df's columns, spans: array<struct<first, order, last, kind>>, all spans by place, then by kind as listed above)."""
     model = default_model() if model is None else model
     t = F.coalesce(df[text].cast("string"), F.lit(""))
     none = F.expr("cast(array() as array<struct<first:int,last:int,word:string>>)")
@@ -148,14 +149,19 @@ def with_secrets(df: DataFrame, text: str, into: str = "secrets", model: Iterabl
         "_hex": where(LONG_HEX, places(t, LONG_HEX)),
         "_likely": where(TOKEN, F.filter(places(t, TOKEN), lambda x: x["word"].rlike("[0-9]") & x["word"].rlike("[A-Za-z]"))),
     }
-    found = df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), *(c.alias(n) for n, c in patterns.items()))
+    found = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *(c.alias(n) for n, c in patterns.items()))
     base = F.concat(_kind("assign", F.col("_assign"), 0), _kind("access", F.col("_access"), 1), _kind("hex", F.col("_hex"), 2))
-    found = found.select("_row", "_likely", base.alias("_base"))
+    found = found.select("row", "_likely", base.alias("_base"))
     scored = F.filter(
         "_likely",
         lambda x: ~F.exists("_base", lambda b: (b["first"] < x["last"]) & (x["first"] < b["last"])) & (ratio(x["word"], model) >= THRESHOLD),
     )
-    return found.select(*(F.col("_row")[c].alias(c) for c in df.columns), F.array_sort(F.concat("_base", _kind("model", scored, 3))).alias(into))
+    return found.select("row", F.array_sort(F.concat("_base", _kind("model", scored, 3))).alias("spans"))
+
+
+def with_secrets(df: DataFrame, text: str, into: str = "secrets", model: Iterable[float] | None = None) -> DataFrame:
+    """df with the spans of its secrets, in place of a column of that name."""
+    return with_rows(df, text, model).select(*(F.col("row")[c].alias(c) for c in df.columns if c != into), F.col("spans").alias(into))
 
 
 def listed(spans: Column) -> Column:
@@ -185,16 +191,13 @@ def digests(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def redacted(df: DataFrame, text: str, mark: str = "[SECRET]") -> DataFrame:
     """df, all columns and rows, with each secret of the text column replaced by the mark; spans that overlap become one."""
-    found = with_secrets(df, text, "_secrets")
-    spans = F.col("_secrets")
-    body = F.col(text)
-    parts = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.when(
-            x["first"] >= s["at"],
-            F.struct(x["last"].alias("at"), F.concat(s["out"], F.substring(body, s["at"] + 1, x["first"] - s["at"]), F.lit(mark)).alias("out")),
-        ).otherwise(F.struct(F.greatest(s["at"], x["last"]).alias("at"), s["out"].alias("out"))),
-        lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))),
-    )
-    return found.withColumn(text, F.when(F.size(spans) > 0, parts).otherwise(body)).select(*df.columns)
+    body, spans = F.col("row")[text], F.col("spans")
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.when(x["first"] >= s["state"], F.concat(F.substring(body, s["state"] + 1, x["first"] - s["state"]), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(s["state"], x["last"]).alias("state"), F.concat(s["out"], F.array(gap)).alias("out"))
+
+    after = F.substring(body, F.array_max(F.transform(spans, lambda x: x["last"])) + 1, F.length(body))
+    parts = F.concat(F.array_join(folded(spans, F.lit(0), step, "array<string>"), ""), after)
+    new = F.when(F.size(spans) > 0, parts).otherwise(body)
+    return with_rows(df, text).select(*((new if c == text else F.col("row")[c]).alias(c) for c in df.columns))

@@ -9,11 +9,11 @@ moves only the keys of the arcs whose owner or overflow changes.
 The walk around the ring needs no rows: only the number of keys of each arc, at most
 shards * points numbers, reaches the driver, whatever the input. It yields, for each arc, intervals
 of ranks and their shard and first slot; a row finds its interval by its rank within its arc. Keys
-are hashed ids, so the arcs are even however many rows share a source, a language or a text.
+are hashed with their ties, so the arcs are even however many rows share a source, a language, a text or an id; only rows that are
+equal in key and ties share a place on the ring and take consecutive ranks.
 
-Defined results: a null id hashes like any other value; rows that repeat an id share an arc and take
-consecutive ranks; a null text has size 1 and the CRC of no bytes, and an empty one the same; an
-empty table gives no rows.
+Defined results: a null id hashes like any other value; a null text has size 1 and the CRC of no bytes, and an empty one the same; an
+empty table gives no rows. Columns that are neither key nor ties have no part in it, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,15 +87,16 @@ def shard(df: DataFrame, key: str, ties: list[str], shards: int = 16, points: in
     """
     spark = df.sparkSession
     positions, owners = ring(shards, points)
-    placed = df.select(key, *ties).withColumn("_at", F.xxhash64(key)).withColumn("_arc", _arc(F.col("_at"), positions))
+    row = F.struct(*(df[c] for c in (key, *ties)))
+    placed = df.select(row.alias("_row"), F.xxhash64(*(df[c] for c in (key, *ties))).alias("_at")).withColumn("_arc", _arc(F.col("_at"), positions))
     counts = {r["_arc"]: r["count"] for r in placed.groupBy("_arc").count().collect()}  # one row for each arc at most
     schema = T.StructType(
         [T.StructField("_arc", T.IntegerType()), T.StructField("_lo", T.LongType()), T.StructField("_hi", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("_slot", T.LongType())]
     )
     runs = spark.createDataFrame(walk(counts, owners, shards), schema).groupBy("_arc").agg(F.collect_list(F.struct("_lo", "_hi", "shard", "_slot")).alias("_runs"))
-    in_arc = Window.partitionBy("_arc").orderBy("_at", key, *ties)
+    in_arc = Window.partitionBy("_arc").orderBy("_at", "_row")
     ranked = placed.withColumn("_rank", F.row_number().over(in_arc).cast("long") - 1)
     found = ranked.join(F.broadcast(runs), "_arc").withColumn(
         "_run", F.filter("_runs", lambda r: (r["_lo"] <= F.col("_rank")) & (F.col("_rank") < r["_hi"]))[0]
     )
-    return found.select(key, *ties, F.col("_run.shard").alias("shard"), (F.col("_run._slot") + F.col("_rank") - F.col("_run._lo")).alias("slot"))
+    return found.select(*(F.col("_row")[c].alias(c) for c in (key, *ties)), F.col("_run.shard").alias("shard"), (F.col("_run._slot") + F.col("_rank") - F.col("_run._lo")).alias("slot"))

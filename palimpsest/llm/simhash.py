@@ -18,7 +18,7 @@ found by alternating stars (see components).
 
 Defined results: a null or empty text, or one of white space, has no words and fingerprint zero, which links
 like any other; a text of fewer words than a shingle is one shingle; a null id is kept, and its component is the
-smallest id that it reaches, or null if it reaches none; repeated ids and rows each keep a row.
+smallest id that it reaches, or null if it reaches none; repeated ids and rows each keep a row. Other columns have no part in it, whatever their names.
 """
 
 from __future__ import annotations
@@ -242,21 +242,21 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, distance: int = 2, sh
 
 
 def one_of_each(df: DataFrame, doc_id: str, text: str, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """df, all columns, with one row of each component: that of the smallest doc_id (any one, if several have it)."""
+    """df, all columns, with one row of each component: that of the smallest doc_id; of several that have it, the first by text, then by the whole row as JSON."""
     marked, named = _resolved(df, doc_id, text, distance, shingle, seed)
     n = marked.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     if n.rows == n.ids:  # ids name rows
-        kept = marked.join(named, "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
-        return df.join(kept, df[doc_id].cast("long") == F.col("_kept"), "left_semi")
-    columns = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("_fp", T.LongType())])
-    at = columns.index(text)
+        # those that go are few beside those that stay, and their table's size is known: small, it is broadcast, and the texts stay where they are
+        gone = cut(marked.join(named, "fp").where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+        return df.join(gone, df[doc_id].cast("long") == gone["doc_id"], "left_anti")
+    schema = T.StructType([T.StructField("row", df.schema), T.StructField("print", T.LongType())])
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*b.columns, pa.array(fingerprints(texts(b.column(at)), shingle, seed))], names=schema.names)
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(texts(b.column(1)), shingle, seed))], names=schema.names)
 
         return run
 
-    rows = map_batches(df, schema, make).join(named.withColumnRenamed("fp", "_fp").withColumnsRenamed({"root": "_root", "component_id": "_least"}), "_fp")
-    return rows.where(F.col(doc_id).cast("long").eqNullSafe(F.col("_least"))).dropDuplicates(["_root"]).select(*columns)
+    rows = map_batches(df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[text].alias("t")), schema, make).join(named, F.col("print") == named["fp"])
+    first = rows.where(F.col("row")[doc_id].cast("long").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min_by("row", F.struct(F.col("row")[text], F.to_json("row"))).alias("row"))
+    return first.select(*(F.col("row")[c].alias(c) for c in df.columns))
