@@ -64,8 +64,11 @@ GENERIC = ["punctuation", "Load", "Store", "Del", "operator"]
 OPERATOR_FAMILIES = {
     "Python": [["Add", "Sub"], ["Mult", "Div", "FloorDiv", "Mod"], ["Eq", "NotEq"], ["Lt", "LtE", "Gt", "GtE"], ["And", "Or"], ["LShift", "RShift"], ["BitAnd", "BitOr", "BitXor"]],
 }
-#: What the last part of a callee says if the call only reports.
-DIAGNOSTIC_WORDS = ["print", "log", "debug", "info", "warn", "error", "trace", "assert", "panic", "printf", "format", "fatal", "exception", "expect", "require", "check", "verify", "report", "dump", "echo", "write", "emit"]
+# What the last part of a callee contains, in lower case, if the call only reports.
+DIAGNOSTIC_WORDS = [
+    "printf", "fprintf", "sprintf", "eprintln", "eprint", "panic", "bail", "unreachable", "todo", "unimplemented", "assert",
+    "log", "error", "err", "warn", "warning", "info", "debug", "trace", "fatal", "critical", "die",
+]
 
 
 def _map(d: dict, value=lambda v: F.lit(v)) -> Column:

@@ -5,7 +5,7 @@ nodes are rows of trees.flatten() with a pair_id; mapping has (pair_id, b_pre, a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.matching import EXPENSIVE, unit_cost
@@ -39,8 +39,6 @@ def wide_unmapped(nodes: DataFrame, mapping: DataFrame, side: str, least: int =
 
 def wholly_unmapped(nodes: DataFrame, mapping: DataFrame, side: str) -> DataFrame:
     """Nodes of whose subtree no node has a partner: the partners in [pre, pre + size) are counted by running sums, not by pairs."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("pair_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     flag = nodes.join(mapped(mapping, side), ["pair_id", "pre"], "left").withColumn("_upto", F.sum(F.col("other").isNotNull().cast("int")).over(w))
     ends = flag.select("pair_id", F.col("pre").alias("_last"), F.col("_upto").alias("_at_last"))
@@ -50,14 +48,26 @@ def wholly_unmapped(nodes: DataFrame, mapping: DataFrame, side: str) -> DataFram
 
 
 def shared_descendants(before: DataFrame, after: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(pair_id, b_pre, a_pre, shared): how many nodes below b map below a, for each mapped pair that has children."""
+    """(pair_id, b_pre, a_pre, shared): how many nodes below b map below a, for each mapped pair where any do.
+
+    Each mapped pair meets the partners of its own ancestors only: equi-joins, as many rows as nodes are deep. Nodes need their `ancestors`.
+    """
     m = mapping.where("b_pre is not null and a_pre is not null").select("pair_id", "b_pre", "a_pre")
-    b = before.select("pair_id", F.col("pre").alias("b_pre"), F.col("size").alias("b_size"))
-    a = after.select("pair_id", F.col("pre").alias("a_pre"), F.col("size").alias("a_size"))
-    tops = m.join(b, ["pair_id", "b_pre"]).join(a, ["pair_id", "a_pre"]).where("b_size > 1 and a_size > 1")
-    inner = m.select("pair_id", F.col("b_pre").alias("x"), F.col("a_pre").alias("y"))
-    met = tops.join(inner, "pair_id").where("x > b_pre and x < b_pre + b_size and y > a_pre and y < a_pre + a_size")
-    return met.groupBy("pair_id", "b_pre", "a_pre").agg(F.count("*").alias("shared"))
+    b = before.select("pair_id", F.col("pre").alias("b_pre"), F.col("ancestors").alias("b_up"))
+    a = after.select("pair_id", F.col("pre").alias("a_pre"), F.col("ancestors").alias("a_up"))
+    inner = m.join(b, ["pair_id", "b_pre"]).join(a, ["pair_id", "a_pre"]).select("pair_id", F.explode("b_up").alias("b_pre"), "a_up")
+    return inner.join(m, ["pair_id", "b_pre"]).where(F.array_contains("a_up", F.col("a_pre"))).groupBy("pair_id", "b_pre", "a_pre").agg(F.count("*").alias("shared"))
+
+
+def by_paths(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(pair_id, b_pre, a_pre, b_path, a_path, op, cost): the mapping in which nodes of one path are partners, whatever they hold."""
+    side = lambda nodes, s: nodes.select("pair_id", "path", F.col("pre").alias(f"{s}_pre"), F.col("path").alias(f"{s}_path"), F.col("full_hash").alias(f"{s}_hash"), (F.col("size") == 1).alias(f"{s}_leaf"))
+    met = side(before, "b").join(side(after, "a"), ["pair_id", "path"], "full_outer")
+    op = (
+        F.when(F.col("a_pre").isNull(), "Delete").when(F.col("b_pre").isNull(), "Insert").when(F.col("b_hash") == F.col("a_hash"), "Identical")
+        .when(F.col("b_leaf") & F.col("a_leaf"), "Update").otherwise("MatchButNotIdentical")
+    )
+    return met.select("pair_id", "b_pre", "a_pre", "b_path", "a_path", op.alias("op")).withColumn("cost", unit_cost(F.col("op"), F.lit(1)))
 
 
 def router(mapping: DataFrame) -> DataFrame:
@@ -85,9 +95,16 @@ def coarse_cost(rows: DataFrame) -> DataFrame:
 
 
 def quiet_subtrees(nodes: DataFrame, mapping: DataFrame, least: int = 20) -> DataFrame:
-    """(pair_id, pre, size) of the largest before-side subtrees in which every node is Identical, of more than `least` nodes."""
-    loud = mapping.where("b_pre is not null and op <> 'Identical'").select("pair_id", F.col("b_pre").alias("x"))
-    quiet = nodes.join(loud, (nodes.pair_id == loud.pair_id) & (loud.x >= nodes.pre) & (loud.x < nodes.pre + nodes.size), "left_anti")
+    """(pair_id, pre, size) of the largest before-side subtrees in which every node is Identical, of more than `least` nodes.
+
+    What is not Identical in [pre, pre + size) is counted by running sums, not by pairs.
+    """
+    calm = mapping.where("b_pre is not null and op = 'Identical'").select("pair_id", F.col("b_pre").alias("pre"), F.lit(0).alias("_loud"))
+    w = Window.partitionBy("pair_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    flag = nodes.select("pair_id", "pre", "size", "parent_pre").join(calm, ["pair_id", "pre"], "left").na.fill(1, ["_loud"]).withColumn("_upto", F.sum("_loud").over(w))
+    ends = flag.select("pair_id", F.col("pre").alias("_last"), F.col("_upto").alias("_at_last"))
+    met = flag.withColumn("_last", F.col("pre") + F.col("size") - 1).join(ends, ["pair_id", "_last"])
+    quiet = met.where(F.col("_at_last") - F.col("_upto") + F.col("_loud") == 0).select("pair_id", "pre", "size", "parent_pre")
     parents = quiet.select("pair_id", F.col("pre").alias("parent_pre"))
     return quiet.join(parents, ["pair_id", "parent_pre"], "left_anti").where(F.col("size") > least).select("pair_id", "pre", "size")
 

@@ -48,26 +48,28 @@ def distance(a: Forest, b: Forest, change: Callable[[int, int], float]) -> tuple
     n, m = len(a.node), len(b.node)
     cost = np.full((n, m), 1e9)
     for i in range(n - 1):
-        for j in range(m - 1):
-            cost[i, j] = change(a.node[i], b.node[j])
+        cost[i, : m - 1] = [change(a.node[i], y) for y in b.node[:-1]]
     cost[n - 1, m - 1] = 0  # the forests' own roots only match each other
     tree = np.zeros((n, m))
+    left = np.array(b.left)
 
     def forest(i: int, j: int) -> np.ndarray:
+        """Distances of all prefixes of two subtrees, a row at a time: insertions, which chain along a row, are a running minimum."""
         li, lj = a.left[i], b.left[j]
         f = np.zeros((i - li + 2, j - lj + 2))
         f[:, 0], f[0, :] = np.arange(len(f)), np.arange(f.shape[1])
+        along = np.arange(f.shape[1]) * INSERT
+        back = left[lj : j + 1] - lj
+        whole_y = np.flatnonzero(back == 0)
         for x in range(li, i + 1):
-            whole_x = a.left[x] == li
-            row, above, start = f[x - li + 1], f[x - li], f[a.left[x] - li]
-            for y in range(lj, j + 1):
-                k = y - lj + 1
-                best = min(above[k] + DELETE, row[k - 1] + INSERT)
-                if whole_x and b.left[y] == lj:
-                    row[k] = min(best, above[k - 1] + cost[x, y])
-                    tree[x, y] = row[k]
-                else:
-                    row[k] = min(best, start[b.left[y] - lj] + tree[x, y])
+            row, above = f[x - li + 1], f[x - li]
+            best = f[a.left[x] - li][back] + tree[x, lj : j + 1]
+            if whole_x := a.left[x] == li:
+                best[whole_y] = above[whole_y] + cost[x, lj + whole_y]
+            row[1:] = np.minimum(above[1:] + DELETE, best)
+            row[:] = np.minimum.accumulate(row - along) + along
+            if whole_x:
+                tree[x, lj + whole_y] = row[1 + whole_y]
         return f
 
     for i in a.keyroots:

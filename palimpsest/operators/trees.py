@@ -20,7 +20,7 @@ from palimpsest.operators.parsers import Node, parse
 NODE_FIELDS = (
     "pre int, post int, parent_pre int, sib_idx int, depth int, size int, n_children int, kind string, path string, text string, own_text string, start int, end int, "
     "start_row int, start_col int, end_row int, end_col int, decl_name string, is_anchor boolean, in_comment boolean, widest_n int, widest_pre int, "
-    "full_hash long, structural_hash long, kind_value_hash long, kind_only_hash long"
+    "full_hash long, structural_hash long, kind_value_hash long, kind_only_hash long, ancestors array<int>"
 )
 
 
@@ -35,7 +35,7 @@ def _hash(*parts: object) -> int:
 class Tree:
     """A parsed text as arrays by pre."""
 
-    def __init__(self, text: str, root: Node, language: str):
+    def __init__(self, text: str, root: Node, language: str, hashed: bool = True):
         self.text_all, self.language = text, language
         self.kind: list[str] = []
         self.start: list[int] = []
@@ -75,7 +75,8 @@ class Tree:
         for i in range(n):
             # as many end before a node as stand before it, less its ancestors, plus its descendants
             self.post[i] = i - self.depth[i] + self.size[i] - 1
-        self._hashes()
+        if hashed:
+            self._hashes()
         self.anchor = [k in ANCHORS.get(language, ()) for k in self.kind]
         self.comment = [k in COMMENT_KINDS for k in self.kind]
 
@@ -137,9 +138,9 @@ class Tree:
         return out
 
 
-def build(text: str, language: str | None) -> Tree | None:
+def build(text: str, language: str | None, hashed: bool = True) -> Tree | None:
     root = parse(text, language)
-    return Tree(text, root, language) if root else None
+    return Tree(text, root, language, hashed) if root else None
 
 
 def positions(text: str, places: list[int]) -> list[tuple[int, int]]:
@@ -152,9 +153,41 @@ def positions(text: str, places: list[int]) -> list[tuple[int, int]]:
     return [(r, p - starts[r]) for p in places for r in [bisect_right(starts, max(p, 0)) - 1]]
 
 
-def flatten(units: DataFrame, unit_id: str, contents: str, language: str) -> DataFrame:
-    """(unit_id, node columns) of each node of each unit with a tree. Units are independent, so nothing is shuffled."""
-    schema = T.StructType([T.StructField("unit_id", units.schema[unit_id].dataType), *T.StructType.fromDDL(NODE_FIELDS).fields])
+def _columns(tree: Tree) -> dict:
+    """How to make each node column of a tree."""
+    start = lambda k: [p[k] for p in positions(tree.text_all, tree.start)]
+    end = lambda k: [p[k] for p in positions(tree.text_all, tree.end)]
+
+    def in_comment() -> list[bool]:
+        out = list(tree.comment)
+        for i in range(1, tree.n):
+            out[i] = out[i] or out[tree.parent[i]]
+        return out
+
+    def ancestors() -> list[list[int]]:
+        out: list[list[int]] = [[]]
+        for i in range(1, tree.n):
+            out.append([*out[tree.parent[i]], tree.parent[i]])
+        return out
+
+    return {
+        "pre": lambda: range(tree.n), "post": lambda: tree.post, "parent_pre": lambda: [None if p < 0 else p for p in tree.parent], "sib_idx": lambda: tree.sib, "depth": lambda: tree.depth, "size": lambda: tree.size,
+        "n_children": lambda: [len(c) for c in tree.children], "kind": lambda: tree.kind, "path": tree.paths, "text": lambda: [tree.text(i) if tree.leaf(i) else None for i in range(tree.n)],
+        "own_text": lambda: ["".join(tree.gaps(i)) for i in range(tree.n)], "start": lambda: tree.start, "end": lambda: tree.end, "start_row": lambda: start(0), "start_col": lambda: start(1), "end_row": lambda: end(0), "end_col": lambda: end(1),
+        "decl_name": lambda: tree.name, "is_anchor": lambda: tree.anchor, "in_comment": in_comment, "widest_n": lambda: [w[0] for w in tree.widest], "widest_pre": lambda: [w[1] for w in tree.widest],
+        "full_hash": lambda: tree.full, "structural_hash": lambda: tree.structural, "kind_value_hash": lambda: tree.value, "kind_only_hash": lambda: tree.only, "ancestors": ancestors,
+    }
+
+
+def flatten(units: DataFrame, unit_id: str, contents: str, language: str, columns: list[str] | None = None) -> DataFrame:
+    """(unit_id, node columns) of each node of each unit with a tree; only the named columns are worked out (all, if none are named).
+
+    Units are independent, so nothing is shuffled.
+    """
+    known = T.StructType.fromDDL(NODE_FIELDS)
+    wanted = known.names if columns is None else columns
+    schema = T.StructType([T.StructField("unit_id", units.schema[unit_id].dataType), *(known[c] for c in wanted)])
+    hashed = any(c.endswith("_hash") for c in wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -162,20 +195,11 @@ def flatten(units: DataFrame, unit_id: str, contents: str, language: str) -> Dat
         fields = to_arrow_schema(schema)
         for b in batches:
             for unit, text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tree = build(text or "", lang)
+                tree = build(text or "", lang, hashed)
                 if tree is None:
                     continue
-                n = tree.n
-                starts, ends = positions(tree.text_all, tree.start), positions(tree.text_all, tree.end)
-                inside = list(tree.comment)
-                for i in range(1, n):
-                    inside[i] = inside[i] or inside[tree.parent[i]]
-                columns = [
-                    [unit] * n, range(n), tree.post, [None if p < 0 else p for p in tree.parent], tree.sib, tree.depth, tree.size, [len(c) for c in tree.children], tree.kind,
-                    tree.paths(), [tree.text(i) if tree.leaf(i) else None for i in range(n)], ["".join(tree.gaps(i)) for i in range(n)], tree.start, tree.end,
-                    [p[0] for p in starts], [p[1] for p in starts], [p[0] for p in ends], [p[1] for p in ends], tree.name, tree.anchor, inside,
-                    [w[0] for w in tree.widest], [w[1] for w in tree.widest], tree.full, tree.structural, tree.value, tree.only,
-                ]
+                make = _columns(tree)
+                columns = [[unit] * tree.n, *(make[c]() for c in wanted)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     return units.select(unit_id, contents, language).mapInArrow(run, schema)
@@ -195,13 +219,12 @@ def anchors(nodes: DataFrame, min_size: int = 45) -> DataFrame:
 
 
 def with_ancestors(nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """(unit_id, pre, a_<column>...) of each node and each of its ancestors, by nested sets.
+    """(unit_id, pre, a_<column>...) of each node and each of its ancestors: one equi-join on (unit, ancestor), as many rows as nodes are deep.
 
-    A range join within a unit, keyed by unit: each unit is one key, and the ranges are tested within it.
+    nodes need their `ancestors`.
     """
-    a = nodes.select("unit_id", F.col("pre").alias("_lo"), (F.col("pre") + F.col("size")).alias("_hi"), *(F.col(c).alias(f"a_{c}") for c in columns))
-    d = nodes.select("unit_id", "pre")
-    return d.join(a, "unit_id").where("pre > _lo and pre < _hi").drop("_lo", "_hi")
+    a = nodes.select("unit_id", F.col("pre").alias("_up"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    return nodes.select("unit_id", "pre", F.explode("ancestors").alias("_up")).join(a, ["unit_id", "_up"]).drop("_up")
 
 
 def enclosing(points: DataFrame, nodes: DataFrame, row: str = "row") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import alignment, matching, ranges, trees
 from palimpsest.operators.pairs import neighbours
-from palimpsest.plans.corpus import PAIRS
+from palimpsest.plans.corpus import LINES, PAIRS
 from palimpsest.session import table
 
 QUERIES = {}
@@ -36,14 +36,24 @@ def event_units(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "props", F.lit("JSON").alias("language"))
 
 
-def page_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return trees.flatten(table(spark, d, "pages").withColumn("language", F.lit("HTML")), "page_id", "html", "language")
+def page_nodes(spark: SparkSession, d: str, columns: list[str] | None = None, where: str = "true") -> DataFrame:
+    return trees.flatten(table(spark, d, "pages").where(where).withColumn("language", F.lit("HTML")), "page_id", "html", "language", columns)
 
 
 # ---- lines
 
 
-@query()
+@query(f"""
+with recursive l as {LINES}, b as (select * from l where side = 'before'), a as (select * from l where side = 'after'),
+p as (select pair_id from {PAIRS}), n as (select pair_id, count(b.row) as n from p left join b using (pair_id) group by 1), m as (select pair_id, count(a.row) as m from p left join a using (pair_id) group by 1),
+t(pair_id, i, j, v) as (
+  select pair_id, 0, cast(unnest(generate_series(0, m)) as integer), 0 from m
+  union all
+  select x.pair_id, x.i + 1, x.j, greatest(x.v, max(case when b.line = a.line then x.before + 1 else 0 end) over (partition by x.pair_id order by x.j))
+  from (select *, lag(v, 1, 0) over (partition by pair_id order by j) as before from t) x
+  join b on b.pair_id = x.pair_id and b.row = x.i left join a on a.pair_id = x.pair_id and a.row = x.j - 1
+)
+select pair_id, cast(m - v as bigint) as inserted, cast(n - v as bigint) as deleted, cast(0 as bigint) as updated from t join n using (pair_id) join m using (pair_id) where i = n and j = m""")
 def line_diff_counts(spark, d):
     return alignment.count_ops(alignment.line_diffs(doc_pairs(spark, d)))
 
@@ -72,14 +82,14 @@ def line_disagreement(spark, d):
 select event_id as unit_id, 'pair' as kind, count(*) as n from (select event_id, unnest(json_keys(props)) as k from events) group by 1
 """)
 def json_pairs_per_event(spark, d):
-    nodes = trees.flatten(event_units(spark, d), "event_id", "props", "language")
+    nodes = trees.flatten(event_units(spark, d), "event_id", "props", "language", ["kind", "depth"])
     return nodes.where("kind = 'pair' and depth = 2").groupBy("unit_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("""
 select event_id, json_keys(props)[1] as name, json_extract_string(props, '$.' || json_keys(props)[1]) as value from events where json_keys(props)[1] is not null""")
 def json_leaves(spark, d):
-    nodes = trees.flatten(event_units(spark, d), "event_id", "props", "language")
+    nodes = trees.flatten(event_units(spark, d), "event_id", "props", "language", ["pre", "kind", "depth", "sib_idx", "parent_pre", "decl_name", "text"])
     pairs = nodes.where("kind = 'pair' and depth = 2 and sib_idx = 0").select("unit_id", F.col("pre").alias("p"), F.col("decl_name").alias("name"))
     values = nodes.where("depth = 3 and sib_idx = 1").select("unit_id", F.col("parent_pre").alias("p"), F.regexp_replace("text", '^"|"$', "").alias("value"))
     return pairs.join(values, ["unit_id", "p"]).select(F.col("unit_id").alias("event_id"), "name", "value")
@@ -88,51 +98,52 @@ def json_leaves(spark, d):
 @query("""
 select page_id, count(*) as paragraphs from (select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '<p>')) as t from pages) group by 1""")
 def html_paragraphs(spark, d):
-    n = page_nodes(spark, d).where("kind = 'element' and decl_name = 'p'")
+    n = page_nodes(spark, d, ["kind", "decl_name"]).where("kind = 'element' and decl_name = 'p'")
     return n.groupBy(F.col("unit_id").alias("page_id")).agg(F.count("*").alias("paragraphs"))
 
 
 @query()
 def node_kind_counts(spark, d):
-    return trees.kind_counts(page_nodes(spark, d))
+    return trees.kind_counts(page_nodes(spark, d, ["kind", "size"]))
 
 
 @query()
 def tree_anchors(spark, d):
-    return trees.anchors(page_nodes(spark, d)).select("unit_id", "pre", "kind", "size", "start", "path")
+    return trees.anchors(page_nodes(spark, d, ["pre", "kind", "size", "start", "path", "is_anchor"])).select("unit_id", "pre", "kind", "size", "start", "path")
 
 
 @query()
 def subtree_sizes_by_range(spark, d):
     """Sizes counted from ancestors, beside those that the flattening gives."""
-    nodes = page_nodes(spark, d)
+    nodes = page_nodes(spark, d, ["pre", "size", "ancestors"])
     counted = trees.with_ancestors(nodes, ["pre", "size"]).groupBy("unit_id", F.col("a_pre").alias("pre"), F.col("a_size").alias("size")).agg((F.count("*") + 1).alias("counted"))
     return counted.select("unit_id", "pre", "size", "counted", (F.col("size") == F.col("counted")).alias("same"))
 
 
 @query()
 def repeated_subtrees(spark, d):
-    return trees.repeated_subtrees(page_nodes(spark, d)).select("size", "copies", "units")
+    return trees.repeated_subtrees(page_nodes(spark, d, ["size", "full_hash"])).select("size", "copies", "units")
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = page_nodes(spark, d).withColumn("pair_id", F.col("unit_id") - F.col("unit_id") % 2)
-    return nodes.where("unit_id % 2 = 0"), nodes.where("unit_id % 2 = 1")
+def _sides(spark: SparkSession, d: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the pages with even and with odd ids; each side parses its own pages only."""
+    side = lambda k: page_nodes(spark, d, columns, f"page_id % 2 = {k}").withColumn("pair_id", F.col("unit_id") - k)
+    return side(0), side(1)
 
 
 @query()
 def unique_subtree_matches(spark, d):
-    return trees.unique_hash_matches(*_sides(spark, d), ["pair_id"])
+    return trees.unique_hash_matches(*_sides(spark, d, ["pre", "size", "parent_pre", "full_hash"]), ["pair_id"])
 
 
 @query()
 def unique_name_matches(spark, d):
-    return trees.named_matches(*_sides(spark, d), ["pair_id"])
+    return trees.named_matches(*_sides(spark, d, ["pre", "kind", "decl_name"]), ["pair_id"])
 
 
 @query()
 def enclosing_declaration(spark, d):
-    nodes = page_nodes(spark, d)
+    nodes = page_nodes(spark, d, ["kind", "start_row", "end_row", "depth", "decl_name"])
     points = nodes.where("kind = 'text'").select("unit_id", F.col("start_row").alias("row")).distinct()
     return trees.enclosing(points, nodes)
 
@@ -168,7 +179,7 @@ def ablation(spark, d):
 def mapping_accuracy(spark, d):
     """The mapping against entries taken from unique subtrees: equal subtrees that stand once on each side match."""
     pairs = page_pairs(spark, d)
-    b, a = _sides(spark, d)
+    b, a = _sides(spark, d, ["pre", "size", "parent_pre", "full_hash", "path"])
     met = trees.unique_hash_matches(b, a, ["pair_id"], min_size=4)
     truth = (
         met.join(b.select("pair_id", F.col("pre").alias("before_pre"), F.col("path").alias("before_path")), ["pair_id", "before_pre"])
@@ -217,7 +228,7 @@ def greedy_line_assignment(spark, d):
 
 
 def _mapped_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    b, a = _sides(spark, d)
+    b, a = _sides(spark, d, ["pre", "size", "parent_pre", "ancestors"])
     return b, a, matching.mappings(page_pairs(spark, d)).select("pair_id", "b_pre", "a_pre", "op")
 
 
@@ -271,11 +282,11 @@ def wide_residuals(spark, d):
 def declared_names(spark, d):
     from palimpsest.operators import mapping
 
-    return mapping.statement_identities(_sides(spark, d)[0])
+    return mapping.statement_identities(_sides(spark, d, ["pre", "kind", "decl_name"])[0])
 
 
 @query()
 def tree_dumps(spark, d):
     from palimpsest.operators import reports
 
-    return reports.tree_dump(page_nodes(spark, d))
+    return reports.tree_dump(page_nodes(spark, d, ["pre", "depth", "kind", "text"]))

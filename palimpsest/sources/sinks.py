@@ -20,23 +20,41 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
 
+def _replace(spark: SparkSession, path: str) -> None:
+    """Put the whole table at path.new in the place of the one at path, which is kept as path.old until that is done."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.delete(at(f"{path}.old"), True)
+    for a, b in ((path, f"{path}.old"), (f"{path}.new", path)):
+        if not fs.rename(at(a), at(b)):
+            raise OSError(f"{a} could not be renamed to {b}")
+    fs.delete(at(f"{path}.old"), True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring back the table at path if a replacement was broken off between taking the old one away and putting the new one in its place."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    if not _exists(spark, path) and _exists(spark, f"{path}.old"):
+        fs = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.rename(at(f"{path}.old"), at(path)):
+            raise OSError(f"{path}.old could not be renamed to {path}")
+
+
 def merge(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
     """Write rows into the Parquet table at path, in place of those of equal keys; the last of several new ones wins.
 
-    The table is written anew beside the old one and takes its place when whole, so a reader sees one or the other.
+    The table is written anew beside the old one and takes its place when whole. A break between the two renames leaves the old table at path.old,
+    from where the next call (or recover()) brings it back.
     """
     spark = rows.sparkSession
+    recover(spark, path)
     new = latest(rows, keys, order)
     if not _exists(spark, path):
         new.write.parquet(path)
         return
     old = spark.read.parquet(path)
     upsert(old, new.select(*old.columns), keys).write.mode("overwrite").parquet(f"{path}.new")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.rename(fs_path(path), fs_path(f"{path}.old"))
-    fs.rename(fs_path(f"{path}.new"), fs_path(path))
-    fs.delete(fs_path(f"{path}.old"), True)
+    _replace(spark, path)
 
 
 def sorted_csv(rows: DataFrame, path: str, order: list[str]) -> None:
@@ -70,7 +88,7 @@ def statistics_tables(units: DataFrame) -> dict[str, DataFrame]:
 
     files = file_statistics(units)
     counted = units.join(files.where("counted and not automatically_generated").select("path"), "path", "left_semi")
-    kinds = flatten(counted, "path", "contents", "language").groupBy(F.col("unit_id").alias("path"), "kind", (F.length(F.bin("size")) - 1).cast("int").alias("size_bucket")).agg(F.count("*").alias("n"))
+    kinds = flatten(counted, "path", "contents", "language", ["kind", "size"]).groupBy(F.col("unit_id").alias("path"), "kind", (F.length(F.bin("size")) - 1).cast("int").alias("size_bucket")).agg(F.count("*").alias("n"))
     stamped = kinds.join(units.select("path", "last_updated"), "path")
     by_kind = stamped.groupBy("path", "kind", "last_updated").agg(F.sum("n").alias("n"))
     nodes = kinds.groupBy("path").agg(F.sum("n").alias("ast_nodes"))
@@ -86,13 +104,10 @@ def write_statistics(units: DataFrame, target: str) -> None:
     spark = units.sparkSession
     for name, rows in statistics_tables(units).items():
         path = f"{target}/{name}"
+        recover(spark, path)
         if name != "files" and _exists(spark, path):
             rest = spark.read.parquet(path).join(units.select("path"), "path", "left_anti")
-            rows = rest.unionByName(rows)
-            rows.write.mode("overwrite").parquet(f"{path}.next")
-            fs_path = spark._jvm.org.apache.hadoop.fs.Path
-            fs = fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-            fs.delete(fs_path(path), True)
-            fs.rename(fs_path(f"{path}.next"), fs_path(path))
+            rest.unionByName(rows).write.mode("overwrite").parquet(f"{path}.new")
+            _replace(spark, path)
         else:
             merge(rows, path, STATISTICS[name], ["last_updated"])

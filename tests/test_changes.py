@@ -290,3 +290,43 @@ def test_samples(spark):
     assert diff == {(0, "left"), (2, "right")}
     other = {r.s: r.n for r in sampling.top_and_other(df.withColumn("s", F.col("id").cast("string")), "s", 2).collect()}
     assert other["Other"] == 58 and len(other) == 3
+
+
+def test_edit_distance_is_the_least_of_all(monkeypatch):
+    """Against a search through all ways to delete, insert and change, on random trees."""
+    import functools
+    import random
+
+    r = random.Random(4)
+
+    def tree(n):
+        children = {i: [] for i in range(n)}
+        for i in range(1, n):
+            children[r.randrange(i)].append(i)
+        return children, [r.choice("abc") for _ in range(n)]
+
+    for _ in range(150):
+        (x, la), (y, lb) = tree(r.randint(1, 6)), tree(r.randint(1, 6))
+        change = lambda i, j: 0 if la[i] == lb[j] else 1.5  # noqa: B023, E731
+
+        @functools.cache
+        def least(f, g):
+            if not f or not g:
+                return sum(1 + least(tuple(x[i]), ()) for i in f) + sum(1 + least((), tuple(y[j])) for j in g)  # noqa: B023
+            i, j = f[-1], g[-1]
+            return min(
+                least((*f[:-1], *x[i]), g) + 1,  # noqa: B023
+                least(f, (*g[:-1], *y[j])) + 1,  # noqa: B023
+                least(f[:-1], g[:-1]) + least(tuple(x[i]), tuple(y[j])) + change(i, j),  # noqa: B023
+            )
+
+        found, pairs = ted.distance(ted.Forest([0], x.__getitem__), ted.Forest([0], y.__getitem__), change)
+        assert found == least((0,), (0,))
+        assert found == sum(change(i, j) for i, j in pairs) + len(la) + len(lb) - 2 * len(pairs)
+
+
+def test_large_forests_are_matched_by_edit_distance():
+    page = lambda words: "<div>" + "".join(f"<span>{w} {k}</span>" for k, w in enumerate(words)) + "</div>"
+    b, a = trees.build(page(["left"] * 40), "HTML"), trees.build(page(["right"] * 41), "HTML")
+    m = matching.match(b, a, matching.Config(exact=True))
+    assert len(m.to_a) >= b.n - 2

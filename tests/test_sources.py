@@ -139,3 +139,12 @@ def test_streamed_files(spark, tmp_path):
 def test_running_counts(spark):
     df = spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'a' as k union all select timestamp'2024-01-01 00:50:00', 'a' union all select timestamp'2024-01-01 01:00:00', 'b'")
     assert sorted((r.k, r.n) for r in ingest.running_counts(df, "ts", "k").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_a_broken_replacement_loses_no_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one = spark.createDataFrame([(1, "a", 1)], "k int, v string, t int")
+    sinks.merge(one, path, ["k"], ["t"])
+    (tmp_path / "t").rename(tmp_path / "t.old")  # broken off between the two renames
+    sinks.merge(spark.createDataFrame([(2, "b", 1)], one.schema), path, ["k"], ["t"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a", 1), (2, "b", 1)] and not (tmp_path / "t.old").exists()
