@@ -1,7 +1,7 @@
 """Main text of web pages by the maximum-scoring subsequence of their tokens.
 
 A page is a sequence of tags and text runs. Words score positive and tags negative, with weights
-counted on labelled pages (train()): a tag's weight is the log odds that it stands in main text, and the
+counted on labelled pages (train()): pages composed at random, and a bounded sample of the table's own pages that name their article (learned()). A tag's weight is the log odds that it stands in main text, and the
 names of elements (tag, classes, id, role) whose words are rarely main text mark subtrees as apart. Such a subtree
 scores nothing, so that an advert in the middle does not part an article in two. One linear scan
 finds the contiguous region of the highest score; its words, less those of subtrees that are apart, are the text.
@@ -53,6 +53,8 @@ BLOCKS = set(
 SECTIONS = {"nav", "header", "footer", "aside", "section", "menu", "details", "fieldset", "figure", "table", "address"}
 #: Lowest weights: of tags that part a page, and of those within a part, where a short last paragraph must outweigh its own.
 LEAST, LEAST_INNER, UNKNOWN = -3.0, -0.25, -0.05
+#: Pages that learned() takes, about, their longest, and the words from which an article is one.
+SAMPLE, LONGEST, MARKED = 300, 200_000, 30
 #: Never apart themselves, whatever they are called: they hold the whole page or the article.
 WHOLE = {"html", "body", "main", "article"}
 
@@ -64,12 +66,14 @@ class Weights:
     names: dict[str, float]
     least: float = -1.5
 
-    def apart(self, name: str, rest: str) -> bool:
+    def apart(self, name: str, rest: str, inside: bool = False) -> bool:
+        """Whether an element's words are rarely main text; inside an article, its names are judged by articles where they were seen in one."""
         if name in APART:
             return True
         if name in WHOLE:
             return False
-        return any(self.names.get(x, 0.0) < self.least for x in ((name, *called(rest)) if name in SECTIONS else called(rest)))
+        odds = lambda x: self.names.get(f"in {x}", self.names.get(x, 0.0)) if inside else self.names.get(x, 0.0)
+        return any(odds(x) < self.least for x in ((name, *called(rest)) if name in SECTIONS else called(rest)))
 
 
 def called(rest: str) -> set[str]:
@@ -105,30 +109,59 @@ def tokens(page: str):
 
 
 def parsed(page: str, weights: Weights):
-    """tokens() with whether each lies apart, from a stack of open elements."""
+    """(kind, value, whether it lies apart, whether a tag stands inside an article), from a stack of open elements. An end tag closes the nearest open element of its name, but none
+    around an article from inside it; where each name is open is kept, so that no tag searches the stack."""
+    seen = list(tokens(page))
+    whole = whole_forms(seen)
     stack: list[tuple[str, bool]] = []
+    open_at: dict[str, list[int]] = {}
+    held = [-1]  # where elements are open that no other name's end tag closes
     apart = False
-    for kind, value, rest in tokens(page):
+    for k, (kind, value, rest) in enumerate(seen):
         if kind == "open":
             if value == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            here = apart or weights.apart(value, rest)
-            yield kind, value, here
-            if value not in VOID and not rest.endswith("/"):
+                open_at["p"].pop()
+            inside = bool(open_at.get("article") or open_at.get("main"))
+            here = apart or (k not in whole and weights.apart(value, rest, inside))
+            yield kind, value, here, inside
+            if value not in VOID:
+                open_at.setdefault(value, []).append(len(stack))
+                if value in ("article", "main", "body"):
+                    held.append(len(stack))
                 stack.append((value, here))
                 apart = here
         elif kind == "close":
             was = apart
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == value:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "main", "body") and value not in WHOLE:
-                    break
+            at = open_at[value][-1] if open_at.get(value) else -1
+            if at >= 0 and (at > held[-1] or value in WHOLE):
+                while len(stack) > at:
+                    name, _ = stack.pop()
+                    open_at[name].pop()
+                    if held[-1] == len(stack):
+                        held.pop()
             apart = stack[-1][1] if stack else False
-            yield kind, value, was
+            yield kind, value, was, bool(open_at.get("article") or open_at.get("main"))
         else:
-            yield kind, value, apart
+            yield kind, value, apart, False
+
+
+def whole_forms(seen: list[tuple[str, str, str]]) -> set[int]:
+    """Places of form tags whose form holds more than half of all words of a page: it wraps the page and is not a part of it."""
+    words, at, forms, raw = 0, None, {}, None
+    for k, (kind, value, _) in enumerate(seen):
+        if kind == "text":
+            n = 0 if raw else len(value.split())
+            words += n
+            if at is not None:
+                forms[at] += n
+        raw = value in RAW if kind == "open" else None if kind == "close" else raw
+        if value == "form" and kind == "open" and at is None:
+            at = k
+            forms[k] = 0
+        elif value == "form" and kind == "close":
+            at = None
+    return {k for k, n in forms.items() if 2 * n > words}
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -147,14 +180,18 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str, weights: Weights) -> str:
     seen = list(parsed(page, weights))
-    scores = [
-        0.0 if apart else weights.word * len(value.split()) if kind == "text" else weights.tags.get(value, UNKNOWN)
-        for kind, value, apart in seen
-    ]
+    def score(kind: str, value: str, apart: bool, inside: bool) -> float:
+        if apart:
+            return 0.0
+        if kind == "text":
+            return weights.word * len(value.split())
+        return max(weights.tags.get(value, UNKNOWN), LEAST_INNER if inside else LEAST)
+
+    scores = [score(*x) for x in seen]
     first, last = region(scores)
     blocks: list[str] = []
     parts: list[str] = []
-    for kind, value, apart in seen[first:last]:
+    for kind, value, apart, _ in seen[first:last]:
         if kind == "text":
             if not apart:
                 parts.append(html.unescape(value))
@@ -188,7 +225,8 @@ def train(pages: Iterable[tuple[str, str]]) -> Weights:
                 is_main = t in main and not any(n in APART for n, _ in stack)
                 n = len(t.split())
                 words[is_main] += n
-                for x in {x for name, more in stack for x in (name, *more)}:
+                around = [k for k, (name, _) in enumerate(stack) if name in ("article", "main")]
+                for x in {("in " if around and k > around[0] else "") + x for k, (name, more) in enumerate(stack) for x in (name, *more)}:
                     names[x] += n
                     of_main[x] += n * is_main
                 for x in pending:  # tags between two runs belong to the main text if both of them do
@@ -255,9 +293,11 @@ def labelled(pages: int = 300, seed: int = 7) -> list[tuple[str, str]]:
             linked = t.replace(" ", f' <a href="/{k}">', 1).replace(" ", "\0", 2).replace(" ", "</a> ", 1).replace("\0", " ") if t.count(" ") > 4 and r.random() < 0.3 else t
             tag = "h1" if not k else r.choice(["p", "p", "p", "p", "p", "h2", "blockquote", "li"])
             lines.append(f"<ul><li>{linked}</li></ul>" if tag == "li" else f"<{tag}>{linked}</{tag}>")
-        if r.random() < 0.3:
-            lines.insert(r.randint(1, len(lines)), part(r.choice(["advert", "share", "note"])))
+        if r.random() < 0.5:
+            lines.insert(r.randint(1, len(lines)), part(r.choice(["advert", "share", "note", "side", "talk", "bottom"])))
         tag, attr = r.choice([("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="post"'), ("section", ' class="entry body text"')])
+        if tag in WHOLE and r.random() < 0.4:  # a title may have a header of its own
+            lines[0] = r.choice(["<header>{}</header>", '<header class="post-header">{}</header>', '<div class="entry-header">{}</div>', '<div id="article-header">{}</div>']).format(lines[0])
         before = [part(k) for k in ("note", "top", "menu", "advert") if r.random() < 0.7]
         after = [part(k) for k in ("side", "talk", "share", "note", "bottom") if r.random() < 0.6]
         out.append(
@@ -274,6 +314,31 @@ def default_weights() -> Weights:
     return train(labelled())
 
 
+def self_labelled(pages: Iterable[str], weights: Weights) -> list[tuple[str, str]]:
+    """(page, main text) of pages that name their article themselves: those with one article element (or, without one, one main element) of MARKED words."""
+    out = []
+    for page in pages:
+        for name in ("article", "main"):
+            found = re.findall(f"<{name}[\\s>].*?(?:</{name}\\s*>|\\Z)", page, re.S | re.I)
+            if found:
+                main = extract(found[0], weights) if len(found) == 1 else ""
+                if len(main.split()) >= MARKED:
+                    out.append((page, main))
+                break
+    return out
+
+
+def learned(df: DataFrame, page: str, sample: int = SAMPLE) -> Weights:
+    """Weights from composed pages and from about `sample` pages of df that name their article themselves, chosen by hash and none longer than LONGEST characters.
+
+    So the names that a site gives to its parts, whatever they are, are learned from where its own pages put them.
+    """
+    n = df.count()
+    share = df.where((F.length(df[page]) <= LONGEST) & (F.pmod(F.xxhash64(df[page]), F.lit(max(1, n // sample))) == 0))
+    chosen = [r[0] for r in share.select(page).limit(2 * sample).collect()]
+    return train([*labelled(), *self_labelled(sorted(chosen), default_weights())])
+
+
 def main_text(df: DataFrame, page: str, keep: list[str], weights: Weights | None = None) -> DataFrame:
     """The keep columns with text (the main text) and n_chars (its code points), in place of columns of these names."""
     keep = [c for c in keep if c not in ("text", "n_chars")]

@@ -62,7 +62,8 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_main.main_text(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
+    pages = table(spark, sf_dir, "pages")
+    return html_main.main_text(pages, "html", ["page_id", "url"], html_main.learned(pages, "html"))
 
 
 @query

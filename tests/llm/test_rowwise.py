@@ -185,6 +185,30 @@ def test_main_text_cases(spark):
     assert html_main.main_text(pages.limit(0), "html", ["page_id"]).count() == 0
 
 
+def test_main_text_of_awkward_pages():
+    w = html_main.default_weights()
+    text = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen."
+    head = "<nav><a href='/'>Home</a></nav>"
+    for attr in ("<header>", '<header class="post-header">', '<div class="post-header">'):
+        assert html_main.extract(f"{head}<article>{attr}<h1>The title</h1></{attr[1:].split()[0].strip('>')}><p>{text}</p></article><footer>(c)</footer>", w) == f"The title\n{text}"
+    assert html_main.extract(f"<body><form action='/'>{head}<div><p>{text}</p></div><input name=x></form></body>", w) == text
+    assert html_main.extract(f"{head}<article><p>{text}</p></article><form><p>Name and address, please</p></form>", w) == text
+    assert html_main.extract(f"<article><p>{text}</p></article><div class='ad'/>Buy this now", w) == text
+    deep = "<div>" + "<article>" + "<b>" * 40_000 + "</div>" * 40_000 + f"<p>{text}</p>"
+    assert html_main.extract(deep, w) == text
+
+
+def test_names_are_learned_from_pages(spark):
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(60)) + "."
+    page = lambda k, tag: f"<body><div class='zqblurb'>Totally unknown kind of a part with some words {k}</div><{tag}><p>{text(k)}</p></{tag}></body>"
+    df = spark.createDataFrame([(k, page(k, "article")) for k in range(80)], "page_id long, html string")
+    plain, new = html_main.default_weights(), html_main.learned(df, "html")
+    assert "zqblurb" not in plain.names and new.apart("div", " class='zqblurb'") and not new.apart("div", " class='unseen'")
+    odd = "<body><div><p>" + text(7) + "</p><div class='zqblurb'>Some words between the two parts</div><p>" + text(8) + "</p></div></body>"
+    assert html_main.extract(odd, new) == text(7) + "\n" + text(8)
+    assert html_main.learned(df.limit(0), "html") == plain
+
+
 def test_best_region():
     r = random.Random(2)
     for _ in range(200):
