@@ -28,7 +28,7 @@ def arrow_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests in one JVM, is a folder of our own set.
+    Only where that setting is absent, in one JVM as in tests, is a folder of our own set; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         if made.isDefined():
             base = made.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             base = tempfile.mkdtemp(prefix="palimpsest-")

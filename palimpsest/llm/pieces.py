@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding that keeps offsets.
 
 A text is normalised by longest prefixes through the model's compiled character map, and each byte
-of the normalised text remembers the source byte it comes from. Pieces of the normalised text are
-then projected to byte spans of the source: consecutive, ascending, and together the whole text. A
+of the normalised text remembers the source byte it comes from. The normalised text is cut into pieces by the library, whose own normalising is
+taken out of the model (without_normalising()), and the pieces are
+projected to byte spans of the source: consecutive, ascending, and together the whole text. A
 byte-fallback piece spans its own byte where the character map leaves the character alone.
 
-Where the model has no character map, normalising only adds space marks, and the projection is a running sum of
-the pieces' lengths; a text that holds a space mark itself, and any other model, takes the general way.
+Where the model has no character map, no character is a prefix of a key: normalising puts a space mark before the text and for each space, and the
+projection is a running sum of the pieces' lengths. A text that holds a space mark itself, and any other model, is normalised character by character.
 
 Defined results: a null text is an empty one; an empty text has no pieces and decodes to itself. Rows are encoded each for itself,
 so repeated rows have equal pieces; other columns stay as they are, but that those named ids, ends and decoded give way to the results.
@@ -17,7 +18,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +57,22 @@ def fields(raw: bytes) -> Iterator[tuple[int, int, int | bytes]]:
             i += n
 
 
+def without_normalising(model: bytes) -> bytes:
+    """The model with a normaliser that changes nothing: texts are taken as normalised already."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    field = lambda number, value: varint(number << 3 | 2) + varint(len(value)) + value
+    # name, and no mark before a text, no spaces removed, no spaces as marks
+    plain = field(1, b"identity") + b"".join(bytes([n << 3, 0]) for n in (3, 4, 5))
+    return b"".join(field(number, plain if number == 3 else value) for number, _, value in fields(model))
+
+
 class CharacterMap:
     """The compiled character map: a double-array trie over UTF-8 and the replacements it points to."""
 
@@ -139,6 +155,7 @@ class Pieces:
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=without_normalising(model))
         kinds, words, charsmap, dummy, collapse, escape, suffix = [], [], b"", True, True, True, False
         for number, _, value in fields(model):
             if number == 1:
@@ -160,15 +177,22 @@ class Pieces:
         self.spans = np.array([0 if k == 2 else len(x) for x, k in zip(self.utf8, kinds, strict=True)], np.int64)
         self.odd = {i for i, k in enumerate(kinds) if k in (2, 3)}
 
+    def normalised(self, text: str) -> tuple[str, np.ndarray | None]:
+        """The normalised text, and its alignment where that is more than a mark for each space."""
+        if self.plain and SPACE not in text:
+            return (SPACE + text.replace(" ", SPACE) if text else "", None)
+        normal, at = self.normalise(text.encode())
+        return normal.decode(), at
+
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, str]]:
         """Ids, the source byte where each piece ends, and the decoded text of each text."""
-        for text, ids in zip(texts, self.lib.encode(texts, num_threads=1), strict=True):
-            if not self.plain or SPACE in text or not self.odd.isdisjoint(ids):
-                yield ids, self._project(text, ids), self.lib.decode(ids)
+        normal = [self.normalised(t) for t in texts]
+        for (text, at), ids in zip(normal, self.bare.encode([t for t, _ in normal], num_threads=1), strict=True):
+            if at is None and self.odd.isdisjoint(ids):
+                # a piece's source bytes are its own, a mark's one; the first mark stands for none
+                yield ids, self.spans[ids].cumsum() - 1, self.decode(ids)
                 continue
-            # Normalising only puts a mark before the text and for each space: alignment is a running sum.
-            ends = self.spans[ids].cumsum() - 1
-            yield ids, ends, self.decode(ids)
+            yield ids, self._project(text, ids, at), self.lib.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes: the first space mark goes, and bytes that are not UTF-8 are its to replace."""
@@ -180,9 +204,13 @@ class Pieces:
         except UnicodeDecodeError:
             return self.lib.decode(ids)
 
-    def _project(self, text: str, ids: list[int]) -> np.ndarray:
-        normal, at = self.normalise(text.encode())
-        surfaces = self.lib.encode(text, out_type=str) if not self.odd.isdisjoint(ids) else None
+    def _project(self, normal: str, ids: list[int], at: np.ndarray | None) -> np.ndarray:
+        """Where pieces of a normalised text end in its source."""
+        raw = normal.encode()
+        if at is None:  # a mark for each space, and one before the text
+            steps = np.frombuffer(raw.replace(SPACE.encode(), b"\0\0 "), np.uint8) != 0
+            at = np.concatenate([[0], np.maximum(steps.cumsum() - 1, 0)])
+        surfaces = self.bare.encode(normal, out_type=str) if not self.odd.isdisjoint(ids) else None
         ends = np.zeros(len(ids), np.int64)
         i = 0
         for k, x in enumerate(ids):
@@ -217,7 +245,7 @@ def encode(df: DataFrame, text: str, model: str, keep: list[str], ends: bool = T
 
 
 def digests(df: DataFrame, doc_id: str, text: str, model: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ends_crc32): the digests of encode()'s results."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ends): the digests of encode()'s results, and the source byte where each piece ends."""
 
     def make():
         pieces = load(model)
@@ -228,13 +256,14 @@ def digests(df: DataFrame, doc_id: str, text: str, model: str) -> DataFrame:
                 n.append(len(i))
                 ids.append(hashlib.sha256(",".join(map(pieces.decimal.__getitem__, i)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(d.encode()).hexdigest())
-                ends.append(zlib.crc32(e.astype("<i8").tobytes()))
+                ends.append(e)
+            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *ends]), pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(ends, pa.int64())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_crc32"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), spans],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends"],
             )
 
         return run
 
     source = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
-    return map_batches(source, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_crc32 long", make)
+    return map_batches(source, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends array<long>", make)

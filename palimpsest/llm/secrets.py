@@ -3,8 +3,8 @@
 The patterns find assignments, access keys and long hexadecimal runs. Beyond these, each run of characters that
 keys are made of, MIN_TOKEN and longer, is scored by two first-order Markov models over its characters, one
 of random strings and one of ordinary identifiers and words, both counted on labelled samples (train()).
-A run whose log-likelihood ratio is THRESHOLD or more, that has a digit and a letter and touches no match of a pattern, is a
-span of its own, of kind "model". All of it is column expressions: no row leaves the JVM.
+A run that has a letter, touches no match of a pattern, and whose log-likelihood ratio is THRESHOLD or more (LETTERS_THRESHOLD, if it
+has no digit), is a span of its own, of kind "model". All of it is column expressions: no row leaves the JVM.
 
 Places are in code points, last exclusive. Defined results: a null text is an empty one, which has no
 spans; matches that fail a length are dropped, and what they covered is not searched again. Rows are searched each for itself, so repeated rows have
@@ -36,6 +36,7 @@ LONG_HEX = "[0-9a-f]{32,}"
 #: Runs that the models score, the longest ordinary words being shorter mostly; natural log units over the whole run.
 MIN_TOKEN = 16
 THRESHOLD = 12.0
+LETTERS_THRESHOLD = 16.0
 TOKEN = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(SYMBOLS) + 1
@@ -147,14 +148,14 @@ def with_rows(df: DataFrame, text: str, model: Iterable[float] | None = None) ->
         "_assign": where(ASSIGN, F.filter(places(t, ASSIGN), lambda x: F.length(F.regexp_extract(x["word"], ASSIGN, 2)) >= 8)),
         "_access": where(ACCESS, F.filter(places(t, ACCESS), lambda x: F.length(x["word"]) >= 16)),
         "_hex": where(LONG_HEX, places(t, LONG_HEX)),
-        "_likely": where(TOKEN, F.filter(places(t, TOKEN), lambda x: x["word"].rlike("[0-9]") & x["word"].rlike("[A-Za-z]"))),
+        "_likely": where(TOKEN, F.filter(places(t, TOKEN), lambda x: x["word"].rlike("[A-Za-z]"))),
     }
     found = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *(c.alias(n) for n, c in patterns.items()))
     base = F.concat(_kind("assign", F.col("_assign"), 0), _kind("access", F.col("_access"), 1), _kind("hex", F.col("_hex"), 2))
     found = found.select("row", "_likely", base.alias("_base"))
     scored = F.filter(
         "_likely",
-        lambda x: ~F.exists("_base", lambda b: (b["first"] < x["last"]) & (x["first"] < b["last"])) & (ratio(x["word"], model) >= THRESHOLD),
+        lambda x: ~F.exists("_base", lambda b: (b["first"] < x["last"]) & (x["first"] < b["last"])) & (ratio(x["word"], model) >= F.when(x["word"].rlike("[0-9]"), THRESHOLD).otherwise(LETTERS_THRESHOLD)),
     )
     return found.select("row", F.array_sort(F.concat("_base", _kind("model", scored, 3))).alias("spans"))
 

@@ -189,15 +189,15 @@ def merged(a: Arrays) -> Arrays:
     doc = np.concatenate([[0], np.cumsum(~same)])
     # runs of one document end before those of the next begin, if each document has its own stretch
     wide = int((a["start"] + a["len"]).max()) + 1
-    if doc[-1] < (1 << 62) // wide:
-        reach = np.maximum.accumulate(doc * wide + a["start"] + a["len"])
-        new = np.concatenate([[True], ~same | (doc[1:] * wide + a["start"][1:] > reach[:-1])])
-        at = np.flatnonzero(new)
-        last = np.concatenate([at[1:] - 1, [n - 1]])
-        out = taken(a, at)
-        out["len"] = reach[last] - doc[at] * wide - out["start"]
-        return out
-    return a
+    if doc[-1] >= (1 << 62) // wide:
+        raise OverflowError("texts of 2**31 bytes and as many documents in one task are beyond Spark's own limits")
+    reach = np.maximum.accumulate(doc * wide + a["start"] + a["len"])
+    new = np.concatenate([[True], ~same | (doc[1:] * wide + a["start"][1:] > reach[:-1])])
+    at = np.flatnonzero(new)
+    last = np.concatenate([at[1:] - 1, [n - 1]])
+    out = taken(a, at)
+    out["len"] = reach[last] - doc[at] * wide - out["start"]
+    return out
 
 
 def doc_part(ids: np.ndarray, subs: np.ndarray, parts: int) -> np.ndarray:
@@ -528,8 +528,8 @@ def _documents(parts: int) -> Callable:
     return run
 
 
-def _finish(emit: Callable[[int, list[tuple[int, int]], bytes], tuple], schema: pa.Schema) -> Callable:
-    """Step 4: runs, then documents, to results."""
+def _finish(emit: Callable[[int, list[tuple[int, int]], bytes], tuple], schema: pa.Schema, nulls: int = 0) -> Callable:
+    """Step 4: runs, then documents, to results. The first `nulls` documents of id NO_ID have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Arrays] = []
@@ -547,7 +547,7 @@ def _finish(emit: Callable[[int, list[tuple[int, int]], bytes], tuple], schema:
                 lo, hi = np.searchsorted(runs["id"], i, "left"), np.searchsorted(runs["id"], i, "right")
                 mine = taken(runs, slice(lo, hi))
                 mine = taken(mine, mine["sub"] == s)
-                out.append((i, *emit(list(zip(mine["start"].tolist(), (mine["start"] + mine["len"]).tolist(), strict=True)), unpack(raw))))
+                out.append((None if i == NO_ID and s < nulls else i, *emit(list(zip(mine["start"].tolist(), (mine["start"] + mine["len"]).tolist(), strict=True)), unpack(raw))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -601,5 +601,5 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = LENGTH,
     removed = sifted.where(F.col("kind") == RUNS).unionByName(factored)
     kind = DIGEST if digest else WHOLE
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, kept binary, removed array<struct<first:long,last:long>>"
-    out = deal(removed.unionByName(documents)).sortWithinPartitions("kind").mapInArrow(_finish(_digest if digest else _whole, kind), ddl)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))) if no_id else out
+    out = deal(removed.unionByName(documents)).sortWithinPartitions("kind").mapInArrow(_finish(_digest if digest else _whole, kind, no_id), ddl)
+    return out

@@ -41,6 +41,7 @@ def test_pieces_against_the_library(spark):
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+        assert len(got[i].ends) == len(ids) and got[i].ends == sorted(got[i].ends) and (not t or got[i].ends[-1] == len(t.encode()))
     for x in pieces.encode(frame(spark, texts), "text", MODEL, ["doc_id"]).collect():
         raw = (texts[x.doc_id] or "").encode()
         assert x.ids == lib.encode(texts[x.doc_id] or "") and (not raw or x.ends[-1] == len(raw)) and x.ends == sorted(x.ends)
@@ -57,6 +58,28 @@ def test_spans_tile_the_source():
     assert [w for i, w in zip(ids, shown) if not p.byte[i]] == [p.words[i].replace("▁", " ").encode() if k else p.words[i][1:].encode() for k, i in enumerate(ids) if not p.byte[i] or not k][: sum(not p.byte[i] for i in ids)] or "▁" in text
 
 
+def test_ids_come_from_the_own_normaliser():
+    """Also where the model maps characters, drops spaces, or puts no mark before a text; only the map is the library's, the text is normalised here."""
+    r = random.Random(6)
+    some = [" ", "  ", "ﬁ", "Å", "ｶﾞ", "①", "A", "ß", "é", "\n", "▁", "中", "x", "ing", "the"]
+    with open(MODEL, "rb") as f:
+        model = f.read()
+    long_field = lambda number, value: bytes([number << 3 | 2]) + varint(len(value)) + value
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    charsmap = {n: v for n, _, v in pieces.fields({n: v for n, _, v in pieces.fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())}[3])}[2]
+    for flags in ((1, 1, 1), (0, 1, 1), (1, 0, 1)):
+        spec = long_field(2, charsmap) + b"".join(bytes([n << 3, v]) for n, v in zip((3, 4, 5), flags, strict=True))
+        changed = b"".join(long_field(number, spec if number == 3 else value) for number, _, value in pieces.fields(model))
+        lib, own = sentencepiece.SentencePieceProcessor(model_proto=changed), pieces.Pieces(changed)
+        texts = ["".join(r.choices(some, k=r.randint(0, 12))) for _ in range(200)]
+        for text, (ids, ends, decoded) in zip(texts, own.encode(texts), strict=True):
+            assert ids == lib.encode(text) and decoded == lib.decode(ids)
+            assert len(ends) == len(ids) and (np.diff(ends) >= 0).all() and (not ids or ends[-1] <= len(text.encode()))
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
 def test_normaliser_against_the_library(rule):
     lib = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=False, remove_extra_whitespaces=True, escape_whitespaces=False)
@@ -257,6 +280,31 @@ def test_markov_models_on_held_out_samples(spark):
     assert found.spans == "model:4:44" and found.n_model == 1
 
 
+def test_markov_models_on_real_identifiers_and_keys():
+    """Names in Python's own library, which no model has seen, and random strings of alphabets and lengths."""
+    import glob
+    import os
+
+    table, place = secrets.default_model(), {c: i + 1 for i, c in enumerate(secrets.SYMBOLS)}
+
+    def found(token):
+        last, total = 0, 0.0
+        for c in token:
+            total += table[last * secrets.SIZE + place[c]]
+            last = place[c]
+        return total >= (secrets.THRESHOLD if re.search("[0-9]", token) else secrets.LETTERS_THRESHOLD)
+
+    names = set()
+    for path in glob.glob(os.path.dirname(os.__file__) + "/*.py"):
+        with open(path, errors="ignore") as f:
+            names |= set(re.findall(secrets.TOKEN, f.read()))
+    names = {x for x in names if re.search("[a-z]", x) and not re.search("[0-9]", x)}
+    assert len(names) > 1000 and sum(map(found, names)) <= 0.005 * len(names)
+    r = random.Random(5)
+    for alphabet, least in ((secrets.SYMBOLS[:62], 0.97), ("0123456789abcdef", 0.94), (secrets.SYMBOLS[:52], 0.9), (secrets.SYMBOLS[:26], 0.8)):
+        assert sum(found("".join(r.choices(alphabet, k=20))) for _ in range(500)) >= 500 * least
+
+
 # ---- personal data
 
 PERSONAL = [

@@ -117,6 +117,8 @@ def test_nulls_ties_and_empty(spark):
     text = (b"the quick brown fox jumps over the lazy dog " * 4)[:150]
     other = bytes(range(97, 123)) * 6
     check(spark, [text, text, None, b"", other, other, text[:99], b"z" + text], [5, 5, 1, 2, None, None, 9, 5])
+    least = spark.createDataFrame([(None, "a"), (-(1 << 63), "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in S.remove_repeats(least, "doc_id", "text").collect()) == [(False, -(1 << 63)), (False, 3), (True, 0), (True, 0)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(empty, "doc_id", "text").collect() == []
 
