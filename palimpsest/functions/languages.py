@@ -126,3 +126,30 @@ def kinds_compatible(a: Column, b: Column, language_: Column) -> Column:
         for f in families:
             family = family | ((language_ == lang) & a.isin(f) & b.isin(f))
     return (a == b) | (a.isin(IDENTIFIERS) & b.isin(IDENTIFIERS)) | family
+
+
+# Node kinds of string literals, and languages whose local names are told apart.
+STRING_KINDS = ["string_literal", "interpreted_string_literal", "string", "raw_string_literal"]
+LOCAL_NAMES = ["Kotlin", "CSharp", "ShellScript"]
+
+
+def is_string(kind: Column) -> Column:
+    """Whether a node is a string literal, in other parsers' kinds or in our own."""
+    return kind.isin(*STRING_KINDS, "JoinedStr", "attribute_value")
+
+
+def has_local_names(language_: Column) -> Column:
+    return language_.isin(*LOCAL_NAMES)
+
+
+def extension_of(language_: Column) -> Column:
+    """The first extension that names a language; null for others."""
+    first: dict[str, str] = {}
+    for ext, name in EXTENSION_LANGUAGE.items():
+        first.setdefault(name, ext)
+    return F.try_element_at(_map(first), language_)
+
+
+def with_other_language(mine: Column, contents: Column, other: Column) -> Column:
+    """A side's language; that of the other side where this one is empty and unknown."""
+    return F.when((F.coalesce(contents, F.lit("")) == "") & (F.coalesce(mine, F.lit("Unknown")) == "Unknown"), other).otherwise(mine)

@@ -119,3 +119,21 @@ def log_bin(value: Column, low: float, high: float, bins: int) -> Column:
 
     width = (math.log10(high) - math.log10(low)) / bins
     return F.least(F.greatest(F.floor((F.log10(value) - math.log10(low)) / width), F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
+def lognormal(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., n, mu, sigma): the lognormal distribution with its lower end at zero that fits the values above zero best."""
+    x = F.ln(F.col(value).cast("double"))
+    return df.where(F.col(value) > 0).groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mu"), F.stddev_pop(x).alias("sigma"))
+
+
+def active(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the number columns that are not zero everywhere, in their order."""
+    sums = df.agg(*(F.max(F.coalesce(F.abs(F.col(c)), F.lit(0)) > 0).alias(c) for c in columns)).first()
+    return [c for c in columns if sums[c]]
+
+
+def in_order(names: Column, order: list[str]) -> Column:
+    """A key that sorts names as they stand in `order`, others behind them."""
+    at = F.array_position(F.array(*map(F.lit, order)), names)
+    return F.when(at > 0, at).otherwise(len(order) + 1)

@@ -141,3 +141,13 @@ def search(text: Column, query: Column) -> Column:
         ),
     )
     return F.when(F.length(q) > 0, F.flatten(found)).otherwise(F.expr("cast(array() as array<struct<row:int,col:int>>)"))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends; null if nothing is left."""
+    return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def shown_reason(column: Column) -> Column:
+    """`name:source` as `name (source)`."""
+    return F.regexp_replace(column, "^([^:]+):(.+)$", "$1 ($2)")

@@ -49,6 +49,8 @@ class Config:
     flat_recurse: int = 20
     min_move_size: int = 4
     max_nodes: int = 16_000
+    #: Stop before edit distances: what is left over may be looked at first, and matched later without this.
+    paused: bool = False
 
 
 #: What a pair of partners weighs against unmatched pairs in a slot, and the size from which a slot's subtrees must share a node.
@@ -374,6 +376,8 @@ class Matching:
         if 0 not in self.to_a and 0 not in self.to_b:
             self.add(0, 0, "Root")
         self.phase_flat()
+        if c.paused:
+            return self
         self.phase_residual()
         self.phase_context()
         self.phase_comments()

@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -269,3 +269,28 @@ def previous_sibling(nodes: DataFrame) -> DataFrame:
     """nodes with the pre, kind and full hash of the sibling before each."""
     w = Window.partitionBy("unit_id", "parent_pre").orderBy("sib_idx")
     return nodes.withColumn("previous", F.lag(F.struct("pre", "kind", "full_hash")).over(w))
+
+
+def first_of_kind(nodes: DataFrame) -> DataFrame:
+    """(unit_id, kind, pre) of the first node of each kind, in document order."""
+    return nodes.groupBy("unit_id", "kind").agg(F.min("pre").alias("pre"))
+
+
+def last_segment(path: Column) -> tuple[Column, Column]:
+    """(kind, number) of a path's last part; a part without a number is the first of its kind."""
+    part = F.element_at(F.split(path, "/"), -1)
+    number = F.regexp_extract(part, r"\[(\d+)\]$", 1)
+    return F.regexp_replace(part, r"\[\d+\]$", ""), F.when(number == "", 0).otherwise(number.cast("int"))
+
+
+def in_any(keys: DataFrame, before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """keys with the node of the before side, else that of the after side (a struct of all node columns; null if neither has it)."""
+    side = lambda nodes, name: nodes.select(*by, F.struct(*nodes.columns).alias(name))
+    met = keys.join(side(before, "_b"), by, "left").join(side(after, "_a"), by, "left")
+    return met.select(*keys.columns, F.coalesce("_b", "_a").alias("node"))
+
+
+def named_groups(nodes: DataFrame, without_root: bool = False) -> DataFrame:
+    """(unit_id, kind, decl_name, pres): declarations by kind and name in document order, on request without roots."""
+    rows = nodes.where("decl_name is not null" + (" and pre > 0" if without_root else ""))
+    return rows.groupBy("unit_id", "kind", "decl_name").agg(F.array_sort(F.collect_list("pre")).alias("pres"))

@@ -236,3 +236,94 @@ def json_name_matches(spark, d):
 def json_enclosing(spark, d):
     nodes = event_side(spark, d, 0, ["kind", "start_row", "end_row", "depth", "decl_name"])
     return trees.enclosing(nodes.where("kind = 'number'").select("unit_id", F.col("start_row").alias("row")), nodes)
+
+
+# ---- annotations
+
+#: Entries that every pair of documents has: the whole matches; where pair_id is a multiple of 4, its first block goes with its children, else its first line is changed.
+ENTRIES = """t as (select pair_id, 'match_but_not_identical' as operation, 'document' as before_path, 'document' as after_path from (select distinct unit_id - unit_id % 2 as pair_id from n) union all
+  select pair_id, 'delete_with_children', 'document/block[0]', null from (select distinct unit_id as pair_id from n where unit_id % 4 = 0) union all
+  select pair_id, 'update', 'document/block[0]/line[0]', 'document/block[0]/line[1]' from (select distinct unit_id - unit_id % 2 as pair_id from n where unit_id % 4 >= 2))"""
+
+
+def text_entries(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "documents").select((F.col("doc_id") - F.col("doc_id") % 2).alias("pair_id"), F.col("doc_id").alias("id"))
+    entry = lambda rows, operation, b, a: rows.select("pair_id").distinct().select("pair_id", F.lit(operation).alias("operation"), F.lit(b).cast("string").alias("before_path"), F.lit(a).cast("string").alias("after_path"))
+    return (
+        entry(pairs, "match_but_not_identical", "document", "document")
+        .unionByName(entry(pairs.where("id % 4 = 0"), "delete_with_children", "document/block[0]", None))
+        .unionByName(entry(pairs.where("id % 4 >= 2"), "update", "document/block[0]/line[0]", "document/block[0]/line[1]"))
+    )
+
+
+def text_status(spark: SparkSession, d: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    from palimpsest.operators import annotations
+
+    before, _ = text_sides(spark, d, columns)
+    return before, annotations.statuses(before, text_entries(spark, d), "before")
+
+
+STATUS = f"""{TEXT_NODES}, {ENTRIES},
+s as (select unit_id as pair_id, pre, n.path, b, li, kind, size, content, coalesce(t.operation, case when unit_id % 4 = 0 and b = 0 then 'delete_with_children' end) as operation, t.after_path as other_path,
+  t.operation is null and unit_id % 4 = 0 and b = 0 as inherited from n left join t on t.pair_id = unit_id and t.before_path = n.path where unit_id % 2 = 0)"""
+
+
+@query(f"""with {STATUS} select pair_id, cast(pre as integer) as pre, path, operation, other_path, inherited, coalesce(operation = 'identical', true) as identical, coalesce(path <> other_path, false) as moved from s""")
+def annotation_status(spark, d):
+    from palimpsest.operators import annotations
+
+    return annotations.flags(text_status(spark, d, ["pre", "path", "ancestors"])[1])
+
+
+@query(f"""with {TEXT_NODES}, {ENTRIES} select t.pair_id, cast(sum(case operation when 'delete_with_children' then coalesce(n.size, 1) when 'update' then 1 else 0 end) as bigint) as cost
+from t left join n on n.unit_id = t.pair_id and n.path = t.before_path group by 1""")
+def annotation_cost(spark, d):
+    from palimpsest.operators import annotations
+
+    b, a = text_sides(spark, d, ["path", "size"])
+    return annotations.cost(text_entries(spark, d), b, a)
+
+
+@query(f"""with {PATH_MAPPING}, {ENTRIES}, s as (select m.pair_id, m.b_pre, m.path, m.op, coalesce(t.operation, case when m.pair_id % 4 = 0 and m.b = 0 then 'delete_with_children' end) as operation
+  from m left join t on t.pair_id = m.pair_id and t.before_path = m.path where m.b_pre is not null)
+select pair_id, cast(b_pre as integer) as pre, path, operation, op from s where operation is not null and op <> case operation when 'delete_with_children' then 'Delete' when 'update' then 'Update' else 'MatchButNotIdentical' end""")
+def annotation_disagreements(spark, d):
+    from palimpsest.operators import annotations
+
+    b, _, m = path_mapping(spark, d)
+    return annotations.disagreements(annotations.statuses(b, text_entries(spark, d), "before"), m, "before")
+
+
+@query(f"""with {PATH_MAPPING}, gg as (select *, op <> 'Delete' as good from m where b_pre is not null)
+select x.pair_id, cast(x.b_pre as integer) as pre, bool_and(up.good) as holds from gg x join gg up on up.pair_id = x.pair_id and (x.path = up.path or starts_with(x.path, up.path || '/')) and up.depth <= x.depth and (up.b = -1 or up.b = x.b) and (up.li = -1 or up.li = x.li) group by 1, 2""")
+def annotation_paths_hold(spark, d):
+    from palimpsest.operators import annotations
+
+    b, _, m = path_mapping(spark, d)
+    return annotations.paths_hold(b, m)
+
+
+@query(f"""with {PATH_MAPPING} select pair_id, rpad(op, 20, ' ') || ' ' || case when b_pre is null then '-' else path end || ' -> ' || case when a_pre is null then '-' else path end as line from m""")
+def mapping_dump(spark, d):
+    from palimpsest.operators import annotations
+
+    return annotations.dump(path_mapping(spark, d)[2]).select("pair_id", "line")
+
+
+@query("""select event_type, count(*) as n, round(avg(ln(value)), 6) as mu, round(stddev_pop(ln(value)), 6) as sigma from events where value > 0 group by 1""")
+def lognormal_fit(spark, d):
+    from palimpsest.functions import stats
+
+    fit = stats.lognormal(table(spark, d, "events"), ["event_type"], "value")
+    return fit.select("event_type", "n", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
+
+
+@query(f"""with {TEXT_NODES} select unit_id, kind, cast(min(pre) as integer) as pre from n group by 1, 2""")
+def first_of_each_kind(spark, d):
+    return trees.first_of_kind(text_nodes(spark, d, ["pre", "kind"]))
+
+
+@query(f"""with {TEXT_NODES} select unit_id, path, case depth when 0 then 'document' when 1 then 'block' when 2 then 'line' else 'word' end as kind, cast(case depth when 0 then 0 else sib_idx end as integer) as number from n""")
+def path_segments(spark, d):
+    kind, number = trees.last_segment(F.col("path"))
+    return text_nodes(spark, d, ["path"]).select("unit_id", "path", kind.alias("kind"), number.alias("number"))
