@@ -55,7 +55,7 @@ def test_a_mapping_does_not_depend_on_partitions(spark):
 
 
 def test_paused_matching(spark):
-    pairs = spark.createDataFrame([(1, '{"k": 1, "l": [2, 3]}', '{"k": 2, "l": [2, 4]}', "JSON")], "pair_id long, before string, after string, language string")
+    pairs = spark.createDataFrame([(1, '{"k": 1, "l": [2, 3]}', '{"k": 2, "l": [2, 4, 5]}', "JSON")], "pair_id long, before string, after string, language string")
     early, late = matching.mappings(pairs, matching.Config(paused=True)), matching.mappings(pairs)
     n = lambda m: m.where("b_pre is not null and a_pre is not null").count()
     assert 0 < n(early) < n(late)
