@@ -11,6 +11,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
+from palimpsest.functions.languages import BRACES
+
+
 @dataclass
 class Node:
     kind: str
@@ -218,6 +221,8 @@ def register(language: str, parser: Callable[[str], Node]) -> None:
 
 def parse(text: str, language: str | None) -> Node | None:
     """The tree of a text, or None without a parser or where it fails."""
+    if language in BRACES and language not in PARSERS:
+        from palimpsest.operators import code  # noqa: F401  (registers them)
     parser = PARSERS.get(language or "")
     if not parser:
         return None
