@@ -85,6 +85,32 @@ def test_walk_against_plain():
             assert sorted(i for b, lo, hi, _, _ in runs if b == a for i in range(lo, hi)) == list(range(c))
 
 
+def test_keys_walk_the_ring_one_by_one(spark):
+    """Against a plain walk: arc by arc, keys at home before those that come by, each key to the first point whose shard has room."""
+    shards, points, n = 5, 8, 700
+    positions, owners = sharding.ring(shards, points)
+    rows = [(i if i % 9 else None, i) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, size int").repartition(3)
+    got = {(r.doc_id, r["size"]): (r.shard, r.slot) for r in sharding.shard(df, "doc_id", ["size"], shards, points).collect()}
+    at = {(r.doc_id, r["size"]): r.h for r in df.withColumn("h", F.xxhash64("doc_id", "size")).collect()}
+    room = [n // shards + (s < n % shards) for s in range(shards)]
+    used, want, passing = [0] * shards, {}, []
+    home = {}
+    for key, h in at.items():
+        home.setdefault(next((i for i, p in enumerate(positions) if h <= p), 0), []).append((h, key[0] is not None, key[0] or 0, key))
+    for lap in (0, 1):
+        for arc, shard in enumerate(owners):
+            queue = (sorted(home.get(arc, [])) if not lap else []) + passing
+            passing = []
+            for item in queue:
+                if used[shard] < room[shard]:
+                    want[item[-1]] = (shard, used[shard])
+                    used[shard] += 1
+                else:
+                    passing.append(item)
+    assert got == want
+
+
 # ---- near duplicates
 
 
