@@ -25,7 +25,7 @@ from palimpsest.operators.trees import Tree, build
 EXPENSIVE = 5000
 #: Cells of one weighted alignment, and of one edit distance; beyond these, sequences of hashes are aligned.
 CELLS = 250_000
-DISTANCE_CELLS = 250_000
+DISTANCE_CELLS = 40_000
 
 
 @dataclass(frozen=True)

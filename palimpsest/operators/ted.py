@@ -72,8 +72,16 @@ def distance(a: Forest, b: Forest, change: Callable[[int, int], float]) -> tuple
                 tree[x, lj + whole_y] = row[1 + whole_y]
         return f
 
-    for i in a.keyroots:
-        for j in b.keyroots:
+    # a leaf against a subtree needs no table: it is put in, or stands for the node of the subtree that it costs least to change
+    alone = lambda x: np.array([i for i in x.keyroots if x.left[i] == i and x.node[i] >= 0], int)
+    single_a, single_b = alone(a), alone(b)
+    for x in range(n):
+        tree[x, single_b] = x - a.left[x] + np.minimum(cost[a.left[x] : x + 1, single_b].min(0), DELETE + INSERT) if len(single_b) else 0
+    for y in range(m):
+        tree[single_a, y] = y - b.left[y] + np.minimum(cost[single_a, b.left[y] : y + 1].min(1), DELETE + INSERT) if len(single_a) else 0
+    lone_a, lone_b = set(single_a.tolist()), set(single_b.tolist())
+    for i in (i for i in a.keyroots if i not in lone_a):
+        for j in (j for j in b.keyroots if j not in lone_b):
             forest(i, j)
     pairs: list[tuple[int, int]] = []
     todo = [(n - 1, m - 1)]
