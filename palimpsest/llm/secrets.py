@@ -120,8 +120,7 @@ def default_model() -> tuple[float, ...]:
 def ratio(token: Column, model: Iterable[float]) -> Column:
     """Log-likelihood ratio of a string, random against ordinary."""
     table = F.split(F.lit(",".join(f"{x:.5f}" for x in model)), ",").cast("array<double>")
-    code = lambda i: F.instr(F.lit(SYMBOLS), F.substring(token, i, F.lit(1)))
-    at = F.transform(F.sequence(F.lit(1), F.length(token)), code)
+    at = F.transform(F.regexp_extract_all(token, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(SYMBOLS), c))
     return F.aggregate(
         at,
         F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")),
