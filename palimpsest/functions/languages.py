@@ -55,14 +55,16 @@ ANCHORS = {
 }
 #: Languages of braces, which share a parser (see operators.code) and its kinds.
 BRACES = ["C", "CPP", "CSharp", "Java", "Rust", "Scala", "ProtoBuf", "Go", "Kotlin", "Swift", "Dart", "JavaScript", "TypeScript", "TSX", "PHP", "CSS"]
-ANCHORS |= dict.fromkeys(BRACES, ["document", "function", "declaration", "import"])
+#: Languages of words that open and close blocks (see operators.scripts), with the same kinds.
+SCRIPTS = ["Ruby", "LUA", "ShellScript", "Vimscript"]
+ANCHORS |= dict.fromkeys([*BRACES, *SCRIPTS], ["document", "function", "declaration", "import"]) | {"YAML": ["document", "pair"]}
 COMMUTATIVE = {"JSON": ["object"], "HTML": ["attributes"], "XML": ["attributes"], "Python": ["alias_list"]}
 IDENTIFIERS = ["identifier", "Name", "Attribute", "arg", "alias", "word", "tag_name", "attribute_name", "key"]
 LITERALS = ["Constant", "JoinedStr", "string", "number", "true", "false", "null", "attribute_value"]
-FLOW = {"Python": {"Match": "Match", "If": "If"}, **dict.fromkeys(BRACES, {"if_statement": "If", "switch_statement": "Switch", "match_statement": "Match", "when_statement": "Match"})}
-BLOCKS = {"Python": ["FunctionDef", "AsyncFunctionDef", "ClassDef", "If", "For", "While", "With", "Try", "Match"], "HTML": ["element"], "XML": ["element"], "JSON": ["object", "array"], "Text": ["block"], **dict.fromkeys(BRACES, ["block", "function", "declaration"])}
-IMPORTS = {"Python": ["Import", "ImportFrom"], **dict.fromkeys(BRACES, ["import"])}
-CALLS = {"Python": ["Call"], **dict.fromkeys(BRACES, ["call"])}
+FLOW = {"Python": {"Match": "Match", "If": "If"}, **dict.fromkeys([*BRACES, *SCRIPTS], {"if_statement": "If", "switch_statement": "Switch", "match_statement": "Match", "when_statement": "Match", "case_statement": "Switch"})}
+BLOCKS = {"Python": ["FunctionDef", "AsyncFunctionDef", "ClassDef", "If", "For", "While", "With", "Try", "Match"], "HTML": ["element"], "XML": ["element"], "JSON": ["object", "array"], "Text": ["block"], "YAML": ["pair", "item"], **dict.fromkeys([*BRACES, *SCRIPTS], ["block", "function", "declaration"])}
+IMPORTS = {"Python": ["Import", "ImportFrom"], **dict.fromkeys([*BRACES, *SCRIPTS], ["import"])}
+CALLS = {"Python": ["Call"], **dict.fromkeys([*BRACES, *SCRIPTS], ["call"])}
 GENERIC = ["punctuation", "Load", "Store", "Del", "operator"]
 OPERATOR_FAMILIES = {
     "Python": [["Add", "Sub"], ["Mult", "Div", "FloorDiv", "Mod"], ["Eq", "NotEq"], ["Lt", "LtE", "Gt", "GtE"], ["And", "Or"], ["LShift", "RShift"], ["BitAnd", "BitOr", "BitXor"]],

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
-from palimpsest.functions.languages import BRACES
+from palimpsest.functions.languages import BRACES, SCRIPTS
 
 
 @dataclass
@@ -223,6 +223,8 @@ def parse(text: str, language: str | None) -> Node | None:
     """The tree of a text, or None without a parser or where it fails."""
     if language in BRACES and language not in PARSERS:
         from palimpsest.operators import code  # noqa: F401  (registers them)
+    if (language in SCRIPTS or language == "YAML") and language not in PARSERS:
+        from palimpsest.operators import scripts  # noqa: F401  (registers them)
     parser = PARSERS.get(language or "")
     if not parser:
         return None
