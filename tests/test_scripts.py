@@ -6,7 +6,7 @@ import time
 import pytest
 
 from palimpsest.functions.languages import SCRIPTS
-from palimpsest.operators import matching, trees
+from palimpsest.operators import matching, parsers, scripts, trees
 
 RUBY = 'require "set"\n\n# one\nclass Shop < Base\n  def total(xs)\n    return 0 if xs.nil?\n    xs.each do |x|\n      puts "#{x["a"]} end"\n    end\n    y = if a then b else c end\n    case y\n    when 1 then 2\n    else 3\n    end\n  rescue KeyError => e\n    log(e.class)\n  end\nend\n'
 LUA = 'local m = require("m")\n-- one\nfunction M.add(a, b)\n  local t = { x = 1, f = function(y) return y end }\n  if a then b = 2 elseif c then d() else e() end\n  for i = 1, 3 do print([[ end ]]) end\n  repeat a = a - 1 until a < 0\n  return a +\n    b\nend\n'
@@ -16,6 +16,11 @@ YAML = '# one\na: 1\nb:\n- x: "p: q"  # note\n  y: [1, two]\n- z\nc: |\n  not: a
 TEXTS = {"Ruby": RUBY, "LUA": LUA, "ShellScript": SHELL, "Vimscript": VIM, "YAML": YAML}
 
 
+@pytest.fixture(autouse=True)
+def with_ruby(monkeypatch):
+    monkeypatch.setitem(parsers.PARSERS, "Ruby", scripts.parse_ruby)
+
+
 def said(t, kind):
     return [t.text_all[t.start[i] : t.end[i]] for i in range(t.n) if t.kind[i] == kind]
 
