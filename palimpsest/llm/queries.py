@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontamination, html_main, merkle, packing, pieces, pii, quality, secrets, sharding, simhash, substrings, topk
+from palimpsest.llm import decontamination, html_main, merkle, negatives, packing, pieces, pii, quality, secrets, sharding, simhash, substrings, topk
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,11 +141,89 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(docs, "doc_id", "text", model)
 
 
+@query
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, "vec_id", "embedding", label, F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op11_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), t as (
+  select vec_id, unnest(e) as w, generate_subscripts(e, 1) as term from v
+), m as (
+  select q.vec_id as a, c.vec_id as c, sum(q.w * c.w) as score from t q join t c on q.term = c.term and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by 1, 2
+), s as (
+  select q.vec_id as a, c.vec_id as c, q.label = c.label as same, cast(coalesce(m.score, 0) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id left join m on m.a = q.vec_id and m.c = c.vec_id where q.vec_id % 50 = 0
+), p as (
+  select a, c, score from s where same qualify row_number() over (partition by a order by score desc, c) <= 5
+), n as (
+  select p.a, p.c as p, p.score as ps, s.c as n, s.score as ns, row_number() over (partition by p.a, p.c order by s.score desc, s.c) as rank
+  from p join s on s.a = p.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+)
+select a as anchor_id, p as positive_id, cast(rank as integer) as rank, n as negative_id, ps as positive_score, ns as negative_score from n where rank <= 3
+"""
+
+
 @query
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"), "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], "text")
 
 
+# the CRC-32 of an id's digits, bit by bit; rows of one id and digest are interchangeable
+_CRC = """list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::ubigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::ubigint, 0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end))"""
+
+
+def _leaf(text: str) -> str:
+    framed = (f"coalesce(octet_length(encode(cast({x} as varchar))) || ':' || cast({x} as varchar), '-')" for x in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(framed)})"
+
+
+ORACLE["op12_merkle"] = f"""
+with recursive l as (
+  select doc_id, source, {_leaf('text')} as leaf,
+    case when doc_id is not null and xor({_CRC}, 4294967295::ubigint) % 5 = 0 then {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as tampered
+  from documents
+), p as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from l
+), nodes as (
+  select 0 as level, source, pos, n, leaf as digest from p
+  union all
+  select level + 1, source, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' order by pos)) from nodes where n > 1 group by level, source, pos // 16
+), subroots as (
+  select source, digest as subroot, level as height, row_number() over (order by encode(source) nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1
+), upper as (
+  select 0 as level, pos, n, subroot as digest from subroots
+  union all
+  select level + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' order by pos)) from upper where n > 1 group by level, pos // 16
+), runs as (
+  select level, source, pos // 16 as run, list(digest order by pos) as d from nodes where n > 1 group by all
+), upruns as (
+  select level, pos // 16 as run, list(digest order by pos) as d from upper where n > 1 group by all
+), path as (
+  select p.*, s.subroot, s.height, s.pos as gpos, 0 as step, '' as proof, coalesce(tampered, leaf) as folded, true as more from p join subroots s on s.source is not distinct from p.source
+  union all
+  select * exclude (i) replace (step + 1 as step, i.more as more,
+      case when i.more then proof || array_to_string(i.d[:i.k] || i.d[i.k + 2:], '') else proof end as proof,
+      case when i.more then sha256(array_to_string(i.d[:i.k] || [folded] || i.d[i.k + 2:], '')) else folded end as folded)
+  from (
+    select path.*, struct_pack(d := coalesce(r.d, u.d), k := case when step < height then (path.pos // cast(power(16, step) as bigint)) % 16 else (gpos // cast(power(16, greatest(step - height, 0)) as bigint)) % 16 end, more := coalesce(r.d, u.d) is not null) as i
+    from path left join runs r on step < height and r.level = step and r.source is not distinct from path.source and r.run = path.pos // cast(power(16, step + 1) as bigint)
+      left join upruns u on step >= height and u.level = step - height and u.run = gpos // cast(power(16, greatest(step - height + 1, 0)) as bigint)
+    where path.more
+  ) 
+)
+select doc_id, leaf, subroot, (select digest from upper where n = 1) as root, sha256(proof) as proof_sha256, folded as folded_root, folded = (select digest from upper where n = 1) as verified
+from path where not more
+"""
+
+
 @query
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import partitions
@@ -38,12 +38,12 @@ QUERIES = 2048
 AT_ONCE = 32
 
 
-def quantised(df: DataFrame, vec_id: str, embedding: str, scale: int = 256) -> DataFrame:
-    """(id, terms): floor(scale * x), x as double, for each vector that takes part."""
+def quantised(df: DataFrame, vec_id: str, embedding: str, scale: int = 256, *more: Column) -> DataFrame:
+    """(id, terms): floor(scale * x), x as double, for each vector that takes part; `more` columns come behind."""
     size = lambda x: F.lit(float(scale)) * x.cast("double")
     whole = lambda x: F.when(F.abs(size(x)) < float(1 << 63), F.floor(size(x))).otherwise(F.raise_error(F.lit("a quantised component does not fit a long")))
     bad = F.exists(df[embedding], lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return df.where(df[vec_id].isNotNull() & df[embedding].isNotNull() & ~bad).select(df[vec_id].cast("long").alias("id"), F.transform(df[embedding], whole).cast("array<long>").alias("terms"))
+    return df.where(df[vec_id].isNotNull() & df[embedding].isNotNull() & ~bad).select(df[vec_id].cast("long").alias("id"), F.transform(df[embedding], whole).cast("array<long>").alias("terms"), *more)
 
 
 def _blocks(rows: int):
