@@ -8,7 +8,7 @@ Each task packs its own documents, with no shuffle; its open windows hold at mos
 the fullest are filled with the pieces of the emptiest, which may be cut, and the last one is cut into windows whose lengths are powers of two. A sequence is padded to the
 window unless its length is a power of two, so nothing is padded; a task adds at most log2(window) short sequences. Only such closing cuts documents that fit a window.
 
-Texts are cut into words with the white space before them, and the ids of a word are looked up in a bounded table; where a tokenizer does not cut texts there, it is given whole texts.
+Texts of any length are encoded in parts, and a document's ids are held once.
 
 Defined results: a null text is an empty one, whose only id is the end mark; a null or repeated id of a document stays what it is, and each row is a document of its own. Which
 documents share a window follows from how the rows lie. Columns other than the id and the text have no part in it. An empty table gives no rows.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,43 +32,70 @@ from palimpsest.llm.common import texts
 
 WINDOW = 1024
 MOST_OPEN = 4096
-WORDS_KEPT = 1 << 18
-WORD_LENGTH = 64
+PART = 1 << 20
 #: The characters of Unicode's property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+CUT = re.compile(f"[^{WHITE}](?=[{WHITE}])")
+#: Fixed value: how byte-level vocabularies of this kind part a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def by_words(settings: dict) -> bool:
-    """Whether a tokenizer cuts every text where white space follows other characters: byte-level, by the usual pattern, the text as it is."""
-    before = settings.get("pre_tokenizer") or {}
-    plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not set(t["content"]) & set(WHITE) for t in settings.get("added_tokens", []))
-    return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not settings.get("normalizer") and plain
+def plain_ranks(settings: dict) -> dict[bytes, int] | None:
+    """The tokens of a byte-level vocabulary as bytes, with their ids; None where a tokenizer does more than to join bytes in the order of its ids."""
+    before, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not settings.get("normalizer")
+    joins = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if model.get("type") != "BPE" or not usual or odd or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(joins)):
+        return None
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others have characters from 256 on
+    byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+    special = {t["content"] for t in settings.get("added_tokens", [])}
+    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], bytes]:
-    """The ids of a text as little-endian unsigned 32-bit integers, by a file of the tokenizers library, without special ones added."""
+    """The ids of a text as little-endian unsigned 32-bit integers, as the tokenizers library has them by a file of it, without special ones added.
+
+    A plain byte-level vocabulary is given to tiktoken, which has the same ids several times as fast; a text that holds an added token stays with the library. Long texts
+    are encoded in parts, cut before white space that follows another character: no token reaches over such a place.
+    """
+    import tiktoken
     import tokenizers
 
     with open(path, encoding="utf-8") as f:
-        cut_by_words = by_words(json.load(f))
+        settings = json.load(f)
     library = tokenizers.Tokenizer.from_file(path)
 
     def whole(text: str) -> bytes:
-        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    class Known(dict):
-        def __missing__(self, word: str) -> bytes:
-            ids = whole(word)
-            if len(word) <= WORD_LENGTH:
-                if len(self) >= WORDS_KEPT:
-                    self.clear()
-                self[word] = ids
-            return ids
-
-    known, words = Known(), re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-    return (lambda text: b"".join(map(known.__getitem__, words(text)))) if cut_by_words else whole
+        return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    ranks = plain_ranks(settings)
+    if ranks is None:
+        return whole
+    fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = [t["content"] for t in settings.get("added_tokens", [])]
+
+    def encode(text: str) -> bytes:
+        if any(t in text for t in added):
+            return whole(text)
+        return b"".join(array("I", fast(part)).tobytes() for part in parts(text, PART))
+
+    return encode
+
+
+def parts(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about `most` characters, cut before white space that follows another character."""
+    at = 0
+    while len(text) - at > most:
+        m = CUT.search(text, at + most)
+        if m is None:
+            break
+        yield text[at : m.start() + 1]
+        at = m.start() + 1
+    yield text[at:] if at else text
 
 
 Piece = tuple[object, int, bytes, int]  # document, start, ids, tokens of the document
