@@ -469,7 +469,7 @@ def _factor(parts: int, length: int) -> Callable:
 
 
 def _counted(length: int) -> Callable:
-    """Of sampled texts: (key, n), how many different segments of a batch an anchor has, where there are several."""
+    """Of sampled texts: (key, hash) of the segments of each anchor, each once for a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -484,16 +484,20 @@ def _counted(length: int) -> Callable:
                 if piece is not None:
                     some.append(piece)
             if found:
-                key, n = np.unique(np.unique(np.concatenate(found), axis=0)[:, 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+                both = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (0, 1)], names=["key", "hash"])
 
     return run
 
 
 def hot_anchors(texts: DataFrame, rows_: int, length: int) -> np.ndarray:
-    """Sorted keys of at most HOT_ANCHORS anchors that have the most different segments in a sample of about SAMPLE documents."""
+    """Sorted keys of at most HOT_ANCHORS anchors that have the most different segments in a sample of about SAMPLE documents.
+
+    All segments of the sample are counted together, so what is found does not depend on how the documents lie.
+    """
     share = min(1.0, SAMPLE / max(1, rows_))
-    counted = texts.sample(False, share, 7).select("text").mapInArrow(_counted(length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    segments_ = texts.sample(False, share, 7).select("text").mapInArrow(_counted(length), "key long, hash long").distinct()
+    counted = segments_.groupBy("key").agg(F.count("*").alias("n"))
     found = counted.where(F.col("n") >= max(100, int(HOT_SHARE * min(SAMPLE, rows_)))).orderBy(F.desc("n"), "key").limit(HOT_ANCHORS).collect()
     return np.sort(np.array([r.key for r in found], np.int64).view(np.uint64))
 

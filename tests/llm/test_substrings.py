@@ -109,7 +109,10 @@ def test_hot_anchors_are_found(spark):
     passage = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(40))
     docs = [f"{r.getrandbits(200):x} {passage} {r.getrandbits(200):x}".encode() for _ in range(400)]
     texts = spark.createDataFrame([(d,) for d in docs], "text binary")
-    assert len(S.hot_anchors(texts, 400, 100)) > 0
+    found = S.hot_anchors(texts.repartition(1), 400, 100).tolist()
+    assert found
+    for parts in (7, 200):  # at last about two documents to a partition
+        assert S.hot_anchors(texts.repartition(parts), 400, 100).tolist() == found
     check(spark, docs)
 
 
