@@ -13,8 +13,8 @@ places do not depend on blocks, on the partitioning, or on which term is rarest.
 The test set is read in portions of at most TEST_BYTES (measured before a portion is taken; a longer item is cut into pieces that overlap by a
 window less one word), each a broadcast that is dropped when its pass over the stored index is written. A larger test set takes more passes over the index.
 
-Defined results: a null or empty text has no words and hits nothing; an item without words has no phrase; an item of null id cannot be named and takes
-no part; an item shorter than a window is one phrase; items that share a phrase are both named; a repeated item is named once; an item with several texts
+Defined results: a null or empty text has no words and hits nothing; an item without words has no phrase; an item of null id hits like any other
+but has no name, so it is not among the items of a document; an item shorter than a window is one phrase; items that share a phrase are both named; a repeated item is named once; an item with several texts
 has the phrases of all. Equal documents have equal results, and each repeated row has its own. Other columns have no part in a result, whatever their names.
 """
 
@@ -176,7 +176,7 @@ def block_hits(index: Postings, phrases: Phrases, slop: int = 0) -> Iterator[tup
     of_run = np.searchsorted(first, runs[:, 0], "right") - 1
     run_at, item_at = np.searchsorted(of_run, np.arange(n_docs + 1)), np.searchsorted(pairs[:, 0], np.arange(n_docs + 1))
     for d in range(n_docs):
-        yield int(index.n_words[d]), runs[run_at[d] : run_at[d + 1]] - first[d], sorted({phrases.names[i] for i in pairs[item_at[d] : item_at[d + 1], 1]})
+        yield int(index.n_words[d]), runs[run_at[d] : run_at[d + 1]] - first[d], sorted({phrases.names[i] for i in pairs[item_at[d] : item_at[d + 1], 1]} - {None})
 
 
 def hits(docs: list[bytes], phrases: Phrases, slop: int = 0) -> Iterator[tuple[int, np.ndarray, list]]:
@@ -239,7 +239,7 @@ def _pieces(window: int, most: int):
 
 def portions(tests: DataFrame, item_id: str, text: str, window: int = WINDOW) -> list[DataFrame]:
     """The test set's pieces, in portions of at most TEST_BYTES (or of one piece, where a single word is longer)."""
-    source = tests.select(tests[item_id].cast("string").alias("i"), tests[text].cast("binary").alias("t")).where("i is not null and t is not null")
+    source = tests.select(tests[item_id].cast("string").alias("i"), tests[text].cast("binary").alias("t")).where("t is not null")
     source = source.mapInArrow(_pieces(window, TEST_BYTES // 8), "i string, t binary").distinct()
     whole = source.agg(F.sum(F.octet_length("t")).alias("size"), F.max(F.octet_length("t")).alias("most")).first()
     n = (whole["size"] or 0) * 2 // TEST_BYTES + 1
@@ -268,7 +268,7 @@ def _pass(stored: DataFrame, phrases, slop: int, every: bool) -> DataFrame:
             for r in range(b.num_rows):
                 block, n_words, terms, count, positions = (b.column(c)[r].as_py() for c in (0, 2, 3, 4, 5))
                 index_ = Postings(terms.split(b" ") if terms else [], np.frombuffer(count, "<i4").astype(np.int64), np.cumsum(np.frombuffer(positions, "<i4"), dtype=np.int64), np.array(n_words, np.int64))
-                rows = [(d, n, runs, items) for d, (n, runs, items) in enumerate(block_hits(index_, phrases.value, slop)) if every or items]
+                rows = [(d, n, runs, items) for d, (n, runs, items) in enumerate(block_hits(index_, phrases.value, slop)) if every or len(runs)]
                 d = [x[0] for x in rows]
                 ids = b.column(1)[r].values.take(pa.array(d, pa.int32()))
                 lengths = np.concatenate([[0], np.cumsum([len(x[2]) for x in rows])]).astype(np.int32)

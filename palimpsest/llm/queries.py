@@ -83,7 +83,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 ORACLE["op8_decontamination"] = f"""
 with d as (select doc_id, {_WORDS} as w from documents),
-b as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+b as (select item_id, {_WORDS} as w from benchmark where text is not null),
 t as (select item_id, w, least(len(w), 13) as n, unnest(generate_series(1, greatest(len(w) - 12, 1))) as i from b where len(w) > 0),
 p as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as phrase from t),
 l as (select distinct n from p),

@@ -104,8 +104,7 @@ def plain_hits(docs, items, n=13):
     for i, t in items:
         w = low(t)
         for k in range(max(1, len(w) - n + 1) if w else 0):
-            if i is not None:
-                windows.setdefault(tuple(w[k : k + n]), set()).add(i)
+            windows.setdefault(tuple(w[k : k + n]), set()).update({i} - {None})
     lengths = {len(w) for w in windows}
     out = []
     for t in docs:
