@@ -19,7 +19,11 @@ Two kinds of network, both of ROUNDS rounds keyed by SHA-256:
   by a keyed function of the other half; for card numbers, IBANs, other telephone numbers and e-mail addresses.
 
 All of it is column expressions: no row leaves the JVM. No pattern repeats a group without bound and each value is at most HEAD long (but for an address's
-domain), so the cost follows the length of a text. A date is the same day whatever its notation, and keeps its notation.
+domain), so the cost follows the length of a text. A date is the same day whatever its notation, and keeps its notation. Dates between slashes, points or hyphens are
+read day first and, where that is no date, month first; a date keeps whether its day is above 12 (the permutation is walked on until it does), so that its pseudonym is read the same way.
+Addresses and IBANs are the same value in capitals and small letters, and keep their case. Not found: IP addresses of version 6, dates without leading zeros or in words, names and postal addresses.
+
+The key is the caller's: who has it can reveal the originals.
 
 Defined results: a null text stays null, and an empty one empty; a text without personal data is unchanged; rows are independent, so repeated rows give
 repeated results; other columns stay as they are, whatever their names, but that `into` takes the place of a column of its name. A pseudonym may by chance
@@ -34,23 +38,25 @@ from pyspark.sql import functions as F
 from palimpsest.llm.spans import folded, gaps, matches
 
 ROUNDS = 8
-KEY = "palimpsest"
+#: Steps after which a pseudonym that is still read as another sort of value stays; that many are wanted once in 10**12 values.
+WALK = 64
 #: What is looked for, in this order; each as a whole word. Fixed formats; an address's local part has at most 64 characters, a label 63.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?=\.)[A-Za-z0-9.-]*\.[A-Za-z]{2,}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}",
+    "iban": r"[A-Za-z]{2}[0-9]{2}(?:[ \xA0]?[A-Za-z0-9]{4}){2,7}(?:[ \xA0]?[A-Za-z0-9]{1,3})?",
+    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
-    "card": r"[0-9](?:[ -]?[0-9]){11,18}",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}",
+    "card": r"[0-9]{4}(?:\.[0-9]{4}){3}|[0-9](?:[ \xA0-]?[0-9]){11,18}",
 }
 WORD = "[A-Za-z0-9_]"
 #: What follows a value: no word character, or behind a date the time of day.
 ENDS = dict.fromkeys(PATTERNS, f"(?!{WORD})") | {"date": f"(?:(?!{WORD})|(?=T[0-9]{{2}}:?[0-9]{{2}}))"}
 #: Where a value may begin, and from there what its kind and end are told from: at most HEAD characters, or a whole address.
 HEAD = 50
-BEGIN = f"(?<!{WORD})(?=" + "|".join(f"(?:{p}){ENDS[k]}" for k, p in PATTERNS.items()) + ")"
+#: A value begins behind no word character; a telephone number in brackets behind any.
+BEGIN = f"(?:(?<!{WORD})|(?=\\())(?=" + "|".join(f"(?:{p}){ENDS[k]}" for k, p in PATTERNS.items()) + ")"
 BEGUN = f"{BEGIN}(?=({PATTERNS['email']}{ENDS['email']}|[\\s\\S]{{1,{HEAD}}}))"
 #: Kinds whose matches may be followed by what looks like more of them, beside cards.
 LONG = ("iban", "phone")
@@ -62,8 +68,8 @@ IBAN_LENGTHS = {
     23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
     29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
 }
-#: What every match has, to pass over texts at once: an address two digits with at most a point between them, a card with at most a space or hyphen.
-HINT = r"[0-9][ .-]?[0-9]|@"
+#: What every match has, to pass over texts at once: an address two digits with at most a point between them, a card with at most a space, point or hyphen.
+HINT = r"[0-9][ .\xA0-]?[0-9]|@"
 #: First day and length of a cycle of dates: 250 * 292 days from 1900-01-01.
 CYCLE_START, CYCLE_A, CYCLE_B = "1900-01-01", 250, 292
 
@@ -172,30 +178,45 @@ def mod97(text: Column) -> Column:
     )
 
 
-def day(text: Column) -> Column:
-    """The calendar date of a match, or null."""
-    day_first = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2))
-    return F.try_to_date(F.when(text.rlike("^[0-9]{4}-"), text).otherwise(day_first), "yyyy-MM-dd")
+def day(text: Column, month_first: bool = False) -> Column:
+    """The calendar date of a match that is read day first, or month first; null if it is none."""
+    month, date = (1, 4) if month_first else (4, 1)
+    parts = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, month, 2), F.substring(text, date, 2))
+    return F.try_to_date(F.when(text.rlike("^[0-9]{4}-"), text).otherwise(parts), "yyyy-MM-dd")
+
+
+def cased(like: Column, text: Column) -> Column:
+    """text with the letters' case of `like`, place by place."""
+    return F.array_join(F.zip_with(chars(like), chars(text), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).when(a.rlike("[a-z]"), F.lower(b)).otherwise(b)), "")
 
 
 def _date(m: Column, key: str, reveal: bool) -> Column:
-    days = F.datediff(day(m), F.lit(CYCLE_START).cast("date"))
     cycle = CYCLE_A * CYCLE_B
-    moved = with_(days, lambda n: F.floor(n / cycle) * cycle + mixed(F.pmod(n, F.lit(cycle)), CYCLE_A, CYCLE_B, key, "date", reveal))
-    shown = lambda to: F.when(m.rlike("^[0-9]{4}-"), F.date_format(to, "yyyy-MM-dd")).otherwise(
-        F.concat(F.date_format(to, "dd"), F.substring(m, 3, 1), F.date_format(to, "MM"), F.substring(m, 6, 1), F.date_format(to, "yyyy"))
-    )
-    return with_(F.date_add(F.lit(CYCLE_START).cast("date"), moved.cast("int")), shown)
+    date = lambda n: F.date_add(F.lit(CYCLE_START).cast("date"), n.cast("int"))
+    late = lambda n: F.dayofmonth(date(n)) > 12
+    once = lambda n: F.floor(n / cycle) * cycle + mixed(F.pmod(n, F.lit(cycle)), CYCLE_A, CYCLE_B, key, "date", reveal)
+    walk = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(n), lambda x, _: F.when(late(x) == late(n), x).otherwise(once(x)))
+    read = F.coalesce(day(m), day(m, True))
+    moved = with_(F.datediff(read, F.lit(CYCLE_START).cast("date")).cast("long"), walk)
+
+    def shown(to: Column) -> Column:
+        parts = [F.when(day(m).isNull(), F.date_format(to, a)).otherwise(F.date_format(to, b)) for a, b in (("MM", "dd"), ("dd", "MM"))]
+        return F.when(m.rlike("^[0-9]{4}-"), F.date_format(to, "yyyy-MM-dd")).otherwise(F.concat(parts[0], F.substring(m, 3, 1), parts[1], F.substring(m, 6, 1), F.date_format(to, "yyyy")))
+
+    return with_(date(moved), shown)
 
 
 def _phone(m: Column, key: str, reveal: bool) -> Column:
     code = F.when(m.startswith("+"), F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])|^\+[0-9]", 0)).otherwise(F.lit(""))
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     bare = digits(rest)
-    north = bare.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") & (code.isin("+1", ""))
+    american = lambda x: x.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") & code.isin("+1", "")
     number = (F.substring(bare, 1, 3).cast("long") - 200) * 8_000_000 + F.substring(bare, 4, 7).cast("long") - 2_000_000
     to = with_(mixed(number, 800, 8_000_000, key, "phone", reveal), lambda x: F.concat((F.floor(x / 8_000_000) + 200).cast("string"), (x % 8_000_000 + 2_000_000).cast("string")))
-    return F.concat(code, dressed(rest, F.when(north, to).otherwise(classes(bare, key, "phone", reveal)), "[0-9]"))
+    # what is no American number becomes none, or its pseudonym would be read as one
+    once = lambda x: classes(x, key, "phone", reveal)
+    other = with_(bare, lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(x), lambda y, _: F.when(american(y), once(y)).otherwise(y)))
+    return F.concat(code, dressed(rest, F.when(american(bare), to).otherwise(other), "[0-9]"))
 
 
 def _card(m: Column, key: str, reveal: bool) -> Column:
@@ -220,10 +241,14 @@ def _ip(m: Column, key: str, reveal: bool) -> Column:
 
 
 def _iban(m: Column, key: str, reveal: bool) -> Column:
-    bare = F.regexp_replace(m, " ", "")
+    bare = F.upper(bare_iban(m))
     country, account = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
     check = lambda x: F.lpad((98 - mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0")
-    return dressed(m, with_(classes(account, key, "iban", reveal), lambda x: F.concat(country, check(x), x)), "[A-Z0-9]")
+    return cased(m, dressed(m, with_(classes(account, key, "iban", reveal), lambda x: F.concat(country, check(x), x)), "[A-Za-z0-9]"))
+
+
+def bare_iban(m: Column) -> Column:
+    return F.regexp_replace(m, r"[ \xA0]", "")
 
 
 def _email(m: Column, key: str, reveal: bool) -> Column:
@@ -231,7 +256,8 @@ def _email(m: Column, key: str, reveal: bool) -> Column:
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     label = F.substring_index(domain, ".", 1)
     shown = lambda x: F.concat(F.substring(x, F.lit(1), F.length(local)), F.lit("@"), F.substring(x, F.length(local) + 1, F.length(x)), F.substring(domain, F.length(label) + 1, F.length(domain)))
-    return with_(classes(F.concat(local, label), key, "email", reveal), shown)
+    both = F.concat(local, label)
+    return with_(cased(both, classes(F.lower(both), key, "email", reveal)), shown)
 
 
 def valid(kind: str, m: Column) -> Column:
@@ -239,11 +265,13 @@ def valid(kind: str, m: Column) -> Column:
     if kind == "card":
         return luhn_sum(digits(m)) % 10 == 0
     if kind == "iban":
-        bare = F.regexp_replace(m, " ", "")
+        bare = F.upper(bare_iban(m))
+        # words in small letters are many: there the country must be a listed one and the length its own
+        capital = m.rlike(r"^[A-Z0-9 \xA0]*$") | (m.rlike(r"^[a-z0-9 \xA0]*$") & usual_length(m, False))
         # IBANs whose check digits exceed 98 or fall below 2 are not issued; as the remainder tells them apart from none, they do not pass
-        return F.length(bare).between(15, 34) & F.substring(bare, 3, 2).between("02", "98") & (mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1)
+        return capital & F.length(bare).between(15, 34) & F.substring(bare, 3, 2).between("02", "98") & (mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1)
     if kind == "date":
-        return day(m).isNotNull()
+        return F.coalesce(day(m), day(m, True)).isNotNull()
     if kind == "ip":
         return ~F.exists(F.split(m, r"\."), lambda x: (x.cast("int") > 255) | ((F.length(x) > 1) & x.startswith("0")))
     if kind == "ssn":
@@ -256,7 +284,7 @@ def valid(kind: str, m: Column) -> Column:
 MADE = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def moved_to(kind: Column, m: Column, key: str = KEY, reveal: bool = False) -> Column:
+def moved_to(kind: Column, m: Column, key: str, reveal: bool = False) -> Column:
     """The pseudonym of a value of a kind; null where the kind is null."""
     out = F
     for k, f in MADE.items():
@@ -264,11 +292,11 @@ def moved_to(kind: Column, m: Column, key: str = KEY, reveal: bool = False) -> C
     return out
 
 
-def usual_length(iban: Column) -> Column:
-    """Whether an IBAN has its country's length, or its country is not listed."""
-    country = F.substring(iban, 1, 2)
-    length = F.length(F.regexp_replace(iban, " ", ""))
-    out = F.lit(True)
+def usual_length(iban: Column, unlisted: bool = True) -> Column:
+    """Whether an IBAN has its country's length; `unlisted` if its country is not listed."""
+    country = F.upper(F.substring(iban, 1, 2))
+    length = F.length(bare_iban(iban))
+    out = F.lit(unlisted)
     for n, countries in IBAN_LENGTHS.items():
         out = F.when(country.isin(*countries.split()), length == n).otherwise(out)
     return out
@@ -279,7 +307,7 @@ def best_valid(kind: str, longest: Column) -> Column:
     if kind == "email":  # a domain has no empty label
         return with_(F.regexp_replace(longest, r"\.\.[\s\S]*", ""), lambda m: F.when(m.rlike(f"^(?:{PATTERNS['email']})$"), m))
     if kind == "card":
-        words = F.array(*(F.regexp_extract(longest, f"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?!{WORD})", 0) for n in CARD_LENGTHS))
+        words = F.array(*(F.regexp_extract(longest, f"^[0-9](?:[ .\\xA0-]?[0-9]){{{n - 1}}}(?!{WORD})", 0) for n in CARD_LENGTHS))
         return F.get(F.filter(words, lambda w: (w != "") & valid(kind, w)), F.lit(0))
     if kind not in LONG:
         return F.when(valid(kind, longest), longest)
@@ -287,7 +315,7 @@ def best_valid(kind: str, longest: Column) -> Column:
     ends = F.filter(F.sequence(F.length(longest), F.lit(1), F.lit(-1)), lambda k: ~F.substring(longest, k + 1, F.lit(1)).rlike(WORD) & F.substring(longest, F.lit(1), k).rlike(whole))
     words = F.filter(F.transform(ends, lambda k: F.substring(longest, F.lit(1), k)), lambda w: valid(kind, w))
     if kind == "iban":
-        words = with_(words, lambda ws: F.concat(F.filter(ws, usual_length), ws))
+        words = with_(words, lambda ws: F.concat(F.filter(ws, lambda w: usual_length(w)), ws))
     return F.get(words, F.lit(0))
 
 
@@ -334,7 +362,7 @@ def with_spans(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), t.alias("_text"), F.when(t.rlike(HINT), spans(t)).alias("_spans"))
 
 
-def pseudonymised(df: DataFrame, text: str, key: str = KEY, reveal: bool = False, into: str | None = None) -> DataFrame:
+def pseudonymised(df: DataFrame, text: str, key: str, reveal: bool = False, into: str | None = None) -> DataFrame:
     """df with the text column (or a further column `into`) in pseudonyms; with reveal, from pseudonyms to originals."""
     into = into or text
     made = F.when(F.size("_spans.found") > 0, rewritten(F.col("_spans"), key, reveal)).otherwise(F.col("_text"))
@@ -342,7 +370,7 @@ def pseudonymised(df: DataFrame, text: str, key: str = KEY, reveal: bool = False
     return with_spans(df, text).select(*(made.alias(c) if c == into else F.col("_row")[c].alias(c) for c in columns))
 
 
-def pseudonyms(df: DataFrame, doc_id: str, text: str, key: str = KEY) -> DataFrame:
+def pseudonyms(df: DataFrame, doc_id: str, text: str, key: str) -> DataFrame:
     """(doc_id, text in pseudonyms, and the number of each kind replaced)."""
     rows = with_spans(df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text")), "text")
     made = F.when(F.size("_spans.found") > 0, rewritten(F.col("_spans"), key)).otherwise(F.col("_text"))

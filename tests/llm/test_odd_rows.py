@@ -40,7 +40,7 @@ def model(df):
 
 #: name: (operator, whether it keeps every row, names of the columns it puts in place of others)
 KEEPING = {
-    "pii.pseudonymised": (lambda df: pii.pseudonymised(df, "text"), True, ()),
+    "pii.pseudonymised": (lambda df: pii.pseudonymised(df, "text", "key"), True, ()),
     "decontamination.clean": (lambda df: decontamination.clean(df, "text", small(df.sparkSession, "tests"), "item_id", "text"), False, ()),
     "secrets.redacted": (lambda df: secrets.redacted(df, "text"), True, ()),
     "secrets.with_secrets": (lambda df: secrets.with_secrets(df, "text"), True, ("secrets",)),
@@ -51,7 +51,7 @@ KEEPING = {
     "pieces.encode": (lambda df: pieces.encode(df, "text", MODEL, df.columns), True, ("ids", "ends", "decoded")),
 }
 MAKING = {
-    "pii.pseudonyms": lambda df: pii.pseudonyms(df, "doc_id", "text"),
+    "pii.pseudonyms": lambda df: pii.pseudonyms(df, "doc_id", "text", "key"),
     "decontamination.digests": lambda df: decontamination.digests(df, "doc_id", "text", small(df.sparkSession, "tests"), "item_id", "text"),
     "secrets.digests": lambda df: secrets.digests(df, "doc_id", "text"),
     "simhash.near_duplicates": lambda df: simhash.near_duplicates(df, "doc_id", "text"),
