@@ -4,14 +4,18 @@ A page is a sequence of tags and text runs. Words score positive and tags negati
 counted on labelled pages (train()): pages composed at random, and a bounded sample of the table's own pages that name their article (learned()). A tag's weight is the log odds that it stands in main text, and the
 names of elements (tag, classes, id, role) whose words are rarely main text mark subtrees as apart. Such a subtree
 scores nothing, so that an advert in the middle does not part an article in two. One linear scan
-finds the contiguous region of the highest score; its words, less those of subtrees that are apart, are the text.
+finds the contiguous region of the highest score; where an article element (or, without one, a main element) holds at least half of its words, the region is that element, with its
+title and its last line. The region's words, less those of subtrees that are apart, are the text.
+
+Within an article the markup goes before names: a section, heading, paragraph, list or table is not judged by its id, which is there to be linked to, and a part that holds more than half of
+the article's words is not apart whatever it is called.
 
 Text of the region: character references decoded, white space within a block as one space, blocks
 trimmed and joined by one newline in page order; nothing is shortened. A line break is white space.
 
 Defined results: a null or empty page, and one without words, has an empty text; of equal regions the
-first wins; unclosed tags, comments and quotes end where browsers would end them or at the end of the page. Pages are read each for
-itself, so repeated rows have equal texts; other columns have no part in it, whatever their names.
+first wins; unclosed tags, comments and quotes end where browsers would end them or at the end of the page. Given the weights, pages are read each for
+itself, so repeated rows have equal texts (learned() takes weights from the whole table: the same for a table however its rows lie or repeat); other columns have no part in it, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +41,8 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)",
     re.S,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+SCOPE = re.compile(r"""\brole\s*=\s*["']?(article|main)\b""", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 #: Elements whose content is not markup: it goes up to their own end tag.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -51,10 +56,14 @@ BLOCKS = set(
 )
 #: Elements that group blocks; only of these does the tag itself say what the words are for.
 SECTIONS = {"nav", "header", "footer", "aside", "section", "menu", "details", "fieldset", "figure", "table", "address"}
+#: Of these, the ones that are not the text of an article they stand in.
+BESIDE = {"nav", "footer", "aside", "menu"}
 #: Lowest weights: of tags that part a page, and of those within a part, where a short last paragraph must outweigh its own.
 LEAST, LEAST_INNER, UNKNOWN = -3.0, -0.25, -0.05
-#: Pages that learned() takes, about, their longest, and the words from which an article is one.
-SAMPLE, LONGEST, MARKED = 300, 200_000, 30
+#: Pages that learned() takes at most, their longest in characters, and the words from which an article is one.
+SAMPLE, LONGEST, MARKED = 300, 50_000, 30
+#: Elements whose id names a place in a text, not a part of a page.
+LINKED = {"section", "figure", "p", "blockquote", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Never apart themselves, whatever they are called: they hold the whole page or the article.
 WHOLE = {"html", "body", "main", "article"}
 
@@ -70,15 +79,24 @@ class Weights:
         """Whether an element's words are rarely main text; inside an article, its names are judged by articles where they were seen in one."""
         if name in APART:
             return True
-        if name in WHOLE:
+        if name in WHOLE or scope(name, rest):
             return False
         odds = lambda x: self.names.get(f"in {x}", self.names.get(x, 0.0)) if inside else self.names.get(x, 0.0)
-        return any(odds(x) < self.least for x in ((name, *called(rest)) if name in SECTIONS else called(rest)))
+        own = called(rest, not (inside and name in LINKED))
+        return any(odds(x) < self.least for x in ((name, *own) if name in (BESIDE if inside else SECTIONS) else own))
+
+
+def called(rest: str, ids: bool = True) -> set[str]:
+    """The words, in lower case and behind a point, of an element's classes, role and, on request, id."""
+    return {f".{w.lower()}" for kind, value in NAMES.findall(rest) if ids or kind.lower() != "id" for w in WORD.findall(value)} if "=" in rest else set()
 
 
-def called(rest: str) -> set[str]:
-    """The words, in lower case, of an element's classes, id and role."""
-    return {w.lower() for value in NAMES.findall(rest) for w in WORD.findall(value)} if "=" in rest else set()
+def scope(name: str, rest: str) -> str | None:
+    """article or main, for elements that are such by tag or role."""
+    if name in ("article", "main"):
+        return name
+    m = SCOPE.search(rest) if "=" in rest else None
+    return m[1].lower() if m else None
 
 
 def tokens(page: str):
@@ -108,60 +126,87 @@ def tokens(page: str):
         yield "text", page[at:], ""
 
 
-def parsed(page: str, weights: Weights):
-    """(kind, value, whether it lies apart, whether a tag stands inside an article), from a stack of open elements. An end tag closes the nearest open element of its name, but none
-    around an article from inside it; where each name is open is kept, so that no tag searches the stack."""
-    seen = list(tokens(page))
-    whole = whole_forms(seen)
-    stack: list[tuple[str, bool]] = []
+def nested(seen: list[tuple[str, str, str]]) -> list[int]:
+    """For each token the place of the open element it stands in, -1 for none; an end tag stands in the element it closes.
+
+    An end tag closes the nearest open element of its name, but none around an article from inside it; where each name is open is kept, so that no tag searches the stack.
+    """
+    up: list[int] = []
+    stack: list[int] = []
     open_at: dict[str, list[int]] = {}
     held = [-1]  # where elements are open that no other name's end tag closes
-    apart = False
-    for k, (kind, value, rest) in enumerate(seen):
+    for k, (kind, value, _) in enumerate(seen):
         if kind == "open":
-            if value == "p" and stack and stack[-1][0] == "p":
+            if value == "p" and stack and seen[stack[-1]][1] == "p":
                 stack.pop()
                 open_at["p"].pop()
-            inside = bool(open_at.get("article") or open_at.get("main"))
-            here = apart or (k not in whole and weights.apart(value, rest, inside))
-            yield kind, value, here, inside
+            up.append(stack[-1] if stack else -1)
             if value not in VOID:
                 open_at.setdefault(value, []).append(len(stack))
                 if value in ("article", "main", "body"):
                     held.append(len(stack))
-                stack.append((value, here))
-                apart = here
+                stack.append(k)
         elif kind == "close":
-            was = apart
             at = open_at[value][-1] if open_at.get(value) else -1
-            if at >= 0 and (at > held[-1] or value in WHOLE):
-                while len(stack) > at:
-                    name, _ = stack.pop()
-                    open_at[name].pop()
-                    if held[-1] == len(stack):
-                        held.pop()
-            apart = stack[-1][1] if stack else False
-            yield kind, value, was, bool(open_at.get("article") or open_at.get("main"))
+            closes = at >= 0 and (at > held[-1] or value in WHOLE)
+            up.append(stack[at] if closes else stack[-1] if stack else -1)
+            while closes and len(stack) > at:
+                open_at[seen[stack.pop()][1]].pop()
+                if held[-1] == len(stack):
+                    held.pop()
         else:
-            yield kind, value, apart, False
-
-
-def whole_forms(seen: list[tuple[str, str, str]]) -> set[int]:
-    """Places of form tags whose form holds more than half of all words of a page: it wraps the page and is not a part of it."""
-    words, at, forms, raw = 0, None, {}, None
-    for k, (kind, value, _) in enumerate(seen):
-        if kind == "text":
-            n = 0 if raw else len(value.split())
-            words += n
-            if at is not None:
-                forms[at] += n
-        raw = value in RAW if kind == "open" else None if kind == "close" else raw
-        if value == "form" and kind == "open" and at is None:
-            at = k
-            forms[k] = 0
-        elif value == "form" and kind == "close":
-            at = None
-    return {k for k, n in forms.items() if 2 * n > words}
+            up.append(stack[-1] if stack else -1)
+    return up
+
+
+class Parsed:
+    """The tokens of a page, which of them lie apart, which tags stand inside an article, and the elements that are articles."""
+
+    def __init__(self, page: str, weights: Weights) -> None:
+        self.seen = seen = list(tokens(page))
+        up = nested(seen)
+        n = len(seen)
+        words = [len(value.split()) if kind == "text" and (up[k] < 0 or seen[up[k]][1] not in RAW) else 0 for k, (kind, value, _) in enumerate(seen)]
+        self.words = list(words)
+        for k in range(n - 1, -1, -1):  # of an element: all below it
+            if up[k] >= 0:
+                words[up[k]] += words[k]
+        total = sum(self.words)
+        self.apart, self.inside, self.articles = [False] * n, [False] * n, []
+        article = [-1] * n  # the innermost article around or at a token
+        last = list(range(n))
+        for k, (kind, value, rest) in enumerate(seen):
+            above = up[k]
+            article[k] = article[above] if above >= 0 else -1
+            self.apart[k] = above >= 0 and self.apart[above]
+            if kind == "open":
+                self.inside[k] = article[k] >= 0
+                if not self.apart[k] and weights.apart(value, rest, self.inside[k]):
+                    # what holds most of an article, or as a form most of a page, wraps it
+                    around = words[article[k]] if article[k] >= 0 and value not in APART else total if value == "form" else 0
+                    self.apart[k] = 2 * words[k] <= around or not around
+                if kind_ := scope(value, rest):
+                    if not self.apart[k]:
+                        self.articles.append((kind_, k))
+                    article[k] = k
+            elif kind == "close":
+                self.inside[k] = article[k] >= 0 and article[k] != above
+        for k in range(n - 1, -1, -1):
+            if up[k] >= 0:
+                last[up[k]] = max(last[up[k]], last[k])
+        self.last = last
+
+    def around(self, first: int, after: int) -> tuple[int, int]:
+        """The article, or else main element, that holds at least half of a region's words, or the region; the outermost first."""
+        shown = [0]
+        for n, apart in zip(self.words, self.apart, strict=True):
+            shown.append(shown[-1] + (0 if apart else n))
+        for name in ("article", "main"):
+            for kind, a in self.articles:
+                z = self.last[a] + 1
+                if kind == name and shown[min(z, after)] - shown[min(max(a, first), min(z, after))] > 0 and 2 * (shown[min(z, after)] - shown[max(a, first)]) >= shown[after] - shown[first]:
+                    return a, z
+        return first, after
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -179,21 +224,24 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 
 def extract(page: str, weights: Weights) -> str:
-    seen = list(parsed(page, weights))
-    def score(kind: str, value: str, apart: bool, inside: bool) -> float:
-        if apart:
+    p = Parsed(page, weights)
+
+    def score(k: int, kind: str, value: str) -> float:
+        if p.apart[k]:
             return 0.0
         if kind == "text":
-            return weights.word * len(value.split())
-        return max(weights.tags.get(value, UNKNOWN), LEAST_INNER if inside else LEAST)
+            return weights.word * p.words[k]
+        return max(weights.tags.get(value, UNKNOWN), LEAST_INNER if p.inside[k] else LEAST)
 
-    scores = [score(*x) for x in seen]
-    first, last = region(scores)
+    first, after = region([score(k, kind, value) for k, (kind, value, _) in enumerate(p.seen)])
+    if after:
+        first, after = p.around(first, after)
     blocks: list[str] = []
     parts: list[str] = []
-    for kind, value, apart, _ in seen[first:last]:
+    for k in range(first, after):
+        kind, value, _ = p.seen[k]
         if kind == "text":
-            if not apart:
+            if not p.apart[k]:
                 parts.append(html.unescape(value))
         elif value in BLOCKS:
             blocks.append("".join(parts))
@@ -329,13 +377,13 @@ def self_labelled(pages: Iterable[str], weights: Weights) -> list[tuple[str, str
 
 
 def learned(df: DataFrame, page: str, sample: int = SAMPLE) -> Weights:
-    """Weights from composed pages and from about `sample` pages of df that name their article themselves, chosen by hash and none longer than LONGEST characters.
+    """Weights from composed pages and from at most `sample` different pages of df that name their article themselves: those of the least hash, none longer than LONGEST characters.
 
-    So the names that a site gives to its parts, whatever they are, are learned from where its own pages put them.
+    So the names that a site gives to its parts, whatever they are, are learned from where its own pages put them. `sample` hashes and pages of bounded length reach the driver.
     """
-    n = df.count()
-    share = df.where((F.length(df[page]) <= LONGEST) & (F.pmod(F.xxhash64(df[page]), F.lit(max(1, n // sample))) == 0))
-    chosen = [r[0] for r in share.select(page).limit(2 * sample).collect()]
+    short = df.where(F.length(df[page]) <= LONGEST).select(df[page].alias("page"), F.xxhash64(df[page]).alias("h"))
+    least = [r.h for r in short.select("h").distinct().orderBy("h").limit(sample).collect()]
+    chosen = [r.page for r in short.where(F.col("h").isin(least)).groupBy("h").agg(F.min("page").alias("page")).select("page").collect()] if least else []
     return train([*labelled(), *self_labelled(sorted(chosen), default_weights())])
 
 
