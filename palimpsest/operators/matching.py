@@ -530,7 +530,10 @@ def mismatches(mapping: DataFrame, truth: DataFrame) -> DataFrame:
         mine = one_side.where(f"{side} is not null").withColumn("_whole", F.col("operation").endswith("with_children"))
         exact = mine.where("not _whole").join(rows, ["pair_id", side], "left").select("pair_id", F.col(other).isNull().alias("ok"))
         w = mine.where("_whole").select("pair_id", F.col(side).alias("_root"))
-        below = w.join(rows, "pair_id").where((F.col(side) == F.col("_root")) | F.startswith(F.col(side), F.concat("_root", F.lit("/"))))
+        # a node meets the entries at its own path and at those of its ancestors, which are the beginnings of its path
+        parts = F.split(side, "/")
+        up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+        below = rows.select("pair_id", other, F.explode(up).alias("_root")).join(w, ["pair_id", "_root"])
         return exact.unionByName(below.groupBy("pair_id", "_root").agg(F.bool_and(F.col(other).isNull()).alias("ok")).select("pair_id", "ok"))
 
     every = scored.unionByName(gone("before_path", b, "got_after")).unionByName(gone("after_path", a, "got_before"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.session import spread
+
 PAIR = "pair_id"
 PIECE = "pre int, k int, start int, finish int, col int, text string"
 
@@ -34,7 +36,7 @@ def text_pieces(units: DataFrame, unit_id: str, contents: str, language: str) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
-    return units.select(unit_id, contents, language).mapInArrow(run, schema)
+    return spread(units.select(unit_id, contents, language)).mapInArrow(run, schema)
 
 
 def projected(before: DataFrame, after: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from palimpsest.functions.languages import ANCHORS, COMMENT_KINDS, COMMUTATIVE
 from palimpsest.operators.parsers import Node, parse
+from palimpsest.session import spread
 
 NODE_FIELDS = (
     "pre int, post int, parent_pre int, sib_idx int, depth int, size int, n_children int, kind string, path string, text string, own_text string, start int, end int, "
@@ -24,6 +25,9 @@ NODE_FIELDS = (
 )
 
 
+HASHES = ("full_hash", "structural_hash", "kind_value_hash", "kind_only_hash")
+
+
 def _hash(*parts: object) -> int:
     h = hashlib.blake2b(digest_size=8)
     for p in parts:
@@ -35,7 +39,8 @@ def _hash(*parts: object) -> int:
 class Tree:
     """A parsed text as arrays by pre."""
 
-    def __init__(self, text: str, root: Node, language: str, hashed: bool = True):
+    def __init__(self, text: str, root: Node, language: str, hashed: bool | set[str] = True):
+        """hashed: whether, or which of the four hashes (by column) are worked out."""
         self.text_all, self.language = text, language
         self.kind: list[str] = []
         self.start: list[int] = []
@@ -76,30 +81,36 @@ class Tree:
             # as many end before a node as stand before it, less its ancestors, plus its descendants
             self.post[i] = i - self.depth[i] + self.size[i] - 1
         if hashed:
-            self._hashes()
+            self._hashes(set(HASHES) if hashed is True else hashed)
         self.anchor = [k in ANCHORS.get(language, ()) for k in self.kind]
         self.comment = [k in COMMENT_KINDS for k in self.kind]
 
-    def _hashes(self) -> None:
+    def _hashes(self, wanted: set[str]) -> None:
         n = self.n
         self.full, self.structural, self.value, self.only = ([0] * n for _ in range(4))
+        full, structural, value, only = (h in wanted for h in HASHES)
         loose = COMMUTATIVE.get(self.language, ())
         for i in range(n - 1, -1, -1):
             k, kids = self.kind[i], self.children[i]
-            gaps = self.gaps(i)
-            parts: list[object] = [gaps[0]] if gaps[0].strip() else []
-            inner: list[object] = list(parts)
-            for g, c in zip(gaps[1:], kids, strict=True):
-                parts.append(self.full[c])
-                inner.append(self.value[c])
-                if g.strip():
-                    parts.append(g)
-                    inner.append(g)
-            self.full[i] = _hash(k, len(kids), *parts)
-            self.structural[i] = _hash(k, len(kids), *(self.structural[c] for c in kids))
-            self.value[i] = _hash(k, len(kids), *(sorted(self.value[c] for c in kids) if k in loose else inner))
-            only = [self.only[c] for c in kids]
-            self.only[i] = _hash(k, len(kids), *(sorted(only) if k in loose else only))
+            if full or value:
+                gaps = self.gaps(i)
+                parts: list[object] = [gaps[0]] if gaps[0].strip() else []
+                inner: list[object] = list(parts)
+                for g, c in zip(gaps[1:], kids, strict=True):
+                    parts.append(self.full[c])
+                    inner.append(self.value[c])
+                    if g.strip():
+                        parts.append(g)
+                        inner.append(g)
+            if full:
+                self.full[i] = _hash(k, len(kids), *parts)
+            if structural:
+                self.structural[i] = _hash(k, len(kids), *(self.structural[c] for c in kids))
+            if value:
+                self.value[i] = _hash(k, len(kids), *(sorted(self.value[c] for c in kids) if k in loose else inner))
+            if only:
+                below = [self.only[c] for c in kids]
+                self.only[i] = _hash(k, len(kids), *(sorted(below) if k in loose else below))
 
     def gaps(self, i: int) -> list[str]:
         """Text of a node before, between and after its children."""
@@ -138,7 +149,7 @@ class Tree:
         return out
 
 
-def build(text: str, language: str | None, hashed: bool = True) -> Tree | None:
+def build(text: str, language: str | None, hashed: bool | set[str] = True) -> Tree | None:
     root = parse(text, language)
     return Tree(text, root, language, hashed) if root else None
 
@@ -187,7 +198,7 @@ def flatten(units: DataFrame, unit_id: str, contents: str, language: str, column
     known = T.StructType.fromDDL(NODE_FIELDS)
     wanted = known.names if columns is None else columns
     schema = T.StructType([T.StructField("unit_id", units.schema[unit_id].dataType), *(known[c] for c in wanted)])
-    hashed = any(c.endswith("_hash") for c in wanted)
+    hashed = set(HASHES) & set(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -202,7 +213,7 @@ def flatten(units: DataFrame, unit_id: str, contents: str, language: str, column
                 columns = [[unit] * tree.n, *(make[c]() for c in wanted)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
-    return units.select(unit_id, contents, language).mapInArrow(run, schema)
+    return spread(units.select(unit_id, contents, language)).mapInArrow(run, schema)
 
 
 # ---- questions about node rows

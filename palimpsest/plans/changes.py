@@ -228,8 +228,11 @@ def greedy_line_assignment(spark, d):
 
 
 def _mapped_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    b, a = _sides(spark, d, ["pre", "size", "parent_pre", "ancestors"])
-    return b, a, matching.mappings(page_pairs(spark, d)).select("pair_id", "b_pre", "a_pre", "op")
+    """Nodes of both sides and their mapping, each worked out once however often it is used."""
+    from palimpsest.operators.assignment import written
+
+    b, a = (written(n) for n in _sides(spark, d, ["pre", "size", "parent_pre", "ancestors"]))
+    return b, a, written(matching.mappings(page_pairs(spark, d)).select("pair_id", "b_pre", "a_pre", "op"))
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import mapping, matching, ranges, reports, trees
+from palimpsest.operators.assignment import written
 from palimpsest.operators.pairs import neighbours
 from palimpsest.session import table
 
@@ -71,9 +72,10 @@ def text_sides(spark: SparkSession, d: str, columns: list[str]) -> tuple[DataFra
     return side(0), side(1)
 
 
-def path_mapping(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    b, a = text_sides(spark, d, ["pre", "parent_pre", "size", "path", "full_hash", "ancestors"])
-    return b, a, mapping.by_paths(b, a)
+def path_mapping(spark: SparkSession, d: str, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes of both sides with pre, parent_pre, size and `more` columns, and their mapping by paths. Texts are parsed and joined once, however often these are used."""
+    b, a = (written(n) for n in text_sides(spark, d, ["pre", "parent_pre", "size", "path", "full_hash", *more]))
+    return b, a, written(mapping.by_paths(b, a))
 
 
 @query(f"""with {TEXT_NODES}
@@ -141,7 +143,7 @@ def path_coarse_costs(spark, d):
 select x.pair_id, cast(x.b_pre as integer) as b_pre, cast(x.a_pre as integer) as a_pre, count(*) as shared
 from y as x join y on y.pair_id = x.pair_id and y.depth > x.depth and (x.depth = 0 or y.b = x.b) and (x.depth < 2 or y.li = x.li) group by 1, 2, 3""")
 def path_containment(spark, d):
-    return mapping.shared_descendants(*path_mapping(spark, d))
+    return mapping.shared_descendants(*path_mapping(spark, d, "ancestors"))
 
 
 @query(f"""with {PATH_MAPPING} select q.pair_id, cast(q.b_pre as integer) as pre, cast(q.b_size as integer) as size from m q left join m up on up.pair_id = q.pair_id and up.b_pre = q.b_parent
@@ -290,7 +292,7 @@ select pair_id, cast(b_pre as integer) as pre, path, operation, op from s where
 def annotation_disagreements(spark, d):
     from palimpsest.operators import annotations
 
-    b, _, m = path_mapping(spark, d)
+    b, _, m = path_mapping(spark, d, "ancestors")
     return annotations.disagreements(annotations.statuses(b, text_entries(spark, d), "before"), m, "before")
 
 
@@ -299,7 +301,7 @@ select x.pair_id, cast(x.b_pre as integer) as pre, bool_and(up.good) as holds fr
 def annotation_paths_hold(spark, d):
     from palimpsest.operators import annotations
 
-    b, _, m = path_mapping(spark, d)
+    b, _, m = path_mapping(spark, d, "ancestors")
     return annotations.paths_hold(b, m)
 
 

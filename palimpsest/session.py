@@ -23,3 +23,11 @@ def session(name: str = "palimpsest", cores: str = "*", **conf: str) -> SparkSes
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew where it is read, without a shuffle, in fewer partitions than there are cores: costly work on a small file's rows is shared. Looking this up runs nothing."""
+    if "Adaptive" in df._jdf.queryExecution().executedPlan().toString():  # there is a shuffle, or more
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
