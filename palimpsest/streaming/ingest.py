@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -9,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from palimpsest.functions import languages as L
 from palimpsest.functions import text as T
 from palimpsest.sources.files import with_units
-from palimpsest.sources.sinks import merge, size
+from palimpsest.sources.sinks import STATISTICS, merge, size, statistics_tables
+from palimpsest.sources.versions import Tables
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -28,26 +30,73 @@ def file_statistics(units: DataFrame) -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, root: str, target: str, checkpoint: str, files_per_batch: int = 1000, most_bytes: int | None = None, glob: str = "*") -> StreamingQuery:
-    """A query that merges statistics of files below root into the table at target until it has seen all there are.
+class Full(Exception):
+    """The table has reached its limit; the batch that was to be written is not marked as read."""
 
-    Back pressure is the number of files of a batch; once the table reaches most_bytes, the batches that follow are left out.
-    """
+
+def _units(spark: SparkSession, root: str, files_per_batch: int, glob: str) -> DataFrame:
     stream = (
         spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", str(files_per_batch)).load(root)
     )
-    units = with_units(stream.where(~L.skipped(F.col("path"))))
+    return with_units(stream.where(~L.skipped(F.col("path"))))
 
-    def write(batch: DataFrame, _: int) -> None:
-        if most_bytes is None or size(batch.sparkSession, target) < most_bytes:
-            measured = file_statistics(batch).persist()  # small rows; contents are read once
-            merge(measured, target, ["path"], ["last_updated"])
-            measured.unpersist()
 
+def _started(units: DataFrame, write, checkpoint: str) -> StreamingQuery:
     return units.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest(spark: SparkSession, root: str, target: str, checkpoint: str, files_per_batch: int = 1000, most_bytes: int | None = None, glob: str = "*") -> StreamingQuery:
+    """A query that merges statistics of files below root into the table at target until it has seen all there are.
+
+    Back pressure is the number of files of a batch. Once the table reaches most_bytes the query ends (see ended()); a later one with a higher limit goes on with the batch that did not fit.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        if most_bytes is not None and size(batch.sparkSession, target) >= most_bytes:
+            raise Full(target)
+        measured = file_statistics(batch).persist()  # small rows; contents are read once
+        merge(measured, target, ["path"], ["last_updated"])
+        measured.unpersist()
+
+    return _started(_units(spark, root, files_per_batch, glob), write, checkpoint)
+
+
+def tables(spark: SparkSession, target: str) -> Tables:
+    """The tables of file statistics at target."""
+    return Tables(spark, target, list(STATISTICS), "path")
+
+
+def ingest_tables(spark: SparkSession, root: str, target: str, checkpoint: str, files_per_batch: int = 1000, most_bytes: int | None = None, glob: str = "*") -> StreamingQuery:
+    """As ingest(), with the tables of nodes by kind and by size too: all of them change together, and a batch that is played again changes nothing.
+
+    The stream's name in the tables is its checkpoint. Of a file that one batch holds twice, the last state counts.
+    """
+    at = tables(spark, target)
+
+    def write(batch: DataFrame, number: int) -> None:
+        if most_bytes is not None and at.size() >= most_bytes:
+            raise Full(target)
+        units = batch.persist()
+        try:
+            at.commit(checkpoint, number, statistics_tables(units))
+        finally:
+            units.unpersist()
+
+    return _started(_units(spark, root, files_per_batch, glob), write, checkpoint)
+
+
+def ended(query: StreamingQuery) -> bool:
+    """Wait for a query of ingest() or ingest_tables(): whether it has seen all files; False if it ended because its table is full."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if Full.__name__ in str(e):
+            return False
+        raise
+    return True
+
+
 class Throughput(StreamingQueryListener):
     """Rows and batches of the queries that have run since it was added."""
 
