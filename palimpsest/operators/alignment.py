@@ -14,16 +14,86 @@ from pyspark.sql import types as T
 #: Edits after which two texts are told to have nothing in common.
 TEXT_EDITS = 10_000
 TREE_EDITS = 1_000
+#: Edits up to which the steps of an alignment are kept, some 4 MB; beyond, it is halved until they are few.
+DIRECT = 1_500
 
 
 def common_subsequence(a: Sequence, b: Sequence, most: int) -> list[tuple[int, int]] | None:
     """Places (i, j) of a longest common subsequence by greedy furthest-reaching paths; None beyond `most` edits.
 
-    Where two paths reach equally far, the one that deletes goes on.
+    Where two paths reach equally far, the one that deletes goes on. Beyond DIRECT edits space is linear, and of several longest ones another may be found.
     """
+    found, edits = _direct(a, b, min(most, DIRECT))
+    if found is not None or edits >= most:
+        return found
+    return halved(a, b) if _edits(a, b, most) is not None else None
+
+
+def _edits(a: Sequence, b: Sequence, most: int) -> int | None:
+    """The number of edits, None beyond `most`, without the steps."""
+    n, m = len(a), len(b)
+    furthest = {1: 0}
+    for d in range(min(most, n + m) + 1):
+        for k in range(-d, d + 1, 2):
+            x = furthest[k + 1] if k == -d or (k != d and furthest[k - 1] < furthest[k + 1]) else furthest[k - 1] + 1
+            while x < n and x - k < m and a[x] == b[x - k]:
+                x += 1
+            furthest[k] = x
+            if x >= n and x - k >= m:
+                return d
+    return None
+
+
+def _middle(a: Sequence, b: Sequence) -> tuple[int, int, int, int]:
+    """Start and end of a run of equal items in the middle of a shortest script, where paths from both ends meet."""
+    n, m = len(a), len(b)
+    delta = n - m
+    ahead, back = {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for k in range(-d, d + 1, 2):
+            x = ahead[k + 1] if k == -d or (k != d and ahead[k - 1] < ahead[k + 1]) else ahead[k - 1] + 1
+            first = x
+            while x < n and x - k < m and a[x] == b[x - k]:
+                x += 1
+            ahead[k] = x
+            if delta % 2 and abs(k - delta) <= d - 1 and x + back[delta - k] >= n:
+                return first, first - k, x, x - k
+        for k in range(-d, d + 1, 2):
+            x = back[k + 1] if k == -d or (k != d and back[k - 1] < back[k + 1]) else back[k - 1] + 1
+            first = x
+            while x < n and x - k < m and a[n - 1 - x] == b[m - 1 - x + k]:
+                x += 1
+            back[k] = x
+            if delta % 2 == 0 and abs(k - delta) <= d and x + ahead[delta - k] >= n:
+                return n - x, m - x + k, n - first, m - first + k
+    raise AssertionError("paths from both ends meet")
+
+
+def halved(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence in linear space: parted at the middle of a shortest script until nothing differs."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        x, y, u, v = _middle(a[i:n], b[j:m])
+        out += [(i + x + k, j + y + k) for k in range(u - x)]
+        todo += [(i, i + x, j, j + y), (i + u, n, j + v, m)]
+    return sorted(out)
+
+
+def _direct(a: Sequence, b: Sequence, most: int) -> tuple[list[tuple[int, int]] | None, int]:
+    """common_subsequence() by the steps of all edits, with the number of edits tried."""
     n, m = len(a), len(b)
     if not n or not m:
-        return []
+        return [], 0
     furthest = {1: 0}
     steps: list[array] = []
     for d in range(min(most, n + m) + 1):
@@ -37,9 +107,9 @@ def common_subsequence(a: Sequence, b: Sequence, most: int) -> list[tuple[int, i
             row.append(x)
             if x >= n and x - k >= m:
                 steps.append(row)
-                return _walk_back(steps, n, m)
+                return _walk_back(steps, n, m), d
         steps.append(row)
-    return None
+    return None, most
 
 
 def _walk_back(steps: list[array], x: int, y: int) -> list[tuple[int, int]]:

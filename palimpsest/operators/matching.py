@@ -10,6 +10,7 @@ import time
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -316,7 +317,11 @@ class Matching:
     def phase_moves(self) -> None:
         """Whole subtrees that were removed here and put in there, the largest first, to the earliest place."""
         b, a, least = self.b, self.a, self.config.min_move_size
-        whole = lambda t, mapped: [i for i in range(t.n) if t.size[i] >= least and not any(x in mapped for x in t.subtree(i))]
+
+        def whole(t: Tree, mapped: dict[int, int]) -> list[int]:
+            upto = [0, *accumulate(i in mapped for i in range(t.n))]  # partners before each place
+            return [i for i in range(t.n) if t.size[i] >= least and upto[i + t.size[i]] == upto[i]]
+
         target: dict[int, list[int]] = defaultdict(list)
         for j in whole(a, self.to_b):
             target[a.full[j]].append(j)

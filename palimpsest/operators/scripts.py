@@ -390,15 +390,11 @@ def parse_yaml(text: str) -> Node:
     return root
 
 
-def parse_ruby(text: str) -> Node:
-    """Ruby, for parsers.register("Ruby", parse_ruby): without that call, in each Python process that parses, Ruby has no tree."""
-    return _Reader(text, RUBY).read()
-
-
 def _parser(words: Words):
     return lambda text: _Reader(text, words).read()
 
 
 for _name, _words in LANGUAGES.items():
     register(_name, _parser(_words))
+register("Ruby", _parser(RUBY))
 register("YAML", parse_yaml)

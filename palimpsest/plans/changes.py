@@ -215,7 +215,18 @@ def text_diff_classes(spark, d):
 # ---- assignments and questions about mappings
 
 
-@query()
+@query(rf"""with recursive l as {LINES},
+w as (select pair_id, side, row, list_distinct(regexp_extract_all(line, '\S+')) as words from l),
+e as (select pair_id, side, row, words, unnest(words) as word from w),
+j as (select b.pair_id, b.row as b_row, a.row as a_row, count(*) as n, len(any_value(b.words)) + len(any_value(a.words)) as total from e b join e a on a.pair_id = b.pair_id and a.word = b.word and b.side = 'before' and a.side = 'after' group by 1, 2, 3),
+c as (select pair_id, b_row, a_row, round(1 - n / (total - n), 9) as cost from j where 2 * n >= total - n),
+t as (select pair_id, list(struct_pack(cost := cost, b := b_row, a := a_row) order by cost, b_row, a_row) as todo from c where cost <= 0.5 group by 1),
+g as (
+  select pair_id, todo, cast(null as struct(cost double, b bigint, a bigint)) as took from t
+  union all
+  select pair_id, list_filter(todo, lambda x: x.b <> todo[1].b and x.a <> todo[1].a), struct_pack(cost := todo[1].cost, b := cast(todo[1].b as bigint), a := cast(todo[1].a as bigint)) from g where len(todo) > 0
+)
+select pair_id, cast(took.b as integer) as b_row, cast(took.a as integer) as a_row, took.cost as cost from g where took is not null""")
 def greedy_line_assignment(spark, d):
     """Lines of each pair assigned one to one by likeness of their words, the most alike first."""
     from palimpsest.operators import assignment

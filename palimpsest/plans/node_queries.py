@@ -277,6 +277,48 @@ def annotation_status(spark, d):
     return annotations.flags(text_status(spark, d, ["pre", "path", "ancestors"])[1])
 
 
+#: Entries for the after side: every third pair gets its first block with its children, in others the first line is matched from the second, and one word is as it was.
+AFTER = """t as (select pair_id, 'match_but_not_identical' as operation, 'document' as before_path, 'document' as after_path from (select distinct unit_id - unit_id % 2 as pair_id from n) union all
+  select pair_id, 'insert_with_children', null, 'document/block[0]' from (select distinct unit_id - unit_id % 2 as pair_id from n) where pair_id % 3 = 0 union all
+  select pair_id, 'update', 'document/block[0]/line[1]', 'document/block[0]/line[0]' from (select distinct unit_id - unit_id % 2 as pair_id from n) where pair_id % 3 <> 0 union all
+  select pair_id, 'identical', 'document/block[0]/line[0]/word[0]', 'document/block[0]/line[0]/word[0]' from (select distinct unit_id - unit_id % 2 as pair_id from n) where pair_id % 3 = 1)"""
+AFTER_STATUS = f"""{TEXT_NODES}, {AFTER},
+s as (select n.unit_id - 1 as pair_id, pre, n.path, b, coalesce(t.operation, case when (unit_id - 1) % 3 = 0 and b = 0 then 'insert_with_children' end) as operation, t.before_path as other_path,
+  t.operation is null and (unit_id - 1) % 3 = 0 and b = 0 as inherited from n left join t on t.pair_id = unit_id - 1 and t.after_path = n.path where unit_id % 2 = 1)"""
+
+
+def after_entries(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "documents").select((F.col("doc_id") - F.col("doc_id") % 2).alias("pair_id")).distinct()
+    entry = lambda rows, operation, b, a: rows.select("pair_id", F.lit(operation).alias("operation"), F.lit(b).cast("string").alias("before_path"), F.lit(a).cast("string").alias("after_path"))
+    line, word = "document/block[0]/line", "document/block[0]/line[0]/word[0]"
+    return (
+        entry(pairs, "match_but_not_identical", "document", "document")
+        .unionByName(entry(pairs.where("pair_id % 3 = 0"), "insert_with_children", None, "document/block[0]"))
+        .unionByName(entry(pairs.where("pair_id % 3 <> 0"), "update", f"{line}[1]", f"{line}[0]"))
+        .unionByName(entry(pairs.where("pair_id % 3 = 1"), "identical", word, word))
+    )
+
+
+@query(f"""with {AFTER_STATUS} select pair_id, cast(pre as integer) as pre, path, operation, other_path, inherited, coalesce(operation = 'identical', true) as identical, coalesce(path <> other_path, false) as moved from s""")
+def annotation_status_after(spark, d):
+    """What people recorded of after-side nodes: their own entries, and what came with all its children."""
+    from palimpsest.operators import annotations
+
+    _, after = text_sides(spark, d, ["pre", "path", "ancestors"])
+    return annotations.flags(annotations.statuses(after, after_entries(spark, d), "after"))
+
+
+@query(f"""with {PATH_MAPPING}, {AFTER}, s as (select m.pair_id, m.a_pre, m.path, m.op, coalesce(t.operation, case when m.pair_id % 3 = 0 and m.b = 0 then 'insert_with_children' end) as operation
+  from m left join t on t.pair_id = m.pair_id and t.after_path = m.path where m.a_pre is not null)
+select pair_id, cast(a_pre as integer) as pre, path, operation, op from s where operation is not null and op <> case operation when 'insert_with_children' then 'Insert' when 'update' then 'Update' when 'identical' then 'Identical' else 'MatchButNotIdentical' end""")
+def annotation_disagreements_after(spark, d):
+    """After-side nodes that the mapping by paths treats otherwise than people recorded."""
+    from palimpsest.operators import annotations
+
+    _, a, m = path_mapping(spark, d, "ancestors")
+    return annotations.disagreements(annotations.statuses(a, after_entries(spark, d), "after"), m, "after")
+
+
 @query(f"""with {TEXT_NODES}, {ENTRIES} select t.pair_id, cast(sum(case operation when 'delete_with_children' then coalesce(n.size, 1) when 'update' then 1 else 0 end) as bigint) as cost
 from t left join n on n.unit_id = t.pair_id and n.path = t.before_path group by 1""")
 def annotation_cost(spark, d):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_claims import texts
 
-from palimpsest.operators import claims, mapping, patience, spans, trees
+from palimpsest.operators import alignment, claims, mapping, patience, spans, trees
 from palimpsest.operators.alignment import common_subsequence, text_lines
 from palimpsest.operators.matching import Matching
 from palimpsest.operators.ranges import pieces, project
@@ -36,6 +36,19 @@ def test_heaviest_chain():
         assert sum(runs[i][2] for i in got) == max(best, default=0)
 
 
+def test_alignment_in_linear_space(monkeypatch):
+    r = random.Random(9)
+    for _ in range(400):
+        x, y = ("".join(r.choices("abcd", k=r.randint(0, 30))) for _ in range(2))
+        direct, rows = common_subsequence(x, y, 10**6), alignment.halved(x, y)
+        assert valid(rows, x, y) and len(rows) == len(direct)
+        edits = len(x) + len(y) - 2 * len(direct)
+        assert common_subsequence(x, y, edits) == direct and (not edits or not x or not y or common_subsequence(x, y, edits - 1) is None)
+        monkeypatch.setattr(alignment, "DIRECT", 3)
+        assert len(common_subsequence(x, y, 10**6)) == len(direct) and (edits < 5 or not x or not y or common_subsequence(x, y, edits - 1) is None)
+        monkeypatch.undo()
+
+
 def valid(rows, b, a):
     rows = sorted(rows)
     return all(b[i] == a[j] for i, j in rows) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(rows, rows[1:]))
