@@ -6,9 +6,9 @@ Keys that find their shard full continue clockwise to the next point whose shard
 home going before those that come by. So counts are at most one apart, and adding a shard or a row
 moves only the keys of the arcs whose owner or overflow changes.
 
-The walk around the ring needs no rows: only the number of keys of each arc, at most
-shards * points numbers, reaches the driver, whatever the input. It yields, for each arc, intervals
-of ranks and their shard and first slot; a row finds its interval by its rank within its arc. Keys
+The walk around the ring needs no rows: only the number of keys of each arc, and of each of the 2**CUT_BITS equal parts of the ring that an arc lies in, reaches the driver, whatever the input. It
+yields, for each arc, intervals of ranks and their shard and first slot; a row finds its interval by its rank within its arc, which is its rank within the part and the keys of the arc's parts before it. So a task ranks the
+keys of small parts of the ring only. Keys
 are hashed with their ties, so the arcs are even however many rows share a source, a language, a text or an id; only rows that are
 equal in key and ties share a place on the ring and take consecutive ranks.
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POINTS = 128
+#: The ring is cut into so many parts, as a power of 2, in which rows are ranked: of 10**11 rows some 800,000 each. Counts of that many parts and arcs reach the driver.
+CUT_BITS = 17
 
 
 def ring(shards: int, points: int = POINTS) -> tuple[list[int], list[int]]:
@@ -88,14 +90,19 @@ def shard(df: DataFrame, key: str, ties: list[str], shards: int = 16, points: in
     spark = df.sparkSession
     positions, owners = ring(shards, points)
     row = F.struct(*(df[c] for c in (key, *ties)))
-    placed = df.select(row.alias("_row"), F.xxhash64(*(df[c] for c in (key, *ties))).alias("_at")).withColumn("_arc", _arc(F.col("_at"), positions))
-    counts = {r["_arc"]: r["count"] for r in placed.groupBy("_arc").count().collect()}  # one row for each arc at most
+    placed = df.select(row.alias("_row"), F.xxhash64(*(df[c] for c in (key, *ties))).alias("_at")).withColumn("_arc", _arc(F.col("_at"), positions)).withColumn("_cut", F.shiftright("_at", 64 - CUT_BITS).cast("int"))
+    counts: dict[int, int] = {}
+    before = []  # (arc, part, keys of the arc in the parts before)
+    for r in sorted(placed.groupBy("_arc", "_cut").count().collect()):  # at most a row for each part and each arc
+        before.append((r["_arc"], r["_cut"], counts.get(r["_arc"], 0)))
+        counts[r["_arc"]] = counts.get(r["_arc"], 0) + r["count"]
     schema = T.StructType(
         [T.StructField("_arc", T.IntegerType()), T.StructField("_lo", T.LongType()), T.StructField("_hi", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("_slot", T.LongType())]
     )
     runs = spark.createDataFrame(walk(counts, owners, shards), schema).groupBy("_arc").agg(F.collect_list(F.struct("_lo", "_hi", "shard", "_slot")).alias("_runs"))
-    in_arc = Window.partitionBy("_arc").orderBy("_at", "_row")
-    ranked = placed.withColumn("_rank", F.row_number().over(in_arc).cast("long") - 1)
+    in_part = Window.partitionBy("_arc", "_cut").orderBy("_at", "_row")
+    offsets = spark.createDataFrame(before, "_arc int, _cut int, _before long")
+    ranked = placed.withColumn("_nth", F.row_number().over(in_part).cast("long") - 1).join(F.broadcast(offsets), ["_arc", "_cut"]).withColumn("_rank", F.col("_nth") + F.col("_before"))
     found = ranked.join(F.broadcast(runs), "_arc").withColumn(
         "_run", F.filter("_runs", lambda r: (r["_lo"] <= F.col("_rank")) & (F.col("_rank") < r["_hi"]))[0]
     )
