@@ -3,7 +3,7 @@
 The patterns find assignments, access keys and long hexadecimal runs. Beyond these, each run of characters that
 keys are made of, MIN_TOKEN and longer, is scored by two first-order Markov models over its characters, one
 of random strings and one of ordinary identifiers and words, both counted on labelled samples (train()).
-A run that has a letter, touches no match of a pattern, and whose log-likelihood ratio is THRESHOLD or more (LETTERS_THRESHOLD, if it
+A run that has a letter and more than VARIED different characters (lines, fillers and padding have fewer; of random runs of this length not one in a million has), touches no match of a pattern, and whose log-likelihood ratio is THRESHOLD or more (LETTERS_THRESHOLD, if it
 has no digit), is a span of its own, of kind "model". All of it is column expressions: no row leaves the JVM.
 
 Places are in code points, last exclusive. Defined results: a null text is an empty one, which has no
@@ -37,6 +37,7 @@ LONG_HEX = "[0-9a-f]{32,}"
 MIN_TOKEN = 16
 THRESHOLD = 12.0
 LETTERS_THRESHOLD = 16.0
+VARIED = 4
 TOKEN = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(SYMBOLS) + 1
@@ -147,7 +148,7 @@ def with_rows(df: DataFrame, text: str, model: Iterable[float] | None = None) ->
         "_assign": where(ASSIGN, F.filter(places(t, ASSIGN), lambda x: F.length(F.regexp_extract(x["word"], ASSIGN, 2)) >= 8)),
         "_access": where(ACCESS, F.filter(places(t, ACCESS), lambda x: F.length(x["word"]) >= 16)),
         "_hex": where(LONG_HEX, places(t, LONG_HEX)),
-        "_likely": where(TOKEN, F.filter(places(t, TOKEN), lambda x: x["word"].rlike("[A-Za-z]"))),
+        "_likely": where(TOKEN, F.filter(places(t, TOKEN), lambda x: x["word"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.regexp_extract_all(x["word"], F.lit("."), F.lit(0)))) > VARIED))),
     }
     found = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *(c.alias(n) for n, c in patterns.items()))
     base = F.concat(_kind("assign", F.col("_assign"), 0), _kind("access", F.col("_access"), 1), _kind("hex", F.col("_hex"), 2))

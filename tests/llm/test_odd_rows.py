@@ -4,9 +4,10 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from palimpsest.llm import decontamination, html_main, pieces, pii, quality, secrets, sharding, simhash, substrings, topk
+from palimpsest.llm import decontamination, html_main, merkle, negatives, packing, pieces, pii, quality, secrets, sharding, simhash, substrings, topk
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Names of results and of steps between, in all modules.
 CLASHING = (
     "_row row _text _t t _words _lines _stats stats _found _y _id id score held_out predicted _secrets secrets spans _assign _access _hex _likely _base base_sha256 "
@@ -59,6 +60,9 @@ MAKING = {
     "pieces.digests": lambda df: pieces.digests(df, "doc_id", "text", MODEL),
     "html_main.main_text": lambda df: html_main.main_text(df, "text", ["doc_id"]),
     "sharding.shard": lambda df: sharding.shard(df, "doc_id", ["_arc"], 4),
+    "merkle.checked": lambda df: merkle.checked(df, "doc_id", "row", ["doc_id", "row", "text", "root"], "text"),
+    "merkle.proofs": lambda df: merkle.proofs(df.select(*df.columns, merkle.leaf(df["text"]).alias("digest")), "text", ["doc_id", "_row"], "digest"),
+    "packing.pack": lambda df: packing.pack(df, "doc_id", "text", VOCABULARY).where("start = 0"),
     "substrings.remove_repeats": lambda df: substrings.remove_repeats(df, "doc_id", "text", digest=True),
 }
 
@@ -111,3 +115,12 @@ def test_wide_and_empty_vectors(spark):
         topk.top_k(big, big).collect()
     with pytest.raises(Exception, match="does not fit a long"):
         topk.quantised(spark.createDataFrame([(0, [2.0**60])], "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+
+
+def test_negatives_of_clashing_names(spark):
+    names = "id terms mark place lowest highest slot slots _cell _row ids labels vectors rank score anchor positive_id".split()
+    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.8, 0.0], 1), (2, [0.8, 0.0], 1), (3, None, 1), (None, [1.0, 0.0], 1), (4, [0.7, 0.1], None)]
+    df = spark.createDataFrame([(*r, *names) for r in rows], ", ".join(["vec_id long", "embedding array<double>", "label int", *(f"{n} string" for n in names)])).repartition(3)
+    mine = lambda d: negatives.hard_negatives(d, "vec_id", "embedding", d["label"], d["vec_id"] % 50 == 0)
+    assert sorted(tuple(x) for x in mine(df).collect()) == [(0, 1, r, 2, 65536, 256 * 204) for r in (1, 2)]
+    assert mine(df.limit(0)).count() == 0

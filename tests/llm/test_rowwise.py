@@ -335,6 +335,12 @@ def test_secrets_against_plain(spark):
     assert secrets.digests(empty(spark), "doc_id", "text").count() == 0
 
 
+def test_fillers_are_no_secrets(spark):
+    texts = ["x" * 20, "ab" * 15, "see xxxxxxxxxxxxxxxxxxxx here", "=-" * 9 + "a" * 9, "zzzz1111" * 4, "q7Rk2vXw9LpT4mZc8NsB"]
+    got = {r.doc_id: r.n_model for r in secrets.digests(frame(spark, texts), "doc_id", "text").collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
 def test_markov_models_on_held_out_samples(spark):
     rows = [(s, 1) for s in secrets.random_samples(200, "held out")] + [(s, 0) for s in secrets.ordinary_samples(400, "held out")[-400:]]
     df = spark.createDataFrame(rows, "s string, y int").withColumn("r", secrets.ratio(F.col("s"), secrets.default_model()))
