@@ -29,16 +29,17 @@ def safe_percent(part: Column, whole: Column) -> Column:
 RANGES = 64
 
 
-def ranges(df: DataFrame, value: str, n: int = RANGES) -> Column:
-    """The range (from 0) of each value, by bounds that cut the values into n parts of about equal size.
+def in_ranges(df: DataFrame, by: list[str], value: str, of: DataFrame | None = None, n: int = RANGES) -> DataFrame:
+    """df with _part, the range (from 0) of each row's value, by bounds that cut the values of its group (in `of`, or df) into n parts of about equal size.
 
-    The bounds are n numbers at most; equal values share a range, and the range depends on the value alone.
+    The bounds of a group are n numbers at most, found by sketches, so groups of any scale are cut alike; equal values of a group share a range.
     """
-    found = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], F.lit(1000)).alias("b")).first()["b"] or []
-    bounds = sorted(set(found))
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value).cast("double")))
+    bounds = (of or df).groupBy(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(by))).agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], F.lit(1000)))).alias("_bounds"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    part = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value).cast("double"))), F.lit(0))
+    return df.join(bounds, same, "left").withColumn("_part", part).select(*df.columns, "_part")
 
 
 def _offsets(dealt: DataFrame, by: list[str], size: Column) -> DataFrame:
@@ -66,7 +67,7 @@ def ranked(df: DataFrame, by: list[str], value: str, ties: list[str] = (), rank:
     A group is ranked in RANGES ranges of its values, each on its own; the sizes of the ranges before one, a few
     numbers, are added. So a group of any size spreads over many tasks, as far as its values differ.
     """
-    dealt = df.withColumn("_part", ranges(df, value))
+    dealt = in_ranges(df, by, value)
     local = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part", *by).orderBy(value, *ties)))
     placed = _placed(local, _offsets(dealt, by, F.count("*")), by)
     return placed.select(*df.columns, (F.col("_own") + F.col("_before")).cast("long").alias(rank), F.col("_total").cast("long").alias(count))
@@ -78,7 +79,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], li
     Equal values are counted first, and counts are summed up by ranges of values as in ranked().
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    dealt = counted.withColumn("_part", ranges(df, value))
+    dealt = in_ranges(counted, by, value, df)
     own = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     placed = _placed(dealt.withColumn("_upto", F.sum("_n").over(own)), _offsets(dealt, by, F.sum("_n")), by)
     placed = placed.withColumn("_hi", F.col("_upto") + F.col("_before") - 1).withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
