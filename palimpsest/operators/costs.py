@@ -78,6 +78,17 @@ def costs(pairs: DataFrame, repeats: int = 3, tools: list[str] | None = None) ->
     return pairs.select("pair_id", "before", "after", "language").mapInArrow(run, schema)
 
 
+def evaluated(measured: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(pair_id, tool, status, mismatches, entries, agreement, ms, median_ms): what each way of comparing got wrong beside what it cost.
+
+    wrong: (pair_id, tool, entries, mismatches) of the tools that people's entries can be held against; others have nulls. agreement is in percent, 0 where there are no entries.
+    """
+    median = F.sort_array("ms")[F.floor((F.size("ms") - 1) / 2).cast("int")]
+    met = measured.join(wrong, ["pair_id", "tool"], "left")
+    agreement = F.when(F.col("entries") > 0, 100 - 100 * F.col("mismatches") / F.col("entries")).when(F.col("entries") == 0, 0.0)
+    return met.select("pair_id", "tool", "status", "mismatches", "entries", agreement.alias("agreement"), "ms", median.alias("median_ms"))
+
+
 def summary(measured: DataFrame) -> DataFrame:
     """(tool, pairs, ok, timings, median_ms, p90_ms, max_ms, mean_cov, peak_bytes): costs() by tool; mean_cov is the mean variation (in percent) of a pair's repeats."""
     mean = F.aggregate("ms", F.lit(0.0), lambda s, x: s + x) / F.size("ms")

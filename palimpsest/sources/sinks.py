@@ -77,6 +77,45 @@ def distinct_names(pairs: DataFrame, name: str, before: str, after: str) -> Data
     return ranked.withColumn("target", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat_ws("-", name, F.col("_k").cast("string")))).drop("_k")
 
 
+def write_pairs(pairs: DataFrame, folder: str) -> DataFrame:
+    """(target, status) of pairs (target, extension, before, after, origin), each written as a folder below `folder`, which every executor must reach.
+
+    A folder holds before.<extension>.test, after.<extension>.test and source.json (origin, a struct). Files are written under a name of their own and renamed, so a folder is never
+    half of one pair and half of another after a lost task; what is there already with the same contents is kept. The work is done when the frame is collected or written.
+    """
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for b in batches:
+            done = []
+            for r in b.to_pylist():
+                at = f"{base}/{r['target']}"
+                files = {f"before.{r['extension']}.test": r["before"] or "", f"after.{r['extension']}.test": r["after"] or "", "source.json": r["origin"]}
+                store.create_dir(at, recursive=True)
+                status = "kept"
+                for name, text in files.items():
+                    raw = text.encode()
+                    if store.get_file_info(f"{at}/{name}").type == fs.FileType.File:
+                        with store.open_input_stream(f"{at}/{name}") as f:
+                            if f.read() == raw:
+                                continue
+                    status = "written"
+                    hidden = f"{at}/.{uuid.uuid4().hex}"
+                    with store.open_output_stream(hidden) as f:
+                        f.write(raw)
+                    store.move(hidden, f"{at}/{name}")
+                done.append((r["target"], status))
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], names=["target", "status"])
+
+    rows = pairs.select("target", "extension", "before", "after", F.to_json("origin").alias("origin"))
+    return rows.mapInArrow(run, "target string, status string")
+
+
 #: Tables of file statistics, and the keys their rows are replaced by.
 STATISTICS = {"files": ["path"], "node_kind_counts": ["path", "kind"], "node_kind_subtree_size_histogram": ["path", "kind", "size_bucket"]}
 

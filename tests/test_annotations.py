@@ -74,3 +74,15 @@ def test_small_helpers(spark):
     keys = spark.createDataFrame([(0, "document/block[0]/line[1]"), (0, "document"), (0, "none")], "pair_id long, path string")
     got = {r.path: r.node and r.node.kind for r in trees.in_any(keys, b, a, ["pair_id", "path"]).collect()}
     assert got == {"document/block[0]/line[1]": "line", "document": "document", "none": None}
+
+
+def test_identical_entries_leave_people_s_alone(spark):
+    units = lambda t: trees.flatten(spark.createDataFrame([(0, t, "Text")], "pair_id long, t string, l string"), "pair_id", "t", "l", ["pre", "size", "start", "path", "full_hash"]).withColumnRenamed("unit_id", "pair_id")
+    b, a = units("a b\nc d\n\ne f"), units("e f\n\na b\nc x")
+    found = lambda *more: {(r.before_path, r.after_path) for r in A.identical_entries(b, a, *more).collect()}
+    every = found()
+    assert ("document/block[1]", "document/block[0]") in every and ("document/block[0]/line[0]/word[1]", "document/block[1]/line[0]/word[1]") in every
+    mine = spark.createDataFrame([(0, "update", "document/block[1]/line[0]/word[0]", "document/block[1]/line[0]/word[0]")], "pair_id long, operation string, before_path string, after_path string")
+    left = found(mine)
+    named = {"document/block[1]", "document/block[1]/line[0]", "document/block[1]/line[0]/word[0]"}
+    assert left and not any(x in named for x, _ in left) and ("document/block[1]/line[0]/word[1]", "document/block[0]/line[0]/word[1]") in left

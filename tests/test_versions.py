@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import costs
-from palimpsest.sources import sqlite, versions
+from palimpsest.sources import sinks, sqlite, versions
 from palimpsest.streaming import ingest
 
 
@@ -174,3 +174,22 @@ def test_costs_of_pairs(spark):
     big = spark.createDataFrame([(1, "a b c\n" * 3000, "a b\n" * 3000, "Text")], df.schema)
     small, large = (costs.costs(x, 1, ["parse"]).agg(F.max("peak_bytes")).first()[0] for x in (df, big))
     assert large > 20 * small
+
+
+def test_costs_beside_mismatches(spark):
+    measured = spark.createDataFrame([(1, "trees", "ok", [3.0, 1.0, 2.0]), (1, "lines", "ok", [1.0]), (2, "trees", "no_tree", None)], "pair_id long, tool string, status string, ms array<double>")
+    wrong = spark.createDataFrame([(1, "trees", 8, 2), (2, "trees", 0, 0)], "pair_id long, tool string, entries long, mismatches long")
+    got = {(r.pair_id, r.tool): (r.mismatches, r.agreement, r.median_ms) for r in costs.evaluated(measured, wrong).collect()}
+    assert got == {(1, "trees"): (2, 75.0, 2.0), (1, "lines"): (None, None, 1.0), (2, "trees"): (0, 0.0, None)}
+
+
+def test_pairs_are_written_once(spark, tmp_path):
+    df = spark.createDataFrame([("n", "py", "x = 1\n", "x = 2\n", ("r", "c1")), ("n-2", "rs", None, "é\n", ("r", "c2"))], "target string, extension string, before string, after string, origin struct<repository:string,commit:string>").repartition(2)
+    out = str(tmp_path / "pairs")
+    assert sorted(tuple(r) for r in sinks.write_pairs(df, out).collect()) == [("n", "written"), ("n-2", "written")]
+    assert (tmp_path / "pairs/n/before.py.test").read_text() == "x = 1\n" and (tmp_path / "pairs/n-2/after.rs.test").read_text() == "é\n" and (tmp_path / "pairs/n-2/before.rs.test").read_text() == ""
+    assert (tmp_path / "pairs/n/source.json").read_text() == '{"repository":"r","commit":"c1"}'
+    assert {r.status for r in sinks.write_pairs(df, f"file://{out}").collect()} == {"kept"}
+    (tmp_path / "pairs/n/after.py.test").write_text("broken")
+    assert sorted(tuple(r) for r in sinks.write_pairs(df, out).collect()) == [("n", "written"), ("n-2", "kept")]
+    assert sorted(p.name for p in (tmp_path / "pairs/n").iterdir()) == ["after.py.test", "before.py.test", "source.json"]
