@@ -38,10 +38,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, partitions
+from palimpsest.llm.merkle import numbered
 
 LENGTH = 100
 GRAM = 32
@@ -586,7 +587,8 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = LENGTH,
     spark = df.sparkSession
     source = df.select(F.coalesce(df[doc_id].cast("long"), F.lit(NO_ID)).alias("id"), df[doc_id].isNull().alias("none"), df[text].cast("binary").alias("text"))
     if source.groupBy("id").count().where("count > 1").limit(1).count():
-        source = source.withColumn("sub", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("none"), "text")) - 1)
+        # rows of one id are numbered in ranges of their texts, as many rows may have none
+        source = numbered(source.withColumn("named", ~F.col("none")), ["id"], ["named", "text"]).withColumn("sub", F.col("_pos").cast("int"))
     else:
         source = source.withColumn("sub", F.lit(0))
     source = source.select("id", "sub", "text", "none")

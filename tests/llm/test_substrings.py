@@ -126,6 +126,15 @@ def test_nulls_ties_and_empty(spark):
     assert S.remove_repeats(empty, "doc_id", "text").collect() == []
 
 
+def test_many_rows_without_an_id(spark):
+    """A third of all rows share the null id, some of them texts; each is a document of its own, earlier ones by their texts."""
+    r = random.Random(3)
+    common = bytes(r.choices(range(97, 123), k=140))
+    docs = [b"%03d " % i + common[i % 20 :] for i in range(60)] + [common] * 10 + [bytes(r.choices(range(97, 123), k=3000)) for _ in range(20)]
+    ids = [None if i % 3 == 0 else i for i in range(len(docs))]
+    check(spark, docs, ids)
+
+
 def test_whole_results_and_other_lengths(spark):
     docs = made(4, 30)
     check(spark, docs, length=20)
