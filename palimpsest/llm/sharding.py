@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POINTS = 128
-#: The ring is cut into so many parts, as a power of 2, in which rows are ranked: of 10**11 rows some 800,000 each. Counts of that many parts and arcs reach the driver.
-CUT_BITS = 17
+#: The ring is cut into so many parts, as a power of 2, in which rows are ranked: of 10**11 rows some 5 million each. Counts of that many parts and arcs reach the driver.
+CUT_BITS = 14
 
 
 def ring(shards: int, points: int = POINTS) -> tuple[list[int], list[int]]:
