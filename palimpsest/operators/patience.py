@@ -99,7 +99,7 @@ def _aligned(names: list[str], most: int):
     return run
 
 
-def first_gaps(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def first_gaps(lines: DataFrame) -> DataFrame:
     """Each pair as one gap, (pair_id, b_from, b_to, a_from, a_to), if both sides have lines."""
     n = lines.groupBy(PAIR).agg(F.max(F.when(F.col("side") == "b", F.col("row") + 1)).alias("b_to"), F.max(F.when(F.col("side") == "a", F.col("row") + 1)).alias("a_to"))
     return n.where("b_to is not null and a_to is not null").select(PAIR, F.lit(0).alias("b_from"), "b_to", F.lit(0).alias("a_from"), "a_to")
@@ -125,7 +125,7 @@ def matched_rows(pairs: DataFrame, most: int = TEXT_EDITS) -> DataFrame:
     In a gap without anchors lines are aligned by a longest common subsequence; beyond `most` edits nothing in that gap matches.
     """
     lines = written(hashed_lines(pairs))
-    gaps = first_gaps(pairs, lines)
+    gaps = first_gaps(lines)
     out: list[DataFrame] = []
     final: list[DataFrame] = []
     while True:

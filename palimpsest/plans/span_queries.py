@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import claims, mapping, patience, spans, trees
@@ -111,10 +111,8 @@ def range_labels(spark, d):
     end = F.col("start") + F.length("line")
 
     def rows(side: str) -> DataFrame:
-        # the place of a line is how many characters stand before it
         each = pairs.select("pair_id", F.posexplode(F.split(side, "\n", -1)).alias("row", "line"))
-        from pyspark.sql import Window
-
+        # the place of a line is how many characters stand before it
         before = F.coalesce(F.sum(F.length("line") + 1).over(Window.partitionBy("pair_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return each.withColumn("start", before.cast("int")).select("pair_id", F.lit(side).alias("side"), "row", "start", end.alias("finish"))
 
@@ -139,7 +137,7 @@ lis as (
 def patience_anchors(spark, d):
     """How many lines stand once on each side, and how many of them a heaviest chain of their runs keeps."""
     lines = written(patience.hashed_lines(edited(spark, d)))
-    found = written(patience.anchors(patience.first_gaps(None, lines), lines))
+    found = written(patience.anchors(patience.first_gaps(lines), lines))
     kept = patience.chained(found).where("n is not null").groupBy("pair_id").agg(F.sum("n").alias("kept"))
     return found.groupBy("pair_id").agg(F.count("*").alias("anchors")).join(kept, "pair_id").select("pair_id", "anchors", "kept")
 
