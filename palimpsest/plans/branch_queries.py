@@ -102,4 +102,5 @@ def branches_alike(spark, d):
 @query(f"""with p as {PAIRS} select unnest(['parse', 'lines']) as tool, count(*) as pairs, count(*) as ok, 2 * count(*) as timings from p""")
 def comparison_costs(spark, d):
     """How many pairs each way of comparing was timed on (times and memory, which differ from run to run, are in costs.summary())."""
-    return costs.summary(costs.costs(doc_pairs(spark, d), 2, ["parse", "lines"])).select("tool", "pairs", "ok", "timings")
+    pairs = doc_pairs(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # small tables too are timed in many tasks
+    return costs.summary(costs.costs(pairs, 2, ["parse", "lines"])).select("tool", "pairs", "ok", "timings")
