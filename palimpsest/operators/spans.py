@@ -23,18 +23,26 @@ def text_pieces(units: DataFrame, unit_id: str, contents: str, language: str) ->
         from pyspark.sql.pandas.types import to_arrow_schema
 
         from palimpsest.operators.ranges import pieces
-        from palimpsest.operators.trees import build
+        from palimpsest.operators.trees import BATCH_NODES, build
 
         fields = to_arrow_schema(schema)
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+
+        rows: list[tuple] = []
         for b in batches:
             for unit, text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tree = build(text or "", lang, False)
-                rows, seen = [], {}
+                seen = {}
                 for a, z, i in pieces(tree) if tree else []:
                     seen[i] = seen.get(i, -1) + 1
                     rows.append((unit, i, seen[i], a, z, a - (text.rfind("\n", 0, a) + 1), text[a:z]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+                if len(rows) >= BATCH_NODES:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
 
     return spread(units.select(unit_id, contents, language)).mapInArrow(run, schema)
 

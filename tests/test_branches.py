@@ -120,3 +120,29 @@ def test_branches_are_partners_by_their_arms(spark):
     sb, sa = signature(b), signature(a)
     pairs = [(sb[r.b_pre], sa[r.a_pre]) for r in branches.matching_arms(b, a, met).collect()]
     assert sorted(x for x, _ in pairs) == ["1", "2", "3", "4", "5", "5", "6", "x == 1"] and all(x == y for x, y in pairs)
+
+
+def test_written_frames_are_as_large_as_their_own_rows(spark, tmp_path):
+    from palimpsest.operators import trees
+    from palimpsest.operators.assignment import forget, written
+
+    spark.createDataFrame([(1, "a b\n" * 5000, "Text")], "id long, t string, language string").write.parquet(f"{tmp_path}/units")
+    units = spark.read.parquet(f"{tmp_path}/units")
+    nodes = trees.flatten(units, "id", "t", "language", ["pre", "path", "kind"])
+    kept = written(nodes)
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size(kept) > 4 * size(nodes)  # an estimate from the one text would have every join broadcast its nodes
+    assert sorted(kept.collect()) == sorted(nodes.collect()) and kept.count() > 15000
+    forget(kept)
+
+
+def test_small_units_share_batches(spark):
+    from palimpsest.operators import spans, trees
+
+    units = spark.createDataFrame([(i, f"a{i} b\n\nc", "Text") for i in range(3000)] + [(-1, None, "Text"), (-2, "", "Text")], "id long, t string, language string").repartition(1)
+    nodes = trees.flatten(units, "id", "t", "language", ["pre", "kind", "size", "ancestors"])
+    sizes = nodes.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), nodes.schema).count()
+    alone = trees.flatten(units.where("id = 7"), "id", "t", "language", ["pre", "kind", "size", "ancestors"])
+    assert sizes < 50 and sorted(nodes.where("unit_id = 7").collect()) == sorted(alone.collect())
+    pieces = spans.text_pieces(units, "id", "t", "language").collect()
+    assert len(pieces) == 9000 and sorted((r.pre, r.text) for r in pieces if r.id == 7) == sorted((r.pre, r.text) for r in spans.text_pieces(units.where("id = 7"), "id", "t", "language").collect())
