@@ -146,3 +146,9 @@ def test_small_units_share_batches(spark):
     assert sizes < 50 and sorted(nodes.where("unit_id = 7").collect()) == sorted(alone.collect())
     pieces = spans.text_pieces(units, "id", "t", "language").collect()
     assert len(pieces) == 9000 and sorted((r.pre, r.text) for r in pieces if r.id == 7) == sorted((r.pre, r.text) for r in spans.text_pieces(units.where("id = 7"), "id", "t", "language").collect())
+
+
+def test_functions_are_dealt_to_many_tasks(spark):
+    from palimpsest.plans.branch_queries import functions_
+
+    assert functions_(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4  # all of them, as the setting has it; they were one task's
