@@ -63,3 +63,26 @@ def test_command_line(tmp_path):
     assert '"fallback_used": false' in run("--json", tmp_path / "a.py", tmp_path / "b.py").stdout
     assert "~ x = 2\n" in run("b.py", tmp_path / "a.py", "0", "0", tmp_path / "b.py", "0", "0").stdout
     assert run("one").returncode == 2
+
+
+def test_rows_of_a_pair_meet_with_one_shuffle_of_each_frame(spark):
+    from palimpsest.operators.mapping import by_paths, quiet_subtrees
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = spark.range(40).selectExpr("id % 2 as pair_id", "cast(id as int) as pre", "cast(null as int) as parent_pre", "1 as size", "cast(id as string) as path", "id as full_hash")
+        shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        m = by_paths(nodes, nodes.where("pre < 30"))
+        assert shuffles(m) == 2 and m.count() == 40 and m.where("a_path is null").count() == 10 and m.where("op = 'Identical'").count() == 30
+        plan = m._jdf.queryExecution().optimizedPlan().toString()
+        assert "AS b_path" not in plan.partition("Join")[2]  # a path is shuffled once for each side
+        kept = spark.createDataFrame(m.collect(), m.schema)
+        assert {"pair_id"} == {x for x in _shuffled_by(quiet_subtrees(nodes, kept, 0))}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _shuffled_by(df):
+    import re
+
+    return {re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())}
