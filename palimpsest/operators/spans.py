@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.operators.mapping import together
 from palimpsest.session import spread
 
 PAIR = "pair_id"
@@ -55,7 +56,7 @@ def projected(before: DataFrame, after: DataFrame, mapping: DataFrame) -> DataFr
     other on both sides with nothing but white space between, which is to say: as long as their numbers on the other side do. Pieces are rows of text_pieces() with a pair_id.
     """
     order = Window.partitionBy(PAIR).orderBy("start", "finish", "pre")
-    numbered = lambda p: p.withColumn("at", F.row_number().over(order))
+    numbered = lambda p: together(p).withColumn("at", F.row_number().over(order))
     b, a = numbered(before), numbered(after)
 
     def one(side: str, own: DataFrame, other: DataFrame, pre: str, to: str, lone: str) -> DataFrame:
