@@ -76,3 +76,13 @@ def test_costs_run_each_way_once_more_than_timed(spark, monkeypatch):
     costs.costs(df, 2, ["parse"])
     out = next(run["f"](iter(df.toArrow().to_batches())))
     assert len(seen) == 3 and out.column("status").to_pylist() == ["ok"] and len(out.column("ms").to_pylist()[0]) == 2
+
+
+def test_scoped_needs_no_rows_for_words(spark):
+    pairs = frame(spark, 8, 12).where("language = 'Text'")
+    columns = ["pre", "parent_pre", "sib_idx", "size", "kind", "path", "ancestors", "full_hash"]
+    nodes = lambda s, more, least: trees.flatten(pairs, "pair_id", s, "language", columns + more, least).withColumnRenamed("unit_id", "pair_id")
+    none = spark.createDataFrame([], "pair_id long, b_pre int, a_pre int")
+    found = lambda *x: sorted(map(tuple, claims.scoped(nodes("before", *x), nodes("after", *x), none, F.col("kind") == "line", ordered=False).collect()))
+    few, want = found(["child_hashes", "child_sizes"], 2), found([], 1)
+    assert few == want and len(want) > 10
