@@ -79,7 +79,7 @@ def spans_of_claims(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {SIDES}, {_spans(_BY_PATH)} select {_OUT} from sp")
 def diff_ranges(spark, d):
     """Ranges of both sides where nodes of one path are partners: words that stay, move, change, come and go."""
-    return spans_by_path(spark, d)
+    return spans.in_place(edited(spark, d), "path")
 
 
 @query(f"with {CLAIMS}, {_spans(_CLAIMED)} select {_OUT} from sp")
