@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import claims, mapping, patience, spans, trees
+from palimpsest.operators import claims, patience, spans, trees
 from palimpsest.operators.assignment import written
 from palimpsest.plans.claim_queries import CLAIMS, EDITED, SIDES, edited
 
@@ -65,11 +65,6 @@ def both_sides(spark: SparkSession, d: str, columns: list[str]) -> list[DataFram
     return out
 
 
-def spans_by_path(spark: SparkSession, d: str) -> DataFrame:
-    b, pb, a, pa = both_sides(spark, d, ["pre", "size", "path", "full_hash"])
-    return spans.projected(pb, pa, mapping.by_paths(b, a).select("pair_id", "b_pre", "a_pre"))
-
-
 def spans_of_claims(spark: SparkSession, d: str) -> DataFrame:
     b, pb, a, pa = both_sides(spark, d, ["pre", "size", "full_hash"])
     fit = F.col("size") >= 2
@@ -107,16 +102,7 @@ tt as (select ro.pair_id, ro.side, ro.row, arg_max(sp.op, sp.number) as op from
 select ro.pair_id, ro.side, cast(ro.row as integer) as row, coalesce(tt.op, 'Identical') as op from ro left join tt on tt.pair_id = ro.pair_id and tt.side = ro.side and tt.row = ro.row""")
 def range_labels(spark, d):
     """The operation of each line, from ranges."""
-    pairs = edited(spark, d)
-    end = F.col("start") + F.length("line")
-
-    def rows(side: str) -> DataFrame:
-        each = pairs.select("pair_id", F.posexplode(F.split(side, "\n", -1)).alias("row", "line"))
-        # the place of a line is how many characters stand before it
-        before = F.coalesce(F.sum(F.length("line") + 1).over(Window.partitionBy("pair_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return each.withColumn("start", before.cast("int")).select("pair_id", F.lit(side).alias("side"), "row", "start", end.alias("finish"))
-
-    return spans.row_labels(written(spans_by_path(spark, d)), rows("before").unionByName(rows("after")))
+    return spans.line_labels(edited(spark, d), "path")
 
 
 #: Lines that stand once on each side, in order, and the length of a longest run of them in the same order.
