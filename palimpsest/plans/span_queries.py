@@ -80,7 +80,7 @@ def diff_ranges(spark, d):
 @query(f"with {CLAIMS}, {_spans(_CLAIMED)} select {_OUT} from sp")
 def diff_ranges_of_claims(spark, d):
     """Ranges of both sides where equal subtrees are partners wherever they stand."""
-    return spans_of_claims(spark, d)
+    return spans.in_place(edited(spark, d), "claims")
 
 
 @query(f"""with {CLAIMS}, {_spans(_CLAIMED)},
