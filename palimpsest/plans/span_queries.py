@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import claims, patience, spans, trees
+from palimpsest.operators import patience, spans
 from palimpsest.operators.assignment import written
 from palimpsest.plans.claim_queries import CLAIMS, EDITED, SIDES, edited
 
@@ -56,21 +55,6 @@ _CLAIMED = "mp as (select pair_id, b_pre + i as b_pre, a_pre + i as a_pre from (
 _OUT = "pair_id, side, number, cast(start as integer) as start, cast(finish as integer) as finish, cast(to_start as integer) as to_start, cast(to_finish as integer) as to_finish, op"
 
 
-def both_sides(spark: SparkSession, d: str, columns: list[str]) -> list[DataFrame]:
-    """Nodes and pieces of both sides."""
-    pairs, out = edited(spark, d), []
-    for side in ("before", "after"):
-        units = pairs.select("pair_id", F.col(side).alias("t"), F.lit("Text").alias("language"))
-        out += [trees.flatten(units, "pair_id", "t", "language", columns).withColumnRenamed("unit_id", "pair_id"), spans.text_pieces(units, "pair_id", "t", "language")]
-    return out
-
-
-def spans_of_claims(spark: SparkSession, d: str) -> DataFrame:
-    b, pb, a, pa = both_sides(spark, d, ["pre", "size", "full_hash"])
-    fit = F.col("size") >= 2
-    return spans.projected(pb, pa, claims.lockstep(claims.hash_claims(b.where(fit), a.where(fit), place="pre")))
-
-
 @query(f"with {SIDES}, {_spans(_BY_PATH)} select {_OUT} from sp")
 def diff_ranges(spark, d):
     """Ranges of both sides where nodes of one path are partners: words that stay, move, change, come and go."""
@@ -93,7 +77,7 @@ al as (select pair_id, 'before' as side, row_number() over (partition by pair_id
 select {_OUT} from al""")
 def mirrored_ranges(spark, d):
     """The same, with what was added shown as empty ranges on the before side."""
-    return spans.mirrored(spans_of_claims(spark, d))
+    return spans.in_place(edited(spark, d), "claims", mirror=True)
 
 
 @query(f"""with {SIDES}, {_spans(_BY_PATH)},

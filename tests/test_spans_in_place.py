@@ -85,7 +85,7 @@ def test_equal_subtrees_as_rounds_find_them(spark):
     assert sorted((i, *x) for i, (b, a) in rows.items() for x in claims.equal_subtrees(b, a)) == want
 
 
-@pytest.mark.parametrize("name", ["diff_ranges", "range_labels", "diff_ranges_of_claims"])
+@pytest.mark.parametrize("name", ["diff_ranges", "range_labels", "diff_ranges_of_claims", "mirrored_ranges"])
 def test_queries_deal_out_few_rows(spark, name):
     """Only a small table's own rows may be dealt out, before anything is made of them."""
     assert shuffles(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) <= 1
