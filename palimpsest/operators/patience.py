@@ -8,6 +8,7 @@ only its runs, as many as there are edits, are ordered in one task, and only gap
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.alignment import TEXT_EDITS, common_subsequence
+from palimpsest.operators.alignment import TEXT_EDITS, common_subsequence, text_lines
 from palimpsest.operators.assignment import written
 from palimpsest.operators.pairs import line_rows
+from palimpsest.session import small_batches, spread
 
 PAIR = "pair_id"
 GAP = [PAIR, "b_from", "a_from"]
@@ -152,10 +154,57 @@ def matched_rows(pairs: DataFrame, most: int = TEXT_EDITS) -> DataFrame:
     return each.select(PAIR, (F.col("b") + F.col("i")).alias("before_row"), (F.col("a") + F.col("i")).alias("after_row")).unionByName(small)
 
 
+def common_rows(before: list[str], after: list[str], most: int = TEXT_EDITS) -> list[tuple[int, int]]:
+    """What matched_rows() finds for one pair of lists of lines: the same anchors, chains and gaps, in the order in which gaps are met."""
+    numbers: dict[str, int] = {}
+    b, a = ([numbers.setdefault(x, len(numbers)) for x in side] for side in (before, after))
+    out: list[tuple[int, int]] = []
+    gaps = [(0, len(b), 0, len(a))]
+    while gaps:
+        b_from, b_to, a_from, a_to = gaps.pop()
+        if b_from == b_to or a_from == a_to:
+            continue
+        once = _once(a, a_from, a_to)
+        runs: list[tuple[int, int, int]] = []
+        for x, line in sorted((x, line) for line, x in _once(b, b_from, b_to).items() if line in once):
+            y = once[line]
+            if runs and (x - runs[-1][2], y - runs[-1][2]) == runs[-1][:2]:
+                runs[-1] = (*runs[-1][:2], runs[-1][2] + 1)
+            else:
+                runs.append((x, y, 1))
+        if not runs:
+            out += [(b_from + i, a_from + j) for i, j in common_subsequence(b[b_from:b_to], a[a_from:a_to], most) or []]
+        for i in heaviest(runs):
+            x, y, n = runs[i]
+            out += zip(range(x, x + n), range(y, y + n), strict=True)
+            gaps.append((b_from, x, a_from, y))
+            b_from, a_from = x + n, y + n
+        if runs:
+            gaps.append((b_from, b_to, a_from, a_to))
+    return out
+
+
+def _once(lines: list[int], first: int, to: int) -> dict[int, int]:
+    """line -> its place, of the lines that stand once in a range."""
+    at = {lines[i]: i for i in range(first, to)}
+    if len(at) == to - first:
+        return at
+    n = Counter(lines[first:to])
+    return {line: i for line, i in at.items() if n[line] == 1}
+
+
 def counts(pairs: DataFrame, most: int = TEXT_EDITS) -> DataFrame:
-    """(pair_id, inserted, deleted) in rows."""
-    met = matched_rows(pairs, most).groupBy(PAIR).agg(F.count("*").alias("_m"))
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    lines = hashed_lines(pairs).groupBy(PAIR).agg(F.count_if(F.col("side") == "b").alias("_b"), F.count_if(F.col("side") == "a").alias("_a"))
-    rows = pairs.select(PAIR).join(lines, PAIR, "left").join(met, PAIR, "left")
-    return rows.select(PAIR, (n("_a") - n("_m")).alias("inserted"), (n("_b") - n("_m")).alias("deleted"))
+    """(pair_id, inserted, deleted) in rows, by common_rows() where a pair lies: both texts are in one row, so lines need not leave it and nothing is shuffled."""
+    kind = pairs.schema[PAIR].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inserted, deleted = [], []
+            for _, before, after in zip(*batch.columns, strict=True):
+                b, a = (text_lines(x.as_py() or "") for x in (before, after))
+                met = len(common_rows(b, a, most))
+                inserted.append(len(a) - met)
+                deleted.append(len(b) - met)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(inserted, pa.int64()), pa.array(deleted, pa.int64())], names=[PAIR, "inserted", "deleted"])
+
+    return small_batches(spread(pairs.select(PAIR, "before", "after"))).mapInArrow(run, f"{PAIR} {kind}, inserted long, deleted long")

@@ -1,4 +1,4 @@
-"""Ranges and labels that are worked out where a pair lies, against the same on frames; their plans deal nothing out."""
+"""Ranges, labels and line diffs that are worked out where a pair lies, against the same on frames; their plans deal nothing out."""
 
 import random
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from test_claims import texts
 from test_patience import PAIRS, word_mapping
 
-from palimpsest.operators import claims, mapping, spans
+from palimpsest.operators import claims, mapping, patience, spans
+from palimpsest.operators.alignment import text_lines
 from palimpsest.plans import catalog
 
 ODD = [
@@ -85,7 +86,17 @@ def test_equal_subtrees_as_rounds_find_them(spark):
     assert sorted((i, *x) for i, (b, a) in rows.items() for x in claims.equal_subtrees(b, a)) == want
 
 
-@pytest.mark.parametrize("name", ["diff_ranges", "range_labels", "diff_ranges_of_claims", "mirrored_ranges"])
+def test_common_rows_as_frames_find_them(spark):
+    r = random.Random(29)
+    pairs = texts(31, 30) + ODD
+    for i in range(60):
+        side = lambda: "\n".join(r.choices("abcdefgh", k=r.randint(0, 12)) + [f"u{r.randint(0, 9)}" for _ in range(r.randint(0, 8))])
+        pairs.append((200 + i, side(), side()))
+    want = collected(patience.matched_rows(spark.createDataFrame(pairs, PAIRS)))
+    assert sorted((i, *x) for i, b, a in pairs for x in patience.common_rows(text_lines(b), text_lines(a))) == want
+
+
+@pytest.mark.parametrize("name", ["diff_ranges", "range_labels", "diff_ranges_of_claims", "mirrored_ranges", "patience_counts"])
 def test_queries_deal_out_few_rows(spark, name):
     """Only a small table's own rows may be dealt out, before anything is made of them."""
     assert shuffles(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) <= 1
